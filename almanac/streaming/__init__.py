@@ -1,0 +1 @@
+"""Nothing here on purpose: every source is a bounded table and no operator keeps stream state."""
