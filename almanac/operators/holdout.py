@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -14,6 +16,7 @@ from almanac.functions.missing import none_missing
 from almanac.operators.joins import matching_rows, null_safe_join
 from almanac.operators.keys import replace_groups, union_all
 from almanac.operators.settle import settle
+from almanac.session import ship_package
 
 
 def leave_group_out_ranges(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
@@ -51,6 +54,7 @@ def leave_group_out(df: DataFrame, group: str, features: list[str], target: str)
     Sums of products are taken once per group. The fit for a group uses the totals minus its
     own sums, so no group is read twice. Rows that miss a value train nothing and get no prediction.
     """
+    ship_package(df.sparkSession)
     names = [*features, target]
     whole = df.where(none_missing(df, names))
     centre = whole.agg(*[F.avg(c).alias(c) for c in names]).first()
@@ -114,20 +118,26 @@ def leave_group_out_with(
     target: str,
     learner: Callable[[], object],
     groups: list | None = None,
+    parallelism: int = 4,
 ) -> DataFrame:
     """``leave_group_out`` for any ``pyspark.ml`` regressor; one distributed fit per group.
 
     ``learner`` makes an unfitted regressor. Features are scaled to 0..1 on the training side.
-    ``groups`` names the groups to predict, all of them by default. Rows that miss a value take no part.
+    ``groups`` names the groups to predict, all of them by default; ``parallelism`` fits are submitted
+    at a time. Rows that miss a value take no part.
     """
     data = settle(df.where(none_missing(df, [*features, target])))
     if groups is None:
         groups = [r[0] for r in data.select(group).distinct().orderBy(group).collect()]
-    parts = []
-    for value in groups:
+
+    @inheritable_thread_target(df.sparkSession)
+    def predict(value) -> DataFrame:
         own = F.col(group).eqNullSafe(F.lit(value))
         model = _regression(features, target, "predicted", learner).fit(data.where(~own))
-        parts.append(model.transform(data.where(own)).select(*df.columns, F.col("predicted")))
+        return model.transform(data.where(own)).select(*df.columns, F.col("predicted"))
+
+    with ThreadPool(parallelism) as pool:
+        parts = pool.map(predict, groups)
     if not parts:
         return data.withColumn("predicted", F.lit(None).cast("double"))
     return union_all(parts)

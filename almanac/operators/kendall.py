@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from almanac.functions.missing import is_missing
 from almanac.operators.joins import matching_rows, null_safe_join
+from almanac.operators.keys import union_all
 from almanac.operators.numbering import GROUP_LIMIT, running_before
 from almanac.operators.settle import settle
+from almanac.session import ship_package
 
 # Rows that one task counts at a time, unless the square root of the group is larger.
 STRIP_ROWS = 1 << 17
@@ -41,6 +43,7 @@ def kendall_tau(
     Columns: the group, ``n``, ``tau``, ``z`` and ``p_value``. Rows that miss a value are left
     out. A constant column or a single row gives a null tau.
     """
+    ship_package(df.sparkSession)
     keys = by or ["_all"]
     values = df.where(~is_missing(df, a) & ~is_missing(df, b))
     if not by:
@@ -182,22 +185,22 @@ def _count_on_grid(placed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _tie_terms(cells: DataFrame, keys: list[str], axis: str) -> DataFrame:
-    t = F.col("t").cast("double")
-    return (
-        cells.groupBy(*keys, axis).agg(F.sum("w").alias("t")).groupBy(*keys).agg(
-            F.sum(t * (t - 1)).alias(f"_{axis}2"),
-            F.sum(t * (t - 1) * (t - 2)).alias(f"_{axis}3"),
-            F.sum(t * (t - 1) * (2 * t + 5)).alias(f"_{axis}v"),
+def _scored(cells: DataFrame, out_of_order: DataFrame, keys: list[str]) -> DataFrame:
+    w, t = F.col("w").cast("double"), F.col("t").cast("double")
+    parts = [out_of_order, cells.select(*keys, F.col("w").alias("n"), (w * (w - 1)).alias("_both"))]
+    for axis in ("x", "y"):
+        ties = cells.groupBy(*keys, axis).agg(F.sum("w").alias("t")).where(F.col("t") > 1)
+        parts.append(
+            ties.select(
+                *keys, (t * (t - 1)).alias(f"_{axis}2"), (t * (t - 1) * (t - 2)).alias(f"_{axis}3"),
+                (t * (t - 1) * (2 * t + 5)).alias(f"_{axis}v"),
+            )
         )
+    # One aggregate over the stacked parts instead of a join for each of them.
+    sums = ["n", "d", "_both", *[f"_{axis}{term}" for axis in "xy" for term in "23v"]]
+    scored = union_all(parts).groupBy(*keys).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]
     )
-
-
-def _scored(cells: DataFrame, out_of_order: DataFrame, keys: list[str]) -> DataFrame:
-    w = F.col("w").cast("double")
-    scored = cells.groupBy(*keys).agg(F.sum("w").alias("n"), F.sum(w * (w - 1)).alias("_both"))
-    for part in (_tie_terms(cells, keys, "x"), _tie_terms(cells, keys, "y"), out_of_order):
-        scored = null_safe_join(scored, part, keys)
     n = F.col("n").cast("double")
     pairs = n * (n - 1) / 2
     x2, y2 = F.col("_x2"), F.col("_y2")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from almanac.functions.missing import none_missing
 from almanac.operators.keys import first_n
 from almanac.operators.settle import settle
+from almanac.session import ship_package
 
 # Vectors compared with each other in one step of a task.
 BLOCK_ROWS = 4096
@@ -43,6 +44,7 @@ def knn_neighbors(
     ``id_col`` is a whole number without repeats. Columns: the id, ``rn`` from 1 on,
     ``neighbor`` and ``distance``. Rows that miss a feature take no part.
     """
+    ship_package(df.sparkSession)
     if not isinstance(df.schema[features[0]].dataType, T.ArrayType):
         df = df.where(none_missing(df, features))
     rows = df.select(F.col(id_col).cast("long").alias("id"), feature_vector(df, features).alias("v"))
@@ -71,14 +73,14 @@ def knn_neighbors(
 def _nearest_vectors(vectors: DataFrame, k: int, block_rows: int) -> DataFrame:
     """Per distinct vector, named by its smallest id, the nearest ids that carry other vectors."""
     total = vectors.count()
-    n_pivots = max(1, min(MOST_PIVOTS, math.isqrt(total // 4)))
+    n_pivots = min(MOST_PIVOTS, 4 * total // block_rows) if total > block_rows else 1
     pivots = [
         r.v for r in vectors.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(n_pivots).collect()
     ]
     if not pivots:
         return vectors.select(F.element_at("ids", 1).alias("vector"), F.lit([]).cast(_FOUND).alias("found"))
     pivots = np.array(pivots)
-    placed = _around_pivots(vectors, pivots)
+    placed = settle(_around_pivots(vectors, pivots))
     groups = {
         r.cell: r
         for r in placed.groupBy("cell").agg(
@@ -87,13 +89,14 @@ def _nearest_vectors(vectors: DataFrame, k: int, block_rows: int) -> DataFrame:
     }
     blocks = {cell: max(1, -(-r.n // block_rows)) for cell, r in groups.items()}
     block_of = F.pmod(F.xxhash64("vector"), _lookup(blocks, "cell"))
-    placed = settle(placed.withColumn("block", block_of))
+    placed = placed.withColumn("block", block_of)
 
-    first = settle(
-        placed.groupBy("cell", "block").applyInPandas(
-            _search_own_block(k), "vector long, v array<double>, cell int, found array<struct<d double, id long>>"
-        )
+    first = placed.groupBy("cell", "block").applyInPandas(
+        _search_own_block(k), "vector long, v array<double>, cell int, found array<struct<d double, id long>>"
     )
+    if sum(blocks.values()) == 1:
+        return first.select("vector", "found")
+    first = settle(first)
     # A row whose own block holds fewer than k other ids has no bound yet and visits every group.
     bound = F.when(F.size("found") >= k, F.element_at("found", k)["d"]).otherwise(F.lit(math.inf))
     visits = settle(

@@ -146,11 +146,11 @@ def plane_fitted(t):
 
 
 @query(f"""
-    SELECT o_custkey, {r("avg(o_totalprice)", 4)} AS mean FROM orders GROUP BY 1 HAVING avg(o_totalprice) > 250000
+    SELECT o_custkey, {r("avg(o_totalprice)", 7)} AS mean FROM orders GROUP BY 1 HAVING avg(o_totalprice) > 250000
 """)
 def groups_by_their_mean(t):
     means = t.orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean"))
-    return means.where(F.col("mean") > 250000).select("o_custkey", rounded("mean", 4).alias("mean"))
+    return means.where(F.col("mean") > 250000).select("o_custkey", rounded("mean", 7).alias("mean"))
 
 
 @query(f"""

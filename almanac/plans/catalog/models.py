@@ -292,9 +292,9 @@ def years_held_out_boosted_trees(t):
          m AS (SELECT avg(o_totalprice) AS my, avg(quantity) AS m1, avg(lines) AS m2, var_samp(quantity) AS v1,
                       var_samp(lines) AS v2, covar_samp(quantity, lines) AS c,
                       covar_samp(o_totalprice, quantity) AS k1, covar_samp(o_totalprice, lines) AS k2 FROM o)
-    SELECT o_orderkey, {r("qb + qs * quantity", 2)} AS volume_rating, {r("lb + ls * lines", 2)} AS detail_rating,
+    SELECT o_orderkey, {r("qb + qs * quantity", 4)} AS volume_rating, {r("lb + ls * lines", 4)} AS detail_rating,
            {r("my + (k1 * v2 - k2 * c) / (v1 * v2 - c * c) * (quantity - m1)"
-              " + (k2 * v1 - k1 * c) / (v1 * v2 - c * c) * (lines - m2)", 2)} AS predicted
+              " + (k2 * v1 - k1 * c) / (v1 * v2 - c * c) * (lines - m2)", 4)} AS predicted
     FROM o, one, m
 """)
 def categories_stacked(t):
@@ -303,7 +303,7 @@ def categories_stacked(t):
         order_sizes(t), {"volume": ["quantity"], "detail": ["lines"]}, "o_totalprice",
         lambda: LinearRegression(solver="normal"),
     )
-    return out.select("o_orderkey", *[rounded(c, 2).alias(c) for c in ("volume_rating", "detail_rating", "predicted")])
+    return out.select("o_orderkey", *[rounded(c, 4).alias(c) for c in ("volume_rating", "detail_rating", "predicted")])
 
 
 @query(f"""

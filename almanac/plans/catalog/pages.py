@@ -60,8 +60,8 @@ def rows_of_pages(t):
                regexp_replace(regexp_replace(lower(trim(text, ' ')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS name
         FROM cells WHERE row_no = 0),
     header AS (
-        SELECT page_id, cell_no, name, row_number() OVER (PARTITION BY page_id, name ORDER BY cell_no) AS at FROM names)
-    SELECT c.page_id, c.row_no, CASE WHEN at > 1 THEN name || '_' || at ELSE name END AS name, text
+        SELECT page_id, cell_no, name, row_number() OVER (PARTITION BY page_id, name ORDER BY cell_no) AS nth FROM names)
+    SELECT c.page_id, c.row_no, CASE WHEN nth > 1 THEN name || '_' || nth ELSE name END AS name, text
     FROM cells c JOIN header h ON c.page_id = h.page_id AND c.cell_no = h.cell_no
     WHERE c.row_no > 0
 """)

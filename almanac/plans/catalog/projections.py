@@ -22,17 +22,17 @@ def project_and_rename(t):
 
 
 @query(f"""
-    SELECT l_orderkey, l_linenumber, {r("l_extendedprice * (1 - l_discount)", 4)} AS net,
-           {r("l_extendedprice * (1 - l_discount) * (1 + l_tax)", 4)} AS gross,
-           {r("l_extendedprice * (1 - l_discount) * (1 + l_tax) / l_quantity", 4)} AS gross_per_unit
+    SELECT l_orderkey, l_linenumber, {r("l_extendedprice * (1 - l_discount)", 6)} AS net,
+           {r("l_extendedprice * (1 - l_discount) * (1 + l_tax)", 6)} AS gross,
+           {r("l_extendedprice * (1 - l_discount) / (l_extendedprice * (1 - l_discount) * (1 + l_tax))", 6)} AS net_share
     FROM lineitem
 """)
 def derived_columns(t):
     out = t.lineitem.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
     out = out.withColumn("gross", F.col("net") * (1 + F.col("l_tax")))
-    out = out.withColumn("gross_per_unit", F.try_divide("gross", "l_quantity"))
+    out = out.withColumn("net_share", F.try_divide("net", "gross"))
     return out.select(
-        "l_orderkey", "l_linenumber", *[rounded(c, 4).alias(c) for c in ("net", "gross", "gross_per_unit")]
+        "l_orderkey", "l_linenumber", *[rounded(c, 6).alias(c) for c in ("net", "gross", "net_share")]
     )
 
 
