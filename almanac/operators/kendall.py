@@ -23,8 +23,8 @@ from almanac.operators.numbering import GROUP_LIMIT, running_before
 from almanac.operators.settle import settle
 from almanac.session import ship_package
 
-# Rows that one task counts at a time, unless the square root of the group is larger.
-STRIP_ROWS = 1 << 17
+# Distinct pairs of values that one task counts at a time, unless the square root of their number is larger.
+STRIP_ROWS = 1 << 20
 
 # Below this many rows without ties the p-value is exact.
 _EXACT_BELOW = 50
@@ -58,11 +58,11 @@ def kendall_tau(
 
 def _out_of_order(cells: DataFrame, keys: list[str], strip_rows: int, group_limit: int) -> DataFrame:
     """Per group the number of row pairs ordered one way by x and the other way by y."""
-    sizes = cells.groupBy(*keys).agg(F.sum("w").alias("n"))
+    sizes = cells.groupBy(*keys).agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") > strip_rows)
     plain = [*keys, F.lit(0).alias("_axis"), F.lit(0).cast("long").alias("_strip"), "x", "y", "w"]
     if large.isEmpty():
-        counts = [_count_in_strips(cells.select(*plain), keys, cells.count() // strip_rows)]
+        counts = [_count_in_strips(cells.select(*plain), keys, 4 * cells.count() // strip_rows)]
     else:
         large = settle(large)
         placed = _place_in_strips(cells, large, keys, strip_rows, group_limit)
@@ -94,15 +94,16 @@ def _place_in_strips(
 ) -> DataFrame:
     """Give each distinct pair of a large group its strip along x and along y.
 
-    Strips follow exact ranks and hold at most twice the strip size. A single value with more
-    rows than that has a strip of its own, in which nothing is out of order.
+    Strips follow exact ranks among the distinct pairs and hold less than twice the strip size of
+    them. A single value with more pairs than that has a strip of its own, in which nothing is
+    out of order.
     """
     size = F.greatest(F.lit(strip_rows), F.ceil(4 * F.sqrt("n"))).cast("long")
     placed = null_safe_join(cells, large.select(*keys, size.alias("_size")), keys)
     for axis in ("x", "y"):
-        totals = settle(placed.groupBy(*keys, axis, "_size").agg(F.sum("w").alias("_w")))
-        ranked = running_before(totals, keys, {"_before": ([F.col(axis)], F.col("_w"))}, group_limit)
-        single = F.col("_w") >= F.col("_size")
+        totals = settle(placed.groupBy(*keys, axis, "_size").agg(F.count("*").alias("_n")))
+        ranked = running_before(totals, keys, {"_before": ([F.col(axis)], F.col("_n"))}, group_limit)
+        single = F.col("_n") >= F.col("_size")
         strip = 2 * F.floor(F.col("_before") / F.col("_size")) + single.cast("int")
         ranked = ranked.select(
             *keys, axis, strip.cast("long").alias(f"_{axis}_strip"), single.alias(f"_{axis}_single")
@@ -133,25 +134,41 @@ def inversions(segment: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray)
     """Weight of the pairs with smaller x and larger y, per segment (0, 1, 2, ...).
 
     Splits the ranks of y bit by bit from the top: at each bit, a row with a 0 is out of order
-    with every earlier row of its block that has a 1.
+    with every earlier row of its block that has a 1. Then the zeros of each block move to its front.
     """
+    n = len(segment)
+    if n == 0:
+        return np.zeros(0, dtype=np.int64)
     order = np.lexsort((y, x, segment))
-    segment, w = segment[order], w[order].astype(np.int64)
-    rank = np.unique(y, return_inverse=True)[1].reshape(-1)[order].astype(np.int64)
-    found = np.zeros(segment.max() + 1 if len(segment) else 0, dtype=np.int64)
-    bits = int(rank.max()).bit_length() if len(rank) else 0
-    block = segment.astype(np.int64) << bits
-    place = np.arange(len(rank))
-    for bit in range(bits - 1, -1, -1):
-        key = block | ((rank >> (bit + 1)) << (bit + 1))
-        place = place[np.argsort(key[place], kind="stable")]
-        one = ((rank[place] >> bit) & 1).astype(bool)
-        ahead = np.cumsum(np.where(one, w[place], 0))
-        starts = np.r_[True, key[place][1:] != key[place][:-1]]
-        before_block = (ahead - np.where(one, w[place], 0))[starts]
-        ahead = ahead - before_block[np.cumsum(starts) - 1]
-        np.add.at(found, segment[place][~one], (ahead * w[place])[~one])
-    return found
+    segment = segment[order]
+    # Products of weights stay whole numbers unless they would not fit.
+    w = w[order].astype(np.int64 if float(w.sum()) ** 2 < 2**62 else np.float64)
+    rank = np.unique(y, return_inverse=True)[1].reshape(-1)[order]
+    segment_at = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+    found = np.zeros(len(segment_at), dtype=w.dtype)
+    start = segment_at
+    here = np.arange(n)
+    for bit in range(int(rank.max()).bit_length() - 1, -1, -1):
+        lengths = np.diff(np.r_[start, n])
+        one = (rank >> bit) & 1
+        heavy = one * w
+        total = np.cumsum(heavy)
+        ahead = total - heavy
+        ahead -= np.repeat(ahead[start], lengths)
+        found += np.add.reduceat((1 - one) * w * ahead, segment_at)
+        zeros_before = np.cumsum(1 - one) - (1 - one)
+        zeros = np.add.reduceat(1 - one, start)
+        zeros_before -= np.repeat(zeros_before[start], lengths)
+        first = np.repeat(start, lengths)
+        ones_before = here - first - zeros_before
+        to = first + np.where(one == 1, np.repeat(zeros, lengths) + ones_before, zeros_before)
+        moved_rank, moved_w = np.empty_like(rank), np.empty_like(w)
+        moved_rank[to], moved_w[to] = rank, w
+        rank, w = moved_rank, moved_w
+        start = np.unique(np.r_[start, (start + zeros)[zeros < lengths]])
+    out = np.zeros(int(segment.max()) + 1, dtype=w.dtype)
+    out[segment[segment_at]] = found
+    return out
 
 
 def _count_on_grid(placed: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,7 +24,7 @@ from almanac.session import ship_package
 BLOCK_ROWS = 4096
 
 # Reference points, and so the rows of every table about them that the driver holds.
-MOST_PIVOTS = 256
+MOST_PIVOTS = 1024
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("id", T.LongType())]))
 
@@ -88,49 +88,58 @@ def _nearest_vectors(vectors: DataFrame, k: int, block_rows: int) -> DataFrame:
         ).collect()
     }
     blocks = {cell: max(1, -(-r.n // block_rows)) for cell, r in groups.items()}
-    block_of = F.pmod(F.xxhash64("vector"), _lookup(blocks, "cell"))
-    placed = placed.withColumn("block", block_of)
+    placed = placed.join(_per_group(vectors, "blocks", blocks), "cell").withColumn(
+        "block", F.pmod(F.xxhash64("vector"), "blocks")
+    )
 
     first = placed.groupBy("cell", "block").applyInPandas(
-        _search_own_block(k), "vector long, v array<double>, cell int, found array<struct<d double, id long>>"
+        _search_own_block(k),
+        "vector long, v array<double>, cell int, block long, d array<double>, near array<long>",
     )
     if sum(blocks.values()) == 1:
-        return first.select("vector", "found")
+        return first.select("vector", F.arrays_zip("d", F.col("near").alias("id")).cast(_FOUND).alias("found"))
     first = settle(first)
     # A row whose own block holds fewer than k other ids has no bound yet and visits every group.
-    bound = F.when(F.size("found") >= k, F.element_at("found", k)["d"]).otherwise(F.lit(math.inf))
+    bound = F.when(F.size("d") >= k, F.element_at("d", k)).otherwise(F.lit(math.inf))
     visits = settle(
-        first.select("vector", "v", "cell", bound.alias("bound"))
+        first.select("vector", "v", "cell", "block", bound.alias("bound"))
         .mapInPandas(
-            _groups_to_visit(pivots, groups), "vector long, v array<double>, bound double, own int, cell int"
+            _groups_to_visit(pivots, groups),
+            "vector long, v array<double>, bound double, own int, own_block long, cell int",
         )
     )
     waiting = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     shares = {cell: -(-n // block_rows) for cell, n in waiting.items()}
 
-    # Queries of a group split into shares, data into blocks; each meets each in a task of its own.
+    # The own block is done. Queries of a group split into shares, its data into blocks, and each
+    # share meets each block in a task of its own.
+    waiting = _per_group(vectors, "shares", shares)
     queries = (
-        visits.withColumn("share", F.pmod(F.xxhash64("vector"), _lookup(shares, "cell")))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), _lookup(blocks, "cell") - 1)))
+        visits.join(waiting, "cell").join(_per_group(vectors, "blocks", blocks), "cell")
+        .withColumn("share", F.pmod(F.xxhash64("vector"), "shares"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .where((F.col("cell") != F.col("own")) | (F.col("block") != F.col("own_block")))
+        .select("cell", "block", "share", "vector", "v", "bound")
     )
     data = (
-        placed.where(F.col("cell").isin(list(shares)))
-        .withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), _lookup(shares, "cell") - 1)))
+        placed.join(waiting, "cell")
+        .withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+        .select("cell", "block", "share", "vector", "v", "ids")
     )
     second = (
         queries.groupBy("cell", "block", "share")
         .cogroup(data.groupBy("cell", "block", "share"))
         .applyInPandas(_search_block(k), "vector long, d double, id long")
     )
-    near = first.select("vector", F.explode("found").alias("f")).select("vector", "f.d", "f.id")
-    merged = first_n(near.unionByName(second).distinct(), ["vector"], [F.col("d"), F.col("id")], k)
+    near = first.select("vector", F.inline(F.arrays_zip("d", F.col("near").alias("id"))))
+    merged = first_n(near.unionByName(second), ["vector"], [F.col("d"), F.col("id")], k)
     return merged.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("d", "id"))).alias("found"))
 
 
-def _lookup(table: dict[int, int], col: str) -> Column:
-    """A value per group, from a table no longer than the list of pivots."""
-    pairs = [F.lit(x) for cell, value in table.items() for x in (int(cell), int(value))]
-    return F.create_map(*pairs)[F.col(col)] if pairs else F.lit(1)
+def _per_group(like: DataFrame, name: str, values: dict[int, int]) -> DataFrame:
+    """A number per group as a table of at most as many rows as there are pivots."""
+    rows = [(int(cell), int(value)) for cell, value in values.items()]
+    return like.sparkSession.createDataFrame(rows, f"cell int, {name} long")
 
 
 def _around_pivots(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -177,59 +186,75 @@ def _groups_to_visit(pivots: np.ndarray, groups: dict):
             yield pd.DataFrame(
                 {
                     "vector": pdf["vector"].to_numpy()[row], "v": pdf["v"].to_numpy()[row],
-                    "bound": bound[row, 0], "own": pdf["cell"].to_numpy()[row], "cell": cells[group],
+                    "bound": bound[row, 0], "own": pdf["cell"].to_numpy()[row], "own_block": pdf["block"].to_numpy()[row], "cell": cells[group],
                 }
             )
 
     return visit
 
 
-def _closest(query: np.ndarray, data: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per query row the positions of all data rows no farther than the k-th, with distances."""
+def _closest(query: np.ndarray, data: np.ndarray, ids: list, skip: np.ndarray, k: int):
+    """Per query row its ``k`` nearest ids among the data rows, nearest first, ties by id.
+
+    ``ids`` holds the ids of each data row, ``skip`` the data row each query leaves out, or -1.
+    Returns flat arrays: the query row, the distance and the id.
+    """
+    copies = np.array([min(len(i), k) for i in ids])
+    flat = np.concatenate([i[:k] for i in ids])
+    at_flat = np.cumsum(copies) - copies
     norms = (data**2).sum(axis=1)
-    scale = norms.max(initial=0.0)
-    step = max(1, 2_000_000 // max(1, len(data)))
+    kth = min(k + 1, len(data)) - 1
+    step = max(1, 2_000_000 // len(data))
+    parts = []
     for i in range(0, len(query), step):
         part = query[i : i + step]
         sizes = (part**2).sum(axis=1)
         rough = norms[None, :] + sizes[:, None] - 2 * part @ data.T
-        cut = np.partition(rough, min(k, len(data)) - 1, axis=1)[:, min(k, len(data)) - 1]
+        cut = np.partition(rough, kth, axis=1)[:, kth]
         # The fast form rounds; keep all that rounding could hide and measure those again.
-        cut = cut + 1e-12 * (1 + data.shape[1]) * (sizes + scale)
-        for row, limit, q in zip(rough, cut, part):
-            at = np.nonzero(row <= limit)[0]
-            yield at, np.sqrt(((data[at] - q) ** 2).sum(axis=1))
-
-
-def _expand(at, d, ids, skip, k):
-    pairs = [(dist, int(i)) for a, dist in zip(at, d) if a != skip for i in ids[a][:k]]
-    return sorted(pairs)[:k]
+        cut = cut + 1e-12 * (1 + data.shape[1]) * (sizes + norms.max())
+        row, at = np.nonzero(rough <= cut[:, None])
+        kept = at != skip[i + row]
+        row, at = row[kept], at[kept]
+        d = np.sqrt(((data[at] - part[row]) ** 2).sum(axis=1))
+        times = copies[at]
+        row, d = np.repeat(row, times), np.repeat(d, times)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        near = flat[np.repeat(at_flat[at], times) + inside]
+        order = np.lexsort((near, d, row))
+        row, d, near = row[order], d[order], near[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < k
+        parts.append((row[best] + i, d[best], near[best]))
+    return [np.concatenate(x) for x in zip(*parts)]
 
 
 def _search_own_block(k: int):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        data, ids = np.stack(pdf["v"].to_numpy()), pdf["ids"].to_numpy()
-        found = [
-            [{"d": d, "id": i} for d, i in _expand(at, dist, ids, n, k)]
-            for n, (at, dist) in enumerate(_closest(data, data, k + 1))
-        ]
-        return pd.DataFrame({"vector": pdf["vector"], "v": pdf["v"], "cell": pdf["cell"], "found": found})
+        data = np.stack(pdf["v"].to_numpy())
+        row, d, near = _closest(data, data, pdf["ids"].tolist(), np.arange(len(pdf)), k)
+        ends = np.searchsorted(row, np.arange(1, len(pdf)))
+        return pd.DataFrame(
+            {"vector": pdf["vector"], "v": pdf["v"], "cell": pdf["cell"], "block": pdf["block"],
+             "d": np.split(d, ends), "near": np.split(near, ends)}
+        )
 
     return search
 
 
 def _search_block(k: int):
     def search(query: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(query) and len(block):
-            data, ids = np.stack(block["v"].to_numpy()), block["ids"].to_numpy()
-            place = {v: n for n, v in enumerate(block["vector"])}
-            near = _closest(np.stack(query["v"].to_numpy()), data, k + 1)
-            for vector, bound, (at, dist) in zip(query["vector"], query["bound"], near):
-                for d, i in _expand(at, dist, ids, place.get(vector), k):
-                    if d <= bound:
-                        out.append((vector, d, i))
-        return pd.DataFrame(out, columns=["vector", "d", "id"])
+        if not len(query) or not len(block):
+            return pd.DataFrame({"vector": [], "d": [], "id": []})
+        place = pd.Series(np.arange(len(block)), index=block["vector"])
+        skip = place.reindex(query["vector"]).fillna(-1).to_numpy(dtype=np.int64)
+        row, d, near = _closest(
+            np.stack(query["v"].to_numpy()), np.stack(block["v"].to_numpy()), block["ids"].tolist(), skip, k
+        )
+        useful = d <= query["bound"].to_numpy()[row]
+        return pd.DataFrame(
+            {"vector": query["vector"].to_numpy()[row][useful], "d": d[useful], "id": near[useful]}
+        )
 
     return search
 

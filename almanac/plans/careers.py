@@ -10,6 +10,7 @@ from almanac.functions.aggregates import strict_sum
 from almanac.operators.joins import attach_stats, matching_rows, null_safe_join
 from almanac.operators.keys import repeated_keys
 from almanac.operators.rates import above_average, index_to_rate
+from almanac.operators.settle import settle
 
 
 def adjusted_stats(
@@ -64,13 +65,14 @@ def cohort_projection(
     yearly = yearly.join(single, entity)
     age = F.col("_period") - F.col("_start")
     steps = range(1, horizon)
-    totals = yearly.groupBy(entity, "_start").agg(
+    # Read twice below, to learn and to apply; one row per entity.
+    totals = settle(yearly.groupBy(entity, "_start").agg(
         *[strict_sum(F.col("_value"), age < n).alias(f"_known_{n}") for n in steps],
         *[strict_sum(F.col("_value"), age.between(n, horizon - 1)).alias(f"_rest_{n}") for n in steps],
         strict_sum(F.col("_value"), age < horizon).alias("_whole"),
         strict_sum(F.col("_value"), F.col("_period") <= as_of).alias("_so_far"),
         F.count_if(F.col("_period") <= as_of).alias("_seen"),
-    )
+    ))
     lines = totals.where(F.col("_start") <= train_until).agg(
         *[F.regr_slope(f"_rest_{n}", f"_known_{n}").alias(f"_slope_{n}") for n in steps],
         *[F.regr_intercept(f"_rest_{n}", f"_known_{n}").alias(f"_base_{n}") for n in steps],

@@ -8,7 +8,7 @@ from almanac.functions.scalars import link_id
 from almanac.operators.settle import settle
 from almanac.plans.catalog.registry import query
 from almanac.plans.careers import backfill
-from almanac.sources.pages import page_comments, page_frontier, page_links, page_rows, promote_header
+from almanac.sources.pages import page_comments, page_frontier, page_links, page_rows, page_tables, promote_header
 
 _LINKS = r"""
     SELECT page_id, unnest(range(len(l)))::INT AS link_no, unnest(l) AS link
@@ -66,7 +66,8 @@ def rows_of_pages(t):
     WHERE c.row_no > 0
 """)
 def named_cells_of_pages(t):
-    return promote_header(page_rows(t.pages, "ul|article", "li|p|h1"))
+    named = promote_header(page_tables(t.pages, "ul|article", "li|p|h1"))
+    return named.select("page_id", "row_no", F.inline("cells"))
 
 
 @query("""

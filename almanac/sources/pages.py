@@ -33,25 +33,28 @@ def page_comments(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", F.array_join(found, ""))
 
 
-def page_rows(pages: DataFrame, row_tag: str = "tr", cell_tag: str = "td|th") -> DataFrame:
-    """One row per table cell: ``page_id``, ``row_no``, ``cell_no`` (both from 0) and its ``text``.
+def page_tables(pages: DataFrame, row_tag: str = "tr", cell_tag: str = "td|th") -> DataFrame:
+    """One row per page: ``page_id`` and ``rows``, an array of rows that are arrays of cell texts.
 
     With ``cell_tag`` equal to ``row_tag`` each row is its only cell.
     """
-    rows = pages.select(
-        "page_id",
-        F.posexplode(F.regexp_extract_all("html", F.lit(_inside(row_tag)), F.lit(1))).alias("row_no", "row"),
-    )
-    if cell_tag == row_tag:
-        cells = rows.select("page_id", "row_no", F.lit(0).alias("cell_no"), F.col("row").alias("text"))
-    else:
-        cells = rows.select(
-            "page_id", "row_no",
-            F.posexplode(F.regexp_extract_all("row", F.lit(_inside(cell_tag)), F.lit(1))).alias(
-                "cell_no", "text"
-            ),
-        )
-    return cells.withColumn("text", F.trim(F.regexp_replace("text", _TAGS, "")))
+
+    def cells(row: Column) -> Column:
+        if cell_tag == row_tag:
+            found = F.array(row)
+        else:
+            found = F.regexp_extract_all(row, F.lit(_inside(cell_tag)), F.lit(1))
+        return F.transform(found, lambda cell: F.trim(F.regexp_replace(cell, _TAGS, "")))
+
+    rows = F.regexp_extract_all("html", F.lit(_inside(row_tag)), F.lit(1))
+    return pages.select("page_id", F.transform(rows, cells).alias("rows"))
+
+
+def page_rows(pages: DataFrame, row_tag: str = "tr", cell_tag: str = "td|th") -> DataFrame:
+    """One row per table cell: ``page_id``, ``row_no``, ``cell_no`` (both from 0) and its ``text``."""
+    tables = page_tables(pages, row_tag, cell_tag)
+    rows = tables.select("page_id", F.posexplode("rows").alias("row_no", "cells"))
+    return rows.select("page_id", "row_no", F.posexplode("cells").alias("cell_no", "text"))
 
 
 def page_links(pages: DataFrame, prefix: str = "") -> DataFrame:
@@ -77,35 +80,38 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def promote_header(cells: DataFrame) -> DataFrame:
+def promote_header(tables: DataFrame) -> DataFrame:
     """Name every cell after the cell above it in the first row of its page.
 
-    Takes the cells of ``page_rows``; returns ``page_id``, ``row_no``, ``name``, ``text`` without the header
-    rows. Repeated names in a header get ``_2``, ``_3`` and so on, from left to right.
+    Takes ``page_tables``; returns ``page_id``, ``row_no`` and ``cells``, an array of ``name`` and ``text``,
+    without the header rows. Repeated names in a header get ``_2``, ``_3`` and so on, from left to right.
+    Nothing is shuffled: a page is one row.
     """
-    first = cells.where(F.col("row_no") == 0).groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("cell_no", clean_name(F.col("text")).alias("name")))).alias("h")
-    )
-    names = F.transform("h", lambda c: c["name"])
+    plain = F.transform(F.col("rows")[0], clean_name)
 
-    def numbered(cell: Column, at: Column) -> Column:
-        times = F.size(F.filter(F.slice(names, 1, at + 1), lambda n: n == cell["name"]))
-        name = F.when(times > 1, F.concat_ws("_", cell["name"], times)).otherwise(cell["name"])
-        return F.struct(cell["cell_no"].alias("cell_no"), name.alias("name"))
+    def numbered(name: Column, at: Column) -> Column:
+        times = F.size(F.filter(F.slice("_plain", 1, at + 1), lambda other: other == name))
+        return F.when(times > 1, F.concat_ws("_", name, times)).otherwise(name)
 
-    header = first.select("page_id", F.inline(F.transform("h", numbered)))
-    return (
-        cells.where(F.col("row_no") > 0)
-        .join(header, ["page_id", "cell_no"])
-        .select("page_id", "row_no", "name", "text")
+    named = tables.where(F.size("rows") > 1).select("page_id", "rows", plain.alias("_plain")).select(
+        "page_id", "rows", F.transform("_plain", numbered).alias("_names")
+    )
+    rows = named.select("page_id", "_names", F.posexplode("rows").alias("row_no", "_texts"))
+    width = F.least(F.size("_names"), F.size("_texts"))
+    pairs = F.zip_with(
+        F.slice("_names", 1, width), F.slice("_texts", 1, width),
+        lambda name, text: F.struct(name.alias("name"), text.alias("text")),
     )
+    return rows.where(F.col("row_no") > 0).select("page_id", "row_no", pairs.alias("cells"))
 
 
 def wide_rows(named: DataFrame, columns: list[str]) -> DataFrame:
-    """Turn named cells into one row per page and row number, with the listed columns."""
-    return named.groupBy("page_id", "row_no").agg(
-        *[F.max(F.when(F.col("name") == c, F.col("text"))).alias(c) for c in columns]
-    )
+    """Turn the named cells of each row into the listed columns; a name the page lacks gives null."""
+
+    def value(column: str) -> Column:
+        return F.try_element_at(F.filter("cells", lambda c: c["name"] == column), F.lit(1))["text"].alias(column)
+
+    return named.select("page_id", "row_no", *[value(c) for c in columns])
 
 
 def numeric_cells(wide: DataFrame, columns: list[str]) -> DataFrame:

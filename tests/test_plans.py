@@ -7,7 +7,7 @@ from almanac.plans.reports import prediction_rankings, ranking_report
 from almanac.sources.files import read_json_records, read_snapshot, read_stats_csv, write_stats_csv
 from almanac.sources.pages import (
     clean_names, count_unstored, element_content, fetch_stored, numeric_cells, page_comments, page_frontier,
-    page_links, page_rows, promote_header, wide_rows,
+    page_links, page_rows, page_tables, promote_header, wide_rows,
 )
 
 
@@ -69,8 +69,7 @@ def test_table_inside_a_comment(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, "v", "<p>no table</p>")], "page_id int, url string, html string")
     hidden = page_comments(pages)
     table = hidden.withColumn("html", element_content(F.col("html"), "table", "passing"))
-    cells = page_rows(table)
-    wide = wide_rows(promote_header(cells), ["player", "yds", "yds_2", "pct"])
+    wide = wide_rows(promote_header(page_tables(table)), ["player", "yds", "yds_2", "pct"])
     rows = numeric_cells(wide.where("player != 'Player'"), ["yds", "yds_2", "pct"]).orderBy("row_no").collect()
     assert [tuple(r) for r in rows] == [(1, 1, "Joe", 100.0, 7.0, 0.5), (1, 3, "Al", None, 8.0, None)]
     links = page_links(table, "/cfb/players/").orderBy("link_no").collect()
