@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from multiprocessing.pool import ThreadPool
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,8 @@ from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from almanac.functions.missing import none_missing
-from almanac.operators.joins import matching_rows, null_safe_join
+from almanac.functions.scalars import min_max
+from almanac.operators.joins import attach_stats, matching_rows, null_safe_join
 from almanac.operators.keys import replace_groups, union_all
 from almanac.operators.settle import settle
 from almanac.session import ship_package
@@ -111,6 +114,60 @@ def _solver(group: str, total, pairs: list[tuple[int, int]], p: int):
     return solve
 
 
+def leave_group_out_screen(df: DataFrame, group: str, cols: list[str], target: str) -> DataFrame:
+    """Per group ``<col>_r2``: squared correlation of each column with the target over all other groups.
+
+    Like ``leave_group_out``, from the totals minus the sums of the group itself.
+    """
+    names = [*cols, target]
+    whole = df.where(none_missing(df, names))
+    centre = whole.agg(*[F.avg(c).alias(c) for c in names]).first()
+    shifted = {c: F.col(c).cast("double") - F.lit(centre[c] or 0.0) for c in names}
+    y = shifted[target]
+    sums = settle(
+        whole.groupBy(group).agg(
+            F.count("*").cast("double").alias("_n"), F.sum(y).alias("_y"), F.sum(y * y).alias("_yy"),
+            *[F.sum(shifted[c]).alias(f"_{c}_x") for c in cols],
+            *[F.sum(shifted[c] * shifted[c]).alias(f"_{c}_xx") for c in cols],
+            *[F.sum(shifted[c] * y).alias(f"_{c}_xy") for c in cols],
+        )
+    )
+    parts = [c for c in sums.columns if c != group]
+    both = attach_stats(sums, sums.agg(*[F.sum(c).alias(f"all{c}") for c in parts]))
+    rest = {c: F.col(f"all{c}") - F.col(c) for c in parts}
+
+    def r_squared(c: str) -> Column:
+        n, sx, sy = rest["_n"], rest[f"_{c}_x"], rest["_y"]
+        cov = n * rest[f"_{c}_xy"] - sx * sy
+        spread = (n * rest[f"_{c}_xx"] - sx * sx) * (n * rest["_yy"] - sy * sy)
+        return F.try_divide(cov * cov, spread).alias(f"{c}_r2")
+
+    return both.select(group, *[r_squared(c) for c in cols])
+
+
+def held_out_composites(
+    df: DataFrame, group: str, parts: dict[str, list[str]], target: str, weights_of_all_rows: bool = False
+) -> DataFrame:
+    """Add one composite per entry ``name: columns``, made for each group from all other groups.
+
+    The columns are scaled to 0..1 between the bounds of the other groups and weighted by their squared
+    correlation with the target there. ``weights_of_all_rows`` takes the correlations over all rows
+    instead, the group itself included, which lets its outcome leak into its features.
+    """
+    cols = sorted({c for part in parts.values() for c in part})
+    out = null_safe_join(df, settle(leave_group_out_ranges(df, group, cols)), [group])
+    if weights_of_all_rows:
+        out = attach_stats(out, df.agg(*[F.pow(F.corr(c, target), F.lit(2.0)).alias(f"{c}_r2") for c in cols]))
+    else:
+        out = null_safe_join(out, settle(leave_group_out_screen(df, group, cols, target)), [group])
+
+    def composite(part: list[str]) -> Column:
+        scaled = [min_max(F.col(c), F.col(f"{c}_min"), F.col(f"{c}_max")) * F.col(f"{c}_r2") for c in part]
+        return F.try_divide(reduce(add, scaled), reduce(add, [F.col(f"{c}_r2") for c in part]))
+
+    return out.withColumns({name: composite(part) for name, part in parts.items()}).select(*df.columns, *parts)
+
+
 def leave_group_out_with(
     df: DataFrame,
     group: str,

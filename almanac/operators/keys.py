@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from almanac.functions.scalars import number, prefix_match
 from almanac.operators.joins import matching_rows, null_safe_join
 from almanac.operators.numbering import row_numbers
+from almanac.operators.settle import settle
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -95,6 +96,8 @@ def match_by_name(
     offered = null_safe_join(
         clear, b.select(*keys, F.col(tiebreak).alias("_other"), *extra), keys, "left"
     ).withColumn("_agrees", F.coalesce(prefix_match(F.col(tiebreak), F.col("_other"), prefix), F.lit(False)))
+    # Read twice below; the join runs once.
+    offered = settle(offered)
     verdict = offered.groupBy(*keys).agg(
         F.count("*").alias("_offers"), F.max("_agrees").alias("_settled")
     )

@@ -6,16 +6,18 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from almanac.operators.holdout import (
-    leave_group_out, leave_group_out_ranges, leave_group_out_with, refit_groups, stacked_predict,
+    held_out_composites, leave_group_out, leave_group_out_ranges, leave_group_out_screen, leave_group_out_with,
+    refit_groups, stacked_predict,
 )
 from almanac.operators.impute import impute_cascade
 from almanac.operators.neighbors import knn_neighbors, knn_predict
 from almanac.operators.rates import career_rollup, weighted_composite
 from almanac.operators.settle import settle
-from almanac.operators.summary import correlation_screen, scale_min_max, scale_z
+from almanac.operators.summary import correlation_screen, scale_min_max
 from almanac.plans.careers import adjusted_stats, cohort_projection, player_table
 from almanac.plans.catalog.rankings import SQL_CUSTOMER_YEARS, customer_years
 from almanac.plans.catalog.registry import query, r, rounded
+from almanac.plans.reports import holdout_report, neighbor_projection
 
 
 @query(f"""
@@ -202,26 +204,46 @@ _SQL_CAREERS = """
 """
 
 
-@query(f"""
-    WITH scaled AS (SELECT c_custkey, total, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS x,
-                           (orders - avg(orders) OVER ()) / stddev_samp(orders) OVER () AS y FROM ({_SQL_CAREERS})),
-         near AS (SELECT a.c_custkey, b.c_custkey AS neighbor, b.total,
-                         sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance,
-                         row_number() OVER (PARTITION BY a.c_custkey
-                             ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.c_custkey) AS rn
-                  FROM scaled a JOIN scaled b ON a.c_custkey <> b.c_custkey)
-    SELECT c_custkey, {r("CASE WHEN min(distance) > 0 THEN sum(total / distance) / sum(1 / distance) END", 2)} AS predicted,
-           max(neighbor) FILTER (rn = 1) AS comp_1
-    FROM near WHERE rn <= 15 GROUP BY 1
-""")
-def totals_predicted_from_neighbors(t):
+def careers(t):
+    """Balance, number of orders and their total for every customer with orders."""
     customers = t.customer.select("c_custkey", "c_acctbal")
-    careers = customers.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey", "c_acctbal").agg(
-        F.count("*").cast("double").alias("orders"), F.sum("o_totalprice").alias("total")
+    return settle(
+        customers.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey", "c_acctbal").agg(
+            F.count("*").cast("double").alias("orders"), F.sum("o_totalprice").alias("total")
+        )
     )
-    features = ["c_acctbal", "orders"]
-    out = knn_predict(settle(scale_z(settle(careers), features)), "c_custkey", features, "total", 15, comps=1)
-    return out.withColumn("predicted", rounded("predicted", 2))
+
+
+def _sql_projection_from_neighbors(x_weight: str, y_weight: str, k: int) -> str:
+    distance = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+    return f"""
+        WITH scaled AS (
+                 SELECT c_custkey, total, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () * {x_weight} AS x,
+                        (orders - avg(orders) OVER ()) / stddev_samp(orders) OVER () * {y_weight} AS y FROM ({_SQL_CAREERS})),
+             near AS (SELECT a.c_custkey, a.total AS own, b.c_custkey AS neighbor, b.total, {distance} AS distance,
+                             row_number() OVER (PARTITION BY a.c_custkey ORDER BY {distance}, b.c_custkey) AS rn
+                      FROM scaled a JOIN scaled b ON a.c_custkey <> b.c_custkey)
+        SELECT c_custkey, {r("any_value(own)", 2)} AS total, {r("sum(total / distance) / sum(1 / distance)", 2)} AS predicted,
+               max(neighbor) FILTER (rn = 1) AS comp_1
+        FROM near WHERE rn <= {k} GROUP BY 1 HAVING min(distance) > 0
+    """
+
+
+def _projection(t, k, weighted):
+    out = neighbor_projection(careers(t), "c_custkey", ["c_acctbal", "orders"], "total", k, comps=1, weighted=weighted)
+    return out.select("c_custkey", rounded("total", 2).alias("total"), rounded("predicted", 2).alias("predicted"), "comp_1")
+
+
+@query(_sql_projection_from_neighbors("1", "1", 15))
+def totals_predicted_from_neighbors(t):
+    return _projection(t, 15, False)
+
+
+@query(_sql_projection_from_neighbors(
+    "abs(corr(c_acctbal, total) OVER ()) * 100", "abs(corr(orders, total) OVER ()) * 100", 30
+))
+def totals_predicted_with_weights(t):
+    return _projection(t, 30, True)
 
 
 def order_sizes(t):
@@ -275,6 +297,55 @@ def ranges_of_other_years(t):
     return leave_group_out_ranges(order_sizes(t), "order_year", ["quantity", "o_totalprice"])
 
 
+_SQL_HELD_OUT = f"""
+    WITH o AS ({SQL_ORDER_SIZES}), g AS (SELECT DISTINCT order_year FROM o),
+         rest AS (SELECT g.order_year, min(quantity) AS ql, max(quantity) AS qh, min(lines) AS ll, max(lines) AS lh,
+                         pow(corr(quantity, o_totalprice), 2) AS rq, pow(corr(lines, o_totalprice), 2) AS rl
+                  FROM g JOIN o ON g.order_year <> o.order_year GROUP BY 1),
+         whole AS (SELECT pow(corr(quantity, o_totalprice), 2) AS rq, pow(corr(lines, o_totalprice), 2) AS rl FROM o)
+"""
+
+
+@query(f"""
+    {_SQL_HELD_OUT}
+    SELECT order_year, {r("rq", 10)} AS quantity_r2, {r("rl", 10)} AS lines_r2 FROM rest
+""")
+def correlations_of_other_years(t):
+    out = leave_group_out_screen(order_sizes(t), "order_year", ["quantity", "lines"], "o_totalprice")
+    return out.select("order_year", rounded("quantity_r2", 10).alias("quantity_r2"), rounded("lines_r2", 10).alias("lines_r2"))
+
+
+@query(f"""
+    {_SQL_HELD_OUT}
+    SELECT o_orderkey, {r("((quantity - ql) / (qh - ql) * rq + (lines - ll) / (lh - ll) * rl) / (rq + rl)", 6)} AS size
+    FROM o JOIN rest USING (order_year)
+""")
+def composites_of_other_years(t):
+    out = held_out_composites(order_sizes(t), "order_year", {"size": ["quantity", "lines"]}, "o_totalprice")
+    return out.select("o_orderkey", rounded("size", 6).alias("size"))
+
+
+@query(f"""
+    {_SQL_HELD_OUT}
+    SELECT o_orderkey, {r("((quantity - ql) / (qh - ql) * w.rq + (lines - ll) / (lh - ll) * w.rl) / (w.rq + w.rl)", 6)} AS size
+    FROM o JOIN rest USING (order_year), whole w
+""")
+def composites_with_all_weights(t):
+    out = held_out_composites(
+        order_sizes(t), "order_year", {"size": ["quantity", "lines"]}, "o_totalprice", weights_of_all_rows=True
+    )
+    return out.select("o_orderkey", rounded("size", 6).alias("size"))
+
+
+@query()
+def holdout_rankings_scored(t):
+    """The tests check its parts; comparing all pairs of ranks in SQL would take too long."""
+    out = holdout_report(order_sizes(t), "order_year", ["quantity"], "o_totalprice", "lines", "o_orderkey")
+    return out.select("order_year", "n", *[
+        rounded(c, 9).alias(c) for c in ("our_tau", "our_p_value", "baseline_tau", "baseline_p_value")
+    ])
+
+
 @query()
 def years_held_out_boosted_trees(t):
     """Any regressor: here small boosted trees, one fit per year."""
@@ -292,18 +363,19 @@ def years_held_out_boosted_trees(t):
          m AS (SELECT avg(o_totalprice) AS my, avg(quantity) AS m1, avg(lines) AS m2, var_samp(quantity) AS v1,
                       var_samp(lines) AS v2, covar_samp(quantity, lines) AS c,
                       covar_samp(o_totalprice, quantity) AS k1, covar_samp(o_totalprice, lines) AS k2 FROM o)
-    SELECT o_orderkey, {r("qb + qs * quantity", 4)} AS volume_rating, {r("lb + ls * lines", 4)} AS detail_rating,
+    SELECT o_orderkey, {r("qb + qs * quantity", 1)} AS volume_rating, {r("lb + ls * lines", 1)} AS detail_rating,
            {r("my + (k1 * v2 - k2 * c) / (v1 * v2 - c * c) * (quantity - m1)"
-              " + (k2 * v1 - k1 * c) / (v1 * v2 - c * c) * (lines - m2)", 4)} AS predicted
+              " + (k2 * v1 - k1 * c) / (v1 * v2 - c * c) * (lines - m2)", 1)} AS predicted
     FROM o, one, m
 """)
 def categories_stacked(t):
-    # A line through category scores that are lines themselves is the plane over both features.
+    # A line through category scores that are lines themselves is the plane over both features. The two
+    # solvers agree to about 1e-7 on values of 250,000, hence the one decimal.
     out = stacked_predict(
         order_sizes(t), {"volume": ["quantity"], "detail": ["lines"]}, "o_totalprice",
         lambda: LinearRegression(solver="normal"),
     )
-    return out.select("o_orderkey", *[rounded(c, 4).alias(c) for c in ("volume_rating", "detail_rating", "predicted")])
+    return out.select("o_orderkey", *[rounded(c, 1).alias(c) for c in ("volume_rating", "detail_rating", "predicted")])
 
 
 @query(f"""

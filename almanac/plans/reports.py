@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from almanac.operators.holdout import leave_group_out
 from almanac.operators.joins import null_safe_join
 from almanac.operators.kendall import kendall_tau
+from almanac.operators.neighbors import knn_predict
 from almanac.operators.ranking import rank_within
 from almanac.operators.settle import settle
+from almanac.operators.summary import scale_z, weight_features
 
 
 def prediction_rankings(
@@ -44,3 +47,36 @@ def ranking_report(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
         keys,
     )
     return out if by else out.drop("_all")
+
+
+def holdout_report(
+    df: DataFrame, group: str, features: list[str], target: str, baseline: str, tie: str
+) -> DataFrame:
+    """Predict each group from all others, rank its rows and score the ranking against the baseline."""
+    predicted = settle(
+        leave_group_out(df, group, features, target).select(group, tie, target, baseline, "predicted")
+    )
+    return ranking_report(prediction_rankings(predicted, [group], "predicted", target, baseline, tie), [group])
+
+
+def neighbor_projection(
+    df: DataFrame,
+    id_col: str,
+    features: list[str],
+    target: str,
+    k: int,
+    exponent: float = 1.0,
+    comps: int = 3,
+    weighted: bool = False,
+    exclude: tuple[str, ...] = (),
+) -> DataFrame:
+    """Predict every row from its nearest neighbours among the others on standardised features.
+
+    ``weighted`` stretches each feature by its correlation with the target, ``exclude`` leaves features
+    out. Rows without a prediction are dropped.
+    """
+    used = [c for c in features if c not in exclude]
+    rows = df.select(id_col, target, *used)
+    scaled = settle(weight_features(rows, used, target) if weighted else scale_z(rows, used))
+    predicted = knn_predict(scaled, id_col, used, target, k, exponent, comps)
+    return df.select(id_col, target).join(predicted.where(F.col("predicted").isNotNull()), id_col)
