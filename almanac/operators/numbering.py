@@ -8,7 +8,7 @@ from almanac.operators.joins import matching_rows, null_safe_join
 from almanac.operators.settle import settle
 
 # A group above this many rows is numbered by many tasks instead of one window task.
-GROUP_LIMIT = 5_000_000
+GROUP_LIMIT = 1_000_000
 
 # Spark's monotonically_increasing_id keeps the partition in the bits above these 33.
 _ROW_BITS = 33
