@@ -26,9 +26,6 @@ BLOCK_ROWS = 4096
 # Reference points, and so the rows of every table about them that the driver holds.
 MOST_PIVOTS = 1024
 
-_FOUND = T.ArrayType(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("id", T.LongType())]))
-
-
 def feature_vector(df: DataFrame, features: list[str]) -> Column:
     """The features as one array of doubles; a single array column stands for itself."""
     if len(features) == 1 and isinstance(df.schema[features[0]].dataType, T.ArrayType):
@@ -41,13 +38,13 @@ def knn_neighbors(
 ) -> DataFrame:
     """The ``k`` nearest other rows of each row by Euclidean distance, ties by id.
 
-    ``id_col`` is a whole number without repeats. Columns: the id, ``rn`` from 1 on,
+    ``id_col`` is a whole number or text without repeats. Columns: the id, ``rn`` from 1 on,
     ``neighbor`` and ``distance``. Rows that miss a feature take no part.
     """
     ship_package(df.sparkSession)
     if not isinstance(df.schema[features[0]].dataType, T.ArrayType):
         df = df.where(none_missing(df, features))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), feature_vector(df, features).alias("v"))
+    rows = df.select(F.col(id_col).alias("id"), feature_vector(df, features).alias("v"))
     rows = rows.where(F.col("v").isNotNull())
     # One row per distinct vector, with enough of its ids that no neighbour can be missed.
     vectors = settle(
@@ -62,7 +59,7 @@ def knn_neighbors(
     )
     found = rows.join(vectors, "v").select("id", own.alias("own"), F.element_at("ids", 1).alias("vector"))
     found = found.join(others, "vector", "left").select(
-        "id", F.slice(F.concat("own", F.coalesce("found", F.lit([]).cast(_FOUND))), 1, k).alias("found")
+        "id", F.slice(F.concat("own", F.coalesce("found", F.slice("own", 1, 0))), 1, k).alias("found")
     )
     return found.select("id", F.posexplode("found").alias("rn", "f")).select(
         F.col("id").alias(id_col), (F.col("rn") + 1).alias("rn"),
@@ -77,10 +74,12 @@ def _nearest_vectors(vectors: DataFrame, k: int, block_rows: int) -> DataFrame:
     pivots = [
         r.v for r in vectors.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(n_pivots).collect()
     ]
+    id_type = vectors.schema["ids"].dataType.elementType.simpleString()
     if not pivots:
-        return vectors.select(F.element_at("ids", 1).alias("vector"), F.lit([]).cast(_FOUND).alias("found"))
+        nothing = F.lit(None).cast(f"array<struct<d: double, id: {id_type}>>")
+        return vectors.select(F.element_at("ids", 1).alias("vector"), nothing.alias("found"))
     pivots = np.array(pivots)
-    placed = settle(_around_pivots(vectors, pivots))
+    placed = settle(_around_pivots(vectors, pivots, id_type))
     groups = {
         r.cell: r
         for r in placed.groupBy("cell").agg(
@@ -94,10 +93,10 @@ def _nearest_vectors(vectors: DataFrame, k: int, block_rows: int) -> DataFrame:
 
     first = placed.groupBy("cell", "block").applyInPandas(
         _search_own_block(k),
-        "vector long, v array<double>, cell int, block long, d array<double>, near array<long>",
+        f"vector {id_type}, v array<double>, cell int, block long, d array<double>, near array<{id_type}>",
     )
     if sum(blocks.values()) == 1:
-        return first.select("vector", F.arrays_zip("d", F.col("near").alias("id")).cast(_FOUND).alias("found"))
+        return first.select("vector", F.arrays_zip("d", F.col("near").alias("id")).alias("found"))
     first = settle(first)
     # A row whose own block holds fewer than k other ids has no bound yet and visits every group.
     bound = F.when(F.size("d") >= k, F.element_at("d", k)).otherwise(F.lit(math.inf))
@@ -105,7 +104,7 @@ def _nearest_vectors(vectors: DataFrame, k: int, block_rows: int) -> DataFrame:
         first.select("vector", "v", "cell", "block", bound.alias("bound"))
         .mapInPandas(
             _groups_to_visit(pivots, groups),
-            "vector long, v array<double>, bound double, own int, own_block long, cell int",
+            f"vector {id_type}, v array<double>, bound double, own int, own_block long, cell int",
         )
     )
     waiting = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
@@ -129,7 +128,7 @@ def _nearest_vectors(vectors: DataFrame, k: int, block_rows: int) -> DataFrame:
     second = (
         queries.groupBy("cell", "block", "share")
         .cogroup(data.groupBy("cell", "block", "share"))
-        .applyInPandas(_search_block(k), "vector long, d double, id long")
+        .applyInPandas(_search_block(k), f"vector {id_type}, d double, id {id_type}")
     )
     near = first.select("vector", F.inline(F.arrays_zip("d", F.col("near").alias("id"))))
     merged = first_n(near.unionByName(second), ["vector"], [F.col("d"), F.col("id")], k)
@@ -142,7 +141,7 @@ def _per_group(like: DataFrame, name: str, values: dict[int, int]) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, f"cell int, {name} long")
 
 
-def _around_pivots(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _around_pivots(vectors: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
@@ -153,7 +152,7 @@ def _around_pivots(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
                 )
 
     return vectors.mapInPandas(
-        place, "v array<double>, ids array<long>, vector long, cell int, reach double"
+        place, f"v array<double>, ids array<{id_type}>, vector {id_type}, cell int, reach double"
     )
 
 
@@ -200,7 +199,7 @@ def _closest(query: np.ndarray, data: np.ndarray, ids: list, skip: np.ndarray, k
     Returns flat arrays: the query row, the distance and the id.
     """
     copies = np.array([min(len(i), k) for i in ids])
-    flat = np.concatenate([i[:k] for i in ids])
+    flat = np.array([one for i in ids for one in i[:k]])
     at_flat = np.cumsum(copies) - copies
     norms = (data**2).sum(axis=1)
     kth = min(k + 1, len(data)) - 1
@@ -245,7 +244,7 @@ def _search_own_block(k: int):
 def _search_block(k: int):
     def search(query: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(query) or not len(block):
-            return pd.DataFrame({"vector": [], "d": [], "id": []})
+            return pd.DataFrame({"vector": [], "d": [], "id": []}, dtype=object)
         place = pd.Series(np.arange(len(block)), index=block["vector"])
         skip = place.reindex(query["vector"]).fillna(-1).to_numpy(dtype=np.int64)
         row, d, near = _closest(
@@ -275,7 +274,7 @@ def knn_predict(
     null where a neighbour has distance 0, since its weight would be infinite.
     """
     near = knn_neighbors(df, id_col, features, k, block_rows)
-    targets = df.select(F.col(id_col).cast("long").alias("neighbor"), F.col(target).cast("double").alias("_t"))
+    targets = df.select(F.col(id_col).alias("neighbor"), F.col(target).cast("double").alias("_t"))
     weight = F.try_divide(F.lit(1.0), F.pow("distance", F.lit(float(exponent))))
     return near.join(targets, "neighbor").groupBy(id_col).agg(
         F.when(F.min("distance") > 0, F.try_divide(F.sum(F.col("_t") * weight), F.sum(weight))).alias("predicted"),

@@ -49,3 +49,13 @@ def test_prediction_is_the_weighted_mean(spark):
     assert rows[1].predicted == pytest.approx((20 / 1 + 40 / 3) / (1 + 1 / 3))
     assert (rows[1].comp_1, rows[1].comp_2) == (2, 3)
     assert rows[3].predicted is None and rows[4].predicted is None
+
+
+def test_text_ids_rank_by_code_point(spark):
+    names = {"b": (0.0, 0.0), "a": (1.0, 0.0), "C": (-1.0, 0.0), "d": (0.0, 5.0), "é": (0.0, 5.0)}
+    df = spark.createDataFrame([(n, *p) for n, p in names.items()], "id string, x double, y double")
+    for block_rows in (2, 4096):
+        got = {}
+        for row in knn_neighbors(df, "id", ["x", "y"], 3, block_rows).orderBy("id", "rn").collect():
+            got.setdefault(row.id, []).append(row.neighbor)
+        assert got == {i: [n for _, n in near] for i, near in brute(names, 3).items()}
