@@ -20,10 +20,15 @@ def _model(target: str, predictors: tuple[str, ...]) -> Column:
     raise ValueError("a predictor set has one or two columns")
 
 
-def _estimate(model: str, predictors: tuple[str, ...]) -> Column:
-    total = F.col(f"{model}.intercept")
-    for i, name in enumerate(predictors):
-        total = total + F.col(f"{model}.slopes")[i] * F.col(name)
+def _flat(name: str, predictors: tuple[str, ...]) -> list[Column]:
+    slopes = [F.col(f"{name}.slopes")[i].alias(f"{name}_{i}") for i in range(len(predictors))]
+    return [F.col(f"{name}.intercept").alias(name), *slopes]
+
+
+def _estimate(name: str, predictors: tuple[str, ...]) -> Column:
+    total = F.col(name)
+    for i, predictor in enumerate(predictors):
+        total = total + F.col(f"{name}_{i}") * F.col(predictor)
     return total
 
 
@@ -42,7 +47,9 @@ def impute_cascade(df: DataFrame, stages: list[Stage]) -> DataFrame:
             for target, sets in stage.items()
             for i, predictors in enumerate(sets)
         }
-        fitted = attach_stats(df, df.agg(*[_model(*spec).alias(name) for name, spec in models.items()]))
+        fits = df.agg(*[_model(*spec).alias(name) for name, spec in models.items()])
+        fits = fits.select(*[c for name, (_, predictors) in models.items() for c in _flat(name, predictors)])
+        fitted = attach_stats(df, fits)
         fills = {
             target: F.coalesce(
                 F.col(target), *[_estimate(f"_{target}_{i}", p) for i, p in enumerate(sets)]

@@ -61,9 +61,13 @@ def subtract_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def attach_stats(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put the columns of a one-row table next to every row of ``df``.
 
-    The one row is a scalar subquery: no join, and Spark refuses a table of two rows.
+    The row is computed now and becomes constants of the plan, as with a fitted model: no join and
+    no shuffle. A table of two rows is an error, an empty one gives nulls.
     """
-    row = one_row.select(F.struct(*one_row.columns).alias("_stats")).scalar()
-    return df.select("*", row.alias("_stats")).select(
-        *[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_stats.`{c}`") for c in one_row.columns]
+    found = one_row.limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("the table of statistics has more than one row")
+    values = found[0] if found else [None] * len(one_row.columns)
+    return df.withColumns(
+        {f.name: F.lit(value).cast(f.dataType) for f, value in zip(one_row.schema.fields, values)}
     )

@@ -30,15 +30,19 @@ def index_to_mean(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     ).drop(*[f"_{c}_mean" for c in cols])
 
 
-def index_to_rate(df: DataFrame, rates: dict[str, tuple[str, str]], by: list[str]) -> DataFrame:
-    """Add, per entry ``name: (num, den)``, the rate as a percentage of the rate of its group."""
+def index_to_rate(df: DataFrame, rates: dict[str, tuple[str, ...]], by: list[str]) -> DataFrame:
+    """Add, per entry ``name: (num, den)``, the rate as a percentage of the rate of its group.
+
+    A third column name in the entry is the numerator of the group's rate, if that is another one.
+    """
     out = _with_group_stats(
-        df, by, [group_rate(F.col(n), F.col(d)).alias(f"_{name}") for name, (n, d) in rates.items()]
+        df, by, [group_rate(F.col(spec[-1] if len(spec) > 2 else spec[0]), F.col(spec[1])).alias(f"_{name}")
+                 for name, spec in rates.items()]
     )
     return out.withColumns(
         {
-            name: F.try_divide(100 * F.try_divide(F.col(n), F.col(d)), F.col(f"_{name}"))
-            for name, (n, d) in rates.items()
+            name: F.try_divide(100 * F.try_divide(F.col(spec[0]), F.col(spec[1])), F.col(f"_{name}"))
+            for name, spec in rates.items()
         }
     ).drop(*[f"_{name}" for name in rates])
 

@@ -19,7 +19,7 @@ def adjusted_stats(
     period: str,
     keys: list[str],
     amounts: dict[str, tuple[str, str]] | None = None,
-    indexes: dict[str, tuple[str, str]] | None = None,
+    indexes: dict[str, tuple[str, ...]] | None = None,
 ) -> DataFrame:
     """Adjust a season table against its periods, then join the standings on ``keys``.
 
