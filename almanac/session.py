@@ -20,6 +20,7 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.abspath(__file__))
+    # Only the driver reads this folder; Spark serves the archive to the workers.
     folder = tempfile.mkdtemp(prefix="almanac-package-")
     archive = shutil.make_archive(
         os.path.join(folder, "almanac"), "zip", os.path.dirname(package), os.path.basename(package)
