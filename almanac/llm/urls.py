@@ -51,7 +51,8 @@ def rule_verdict(host: Column, path: Column, rules) -> Column:
         )
         for h, p, v in rules
     ]
-    return F.array_max(F.array_compact(F.array(*fits)))
+    fits = F.array(*fits).cast("array<struct<n:int,rule:string,verdict:string>>")
+    return F.array_max(F.array_compact(fits))
 
 
 def _entropy(text: Column) -> Column:
