@@ -13,7 +13,7 @@ import re
 from array import array
 
 # Distinct words, and distinct parts of words, remembered per worker before the memory starts anew.
-MEMORY = 600_000
+WORDS, PARTS = 300_000, 1_200_000
 
 # A space that touches white space, or stands at an end of the text, does not begin a word of its own.
 _ODD_SPACE = re.compile(r"\s |^ | \s| $")
@@ -46,8 +46,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text has none."""
-        for memory in (self._words, self._parts):
-            if len(memory) > MEMORY:
+        for memory, most in ((self._words, WORDS), (self._parts, PARTS)):
+            if len(memory) > most:
                 memory.clear()
         split, odd = [], []
         for text in texts:
