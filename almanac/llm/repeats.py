@@ -3,7 +3,7 @@
 Every string of ``WIDTH`` bytes contains one seed, the least hash of its ``SEED`` byte runs; equal strings
 have equal seeds at the same place. Seeds that only one document has settle their strings at once.
 The others bring their strings together by seed. There, strings are first held against those of the
-smallest document; what that leaves open and occurs again is sorted by suffix groups
+smallest documents; what that leaves open and occurs again is sorted by suffix groups
 (``suffixes.equal_runs``), and equal neighbours in that order decide.
 """
 
@@ -25,6 +25,12 @@ from almanac.session import ship_package
 WIDTH = 50
 SEED = 12
 
+# How many documents of a seed, the smallest first, the others are held against before suffixes are sorted.
+LEADERS = 8
+
+# Bytes of text whose seeds are computed at once: about 150 bytes of memory each.
+SLICE = 1_000_000
+
 # Rows of strings handled at once behind the exchange by seed; one seed's rows stay together.
 ROWS = 50_000
 
@@ -110,7 +116,7 @@ def _merged():
 def _shared_seeds(named: DataFrame) -> DataFrame:
     """Seeds that two documents or more have, with each of those documents."""
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, size=SLICE):
             s = _Seeds(texts)
             order = np.lexsort((s.hash, s.text))
             text, value = s.text[order], s.hash[order]
@@ -153,7 +159,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     The others lose theirs at once, as rows without ``run``; so a passage in very many documents is
     one row per slice behind the exchange.
     """
-    for part, texts in text_slices(batches):
+    for part, texts in text_slices(batches, size=SLICE):
         s = _Seeds(texts)
         wanted = np.unique(part.column(3).values.to_numpy().view(np.uint64)) if part.num_rows else np.zeros(0, np.uint64)
         # ListArray.values ignores the slice's offset: more seeds than needed do no harm.
@@ -213,13 +219,19 @@ def _removed(table: pa.Table) -> pa.RecordBatch:
     grid[row, column] = np.frombuffer(b"".join(runs), dtype=np.uint8)
     group = np.concatenate(([0], np.cumsum(seed[1:] != seed[:-1])))
     order = np.lexsort((doc, group))
-    leader = order[np.searchsorted(group[order], np.arange(group[-1] + 1))][group]
     there = grid >= 0
-    windows = _full(there)
-    same = windows & _full(there & (grid == grid[leader]))
-    gone = same & (doc > doc[leader])[:, None]
-    open_ = windows & ~same
-    open_[leader == np.arange(n)] = False
+    open_ = _full(there)
+    gone = np.zeros_like(open_)
+    for _ in range(LEADERS):
+        left = order[open_[order].any(axis=1)]
+        if not len(left):
+            break
+        leader, where = np.unique(group[left], return_index=True)
+        mine = left[where][np.searchsorted(leader, group[left])]
+        same = open_[left] & _full(there[left] & (grid[left] == grid[mine]))
+        gone[left] |= same & (doc[left] > doc[mine])[:, None]
+        # A leader's open strings are its own: no smaller document has them.
+        open_[left] &= ~same
     if open_.any():
         _decide_open(grid, open_, doc, back, runs, gone)
     # Neighbouring strings that go, as one span of bytes.
@@ -241,7 +253,7 @@ def _full(cells: np.ndarray) -> np.ndarray:
 
 
 def _decide_open(grid, open_, doc, back, runs, gone) -> None:
-    """Strings that the smallest document lacks: those that occur once stay, the rest goes by suffix groups."""
+    """Strings that the smallest documents lack: those that occur once stay, the rest goes by suffix groups."""
     r, c = np.nonzero(open_)
     rows = np.flatnonzero(open_.any(axis=1))
     letters = random_words(257, 7)[grid[rows] + 1]

@@ -55,7 +55,7 @@ def corpus():
 
 
 def test_removed_bytes_equal_plain_ones(spark):
-    rows = corpus() + [(None, "a" * 80)]
+
     rows.append((rows[30][0], rows[31][1]))
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, seed int, spans int").repartition(4)
     got = repeats.repeated_passages(df).mapInArrow(
@@ -72,3 +72,24 @@ def test_query(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in repeats.op10_suffix_array_dedup(spark, folder).collect()) == plain(rows)
+
+
+def test_every_number_of_leaders_gives_the_same(monkeypatch):
+    import pyarrow as pa
+
+    rows = [(d, t) for d, t in corpus()]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": [d for d, _ in rows], "tag": [0] * len(rows), "text": [t or "" for _, t in rows],
+        "seeds": pa.array([[] for _ in rows], pa.list_(pa.int64())),
+    })
+    seeds = repeats._Seeds([t or "" for _, t in rows]).hash.view("int64").tolist()
+    batch = batch.set_column(3, "seeds", pa.array([seeds] + [[]] * (len(rows) - 1), pa.list_(pa.int64())))
+    found = pa.Table.from_batches(list(repeats._stretches(iter([batch])))).to_pylist()
+    kept = sorted((r for r in found if r["run"] is not None), key=lambda r: r["seed"])
+    table = pa.RecordBatch.from_pylist([{k: r[k] for k in ("seed", "back", "run", "doc_id", "tag", "first")} for r in kept])
+    results = []
+    for leaders in (0, 1, 8):
+        monkeypatch.setattr(repeats, "LEADERS", leaders)
+        out = pa.Table.from_batches(list(repeats._compared(iter([table])))).to_pylist()
+        results.append({(r["doc_id"], b) for r in out for b in range(r["first"], r["end"])})
+    assert results[0] == results[1] == results[2] and results[0]
