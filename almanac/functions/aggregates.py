@@ -16,8 +16,8 @@ def strict_sum(col: Column, cond: Column | None = None) -> Column:
 
 
 def weighted_mean(x: Column, weight: Column) -> Column:
-    """``sum(x * weight) / sum(weight)``; null when the weights add up to 0."""
-    return F.try_divide(F.sum(x * weight), F.sum(weight))
+    """``sum(x * weight) / sum(weight)`` over the rows that have ``x``; null when their weights add up to 0."""
+    return F.try_divide(F.sum(x * weight), F.sum(F.when(x.isNotNull(), weight)))
 
 
 def group_rate(num: Column, den: Column) -> Column:

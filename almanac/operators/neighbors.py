@@ -45,7 +45,7 @@ def knn_neighbors(
     if not isinstance(df.schema[features[0]].dataType, T.ArrayType):
         df = df.where(none_missing(df, features))
     rows = df.select(F.col(id_col).alias("id"), feature_vector(df, features).alias("v"))
-    rows = rows.where(F.col("v").isNotNull())
+    rows = rows.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
     # One row per distinct vector, with enough of its ids that no neighbour can be missed.
     vectors = settle(
         first_n(rows, ["v"], [F.col("id")], k + 1)
@@ -271,12 +271,16 @@ def knn_predict(
     """Mean of the neighbours' targets weighted by ``1 / distance ** exponent``.
 
     Columns: the id, ``predicted`` and the nearest ids ``comp_1``, ``comp_2``, ... The prediction is
-    null where a neighbour has distance 0, since its weight would be infinite.
+    null where a neighbour has distance 0, since its weight would be infinite, and where a neighbour
+    has no target.
     """
     near = knn_neighbors(df, id_col, features, k, block_rows)
     targets = df.select(F.col(id_col).alias("neighbor"), F.col(target).cast("double").alias("_t"))
     weight = F.try_divide(F.lit(1.0), F.pow("distance", F.lit(float(exponent))))
     return near.join(targets, "neighbor").groupBy(id_col).agg(
-        F.when(F.min("distance") > 0, F.try_divide(F.sum(F.col("_t") * weight), F.sum(weight))).alias("predicted"),
+        F.when(
+            (F.min("distance") > 0) & (F.count("*") == F.count("_t")),
+            F.try_divide(F.sum(F.col("_t") * weight), F.sum(weight)),
+        ).alias("predicted"),
         *[F.max(F.when(F.col("rn") == i, F.col("neighbor"))).alias(f"comp_{i}") for i in range(1, comps + 1)],
     )

@@ -59,3 +59,16 @@ def test_text_ids_rank_by_code_point(spark):
         for row in knn_neighbors(df, "id", ["x", "y"], 3, block_rows).orderBy("id", "rn").collect():
             got.setdefault(row.id, []).append(row.neighbor)
         assert got == {i: [n for _, n in near] for i, near in brute(names, 3).items()}
+
+
+def test_gaps_in_vectors_and_targets(spark):
+    from almanac.functions.aggregates import weighted_mean
+    from almanac.operators.neighbors import knn_neighbors, knn_predict
+
+    rows = [(1, [0.0, 0.0], 10.0), (2, [1.0, 0.0], None), (3, [3.0, 0.0], 10.0), (4, [None, 0.0], 1.0), (5, [float("nan"), 0.0], 1.0)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, t double")
+    assert {r.id for r in knn_neighbors(df, "id", ["v"], 2).collect()} == {1, 2, 3}
+    predicted = {r.id: r.predicted for r in knn_predict(df, "id", ["v"], "t", 2).collect()}
+    assert predicted[1] is None and predicted[3] is None and abs(predicted[2] - 10) < 1e-9
+    pairs = spark.createDataFrame([(10.0, 1.0), (None, 1.0)], "x double, w double")
+    assert pairs.agg(weighted_mean(pairs.x, pairs.w).alias("m")).collect()[0].m == 10
