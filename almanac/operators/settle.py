@@ -29,14 +29,22 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/almanac-{uuid.uuid4().hex}"
 
 
+def _delete_at_the_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a written table when the session's JVM ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the written table.
 
     The rows then survive the loss of executors and are not computed again by each user.
     Spark also knows the true size of the table, so it broadcasts it in a join only when it
-    is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+    is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise. The files go
+    when the session ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.parquet(path)
+    _delete_at_the_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
