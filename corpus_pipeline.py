@@ -61,7 +61,7 @@ STAGES = [
     ("secret_removal", secret_removal), ("packing", packing),
 ]
 
-# Tokens and alignments have no SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
+# Tokens and alignments have no SQL; tests/llm/test_pipeline.py runs the stages on the smallest tables.
 ORACLE_SQL = None
 
 
