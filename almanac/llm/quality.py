@@ -53,8 +53,14 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """How many words stand in a run of ``width`` words that occurs twice or more in the text.
 
     Runs are compared by a 64-bit hash within one text. Sorting the hashes with their places keeps
-    this close to linear in the length of the text, whatever it repeats.
+    this close to linear in the length of the text, whatever it repeats. The words are bound once:
+    a filter on the result moves below the projection that makes them, and would split the text
+    anew for every window.
     """
+    return let(words, lambda w: _repeated(w, width))
+
+
+def _repeated(words: Column, width: int) -> Column:
     hashes = F.transform(
         F.sequence(F.lit(0), F.size(words) - width),
         lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]),
