@@ -161,7 +161,7 @@ def _rules() -> list[tuple[str, str, int, str]]:
         label, keyword, *patterns = [part.strip() for part in line.split(" | ")]
         for part in patterns:
             kind, pattern = part.split(": ", 1)
-            out.append((label, keyword, kinds[kind], f"(?<= )(?:{pattern})(?= )"))
+            out.append((label, keyword, kinds[kind], f" (?:{pattern})(?= )"))
     return out
 
 
@@ -187,11 +187,12 @@ def _detections(joined: Column) -> Column:
     In this order (start, longest first, priority) a detection is contained exactly if an earlier
     one of the same or a higher priority ends at or behind its end.
     """
-    candidates = F.filter(_rule_column(), lambda r: F.contains(joined, r["keyword"]))
+    # Patterns take the space before the first word along; it is no part of a detection.
+    candidates = F.filter(_rule_column(), lambda r: F.contains(joined, r["keyword"]) & F.rlike(joined, r["pattern"]))
     found = F.flatten(F.transform(candidates, lambda r: F.transform(
         match_spans(joined, r["pattern"]),
         lambda s: F.struct(
-            s["start"].alias("start"), (-s["end"]).alias("least"), r["kind"].alias("kind"), r["label"].alias("label")
+            (s["start"] + 1).alias("start"), (-s["end"]).alias("least"), r["kind"].alias("kind"), r["label"].alias("label")
         ),
     )))
 
