@@ -72,18 +72,18 @@ def _out_of_order(cells: DataFrame, keys: list[str], strip_rows: int, group_limi
             placed.where(~F.col("_x_single")).select(
                 *keys, F.lit(1).alias("_axis"), F.col("_x_strip").alias("_strip"), "x", "y", "w"
             ),
-            # Pairs in one strip of y but in different strips of x.
-            placed.where(~F.col("_y_single"))
-            .groupBy(*keys, "_y_strip", "_x_strip", "y")
-            .agg(F.sum("w").alias("w"))
-            .select(
-                *keys, F.lit(2).alias("_axis"), F.col("_y_strip").alias("_strip"),
-                F.col("_x_strip").cast(cells.schema["x"].dataType).alias("x"), "y", "w",
-            ),
         ]
+        # Pairs in one strip of y but in different strips of x, whose numbers stand for x, whatever the type of x.
+        across = placed.where(~F.col("_y_single")).groupBy(*keys, "_y_strip", "_x_strip", "y").agg(
+            F.sum("w").alias("w")
+        ).select(
+            *keys, F.lit(2).alias("_axis"), F.col("_y_strip").alias("_strip"), F.col("_x_strip").alias("x"), "y", "w"
+        )
         together = reduce(DataFrame.unionByName, strips)
+        packs = 2 * cells.count() // strip_rows
         counts = [
-            _count_in_strips(together, keys, 2 * cells.count() // strip_rows),
+            _count_in_strips(together, keys, packs),
+            _count_in_strips(across, keys, packs),
             _count_on_grid(placed, keys),
         ]
     return reduce(DataFrame.unionByName, counts).groupBy(*keys).agg(F.sum("d").alias("d"))
