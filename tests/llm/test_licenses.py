@@ -57,8 +57,35 @@ def test_longer_and_surer_rules_win(spark):
 def test_rules(spark):
     rules = licenses._rules()
     assert len(rules) > 200
-    for label, keyword, kind, pattern in rules:
-        re.compile(pattern)
-        # What the filter before a rule looks for must be part of whatever the rule finds.
-        assert any(word in keyword or keyword in word or word in pattern for word in licenses.GATE), (label, pattern)
+    texts = []
+    for label, kind, pattern, signals in rules:
+        for text in licenses.matched_texts(pattern[4:-6]):
+            text = text.replace("\0", "1999" if "[0-9]{4}" in pattern else "7")
+            assert re.search(pattern, f" {text} "), (pattern, text)
+            # What the filter before a rule looks for must be part of whatever the rule finds.
+            assert set(signals) & set(text.split()), (pattern, text)
+            texts.append((label, text))
+    # Every text of every rule gives a detection, of its own rule or of one that contains it.
+    found = licenses.license_labels(spark.createDataFrame(texts, "label string, text string"))
+    assert found.where("labels = ''").count() == 0
     assert licenses.license_labels(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_detections_equal_plain_rules(spark):
+    r = random.Random(2)
+    rules = licenses._rules()
+    pool = [t.replace("\0", "1999") for _, _, p, _ in rules for t in sorted(licenses.matched_texts(p[4:-6]))]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    got = licenses.license_labels(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for row in got:
+        joined = f" {row.text} "
+        spans = [
+            (m.start() + 1, -m.end(), kind, label) for label, kind, pattern, _ in rules
+            for m in re.finditer(pattern, joined)
+        ]
+        kept, ends = [], []
+        for start, least, kind, label in sorted(spans):
+            if not any(k <= kind and end >= -least for k, end in ends):
+                kept.append((start, -least, kind, label))
+            ends.append((kind, -least))
+        assert [tuple(d) for d in row.detections] == kept
