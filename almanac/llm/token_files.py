@@ -69,23 +69,24 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, before, docs, lengths, ids = (batch.column(k)[i] for k in range(5))
+                at, docs, lengths, ids = (batch.column(k)[i] for k in range(4))
                 raw = simple8b.decode(ids.as_py()).astype("<u4").tobytes()
                 lengths = np.array(lengths.as_py(), dtype=np.int64)
                 bounds = np.concatenate(([0], np.cumsum(lengths)))
                 yield pa.RecordBatch.from_arrays([
-                    docs.values, pa.array(np.full(len(lengths), part.as_py())), pa.array(before.as_py() + bounds[:-1]),
+                    docs.values, pa.array(at.as_py() + bounds[:-1]),
                     pa.array([raw[4 * a:4 * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
-                ], names=["doc_id", "part", "at", "ids"])
+                ], names=["doc_id", "start", "ids"])
 
-    found = records.select("part", "before", "docs", "lengths", "ids").mapInArrow(
-        documents, f"doc_id {kind}, part long, at long, ids binary"
-    )
-    # As many rows as files were written, never as many as documents.
+    # As many rows as files were written, never as many as documents: two numbers for each partition of the
+    # writer. They meet the records before these are decoded, so that no token is shuffled.
     parts = records.groupBy("part").agg(F.sum("n_ids").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    return found.join(parts, "part").select("doc_id", (F.col("first") + F.col("at")).alias("start"), "ids")
+    placed = records.join(F.broadcast(parts), "part")
+    return placed.select((F.col("first") + F.col("before")).alias("at"), "docs", "lengths", "ids").mapInArrow(
+        documents, f"doc_id {kind}, start long, ids binary"
+    )
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
