@@ -189,7 +189,12 @@ def class_scores(ranked: DataFrame) -> DataFrame:
 
 
 def overall_scores(predicted: DataFrame) -> DataFrame:
-    """Tau and p-value of both rankings over all classes together."""
+    """Tau and p-value of both rankings over all classes together: the rankings within the classes, pooled."""
+    return ranking_report(ranked_classes(predicted))
+
+
+def whole_table_scores(predicted: DataFrame) -> DataFrame:
+    """Tau and p-value of both rankings where all classes are ranked as one."""
     return ranking_report(prediction_rankings(predicted, [], "predicted", "av", "pick", "cfbref_id"))
 
 

@@ -5,6 +5,7 @@ All of it is Spark's own regular expressions per page; a page never leaves its r
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -58,9 +59,13 @@ def page_rows(pages: DataFrame, row_tag: str = "tr", cell_tag: str = "td|th") ->
 
 
 def page_links(pages: DataFrame, prefix: str = "") -> DataFrame:
-    """Link targets that start with ``prefix``: ``page_id``, ``link_no`` among all links, ``link``."""
-    links = F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)))
-    return pages.select("page_id", links.alias("link_no", "link")).where(F.col("link").startswith(prefix))
+    """Link targets that start with ``prefix``: ``page_id``, ``link_no`` among all links, ``link``.
+
+    The attribute may be in any case, its value in either kind of quotes or in none.
+    """
+    whole = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(0))
+    value = F.transform(whole, lambda a: F.regexp_replace(a, r"""(?i)^href\s*=\s*["']?|["']$""", ""))
+    return pages.select("page_id", F.posexplode(value).alias("link_no", "link")).where(F.col("link").startswith(prefix))
 
 
 def clean_name(text: Column) -> Column:
@@ -70,13 +75,14 @@ def clean_name(text: Column) -> Column:
 
 
 def clean_names(df: DataFrame) -> DataFrame:
-    """Rename all columns to snake case; a repeated name gets ``_2``, ``_3`` and so on."""
-    seen: dict[str, int] = {}
-    names = []
-    for column in df.columns:
-        name = re.sub(r"[^a-z0-9]+", "_", column.strip().lower()).strip("_") or "x"
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+    """Rename all columns to snake case; a repeated name gets the first of ``_2``, ``_3`` and so on that is free."""
+    plain = [re.sub(r"[^a-z0-9]+", "_", c.strip().lower()).strip("_") or "x" for c in df.columns]
+    taken, names = set(plain), []
+    for at, name in enumerate(plain):
+        if name in plain[:at]:
+            name = next(f"{name}_{n}" for n in itertools.count(2) if f"{name}_{n}" not in taken)
+            taken.add(name)
+        names.append(name)
     return df.toDF(*names)
 
 

@@ -111,3 +111,11 @@ def test_files(spark, tmp_path):
 def test_clean_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], ["Yds/Att", "yds att", " X1 "])
     assert clean_names(df).columns == ["yds_att", "yds_att_2", "x1"]
+
+
+def test_names_and_links_in_other_spellings(spark):
+    df = spark.createDataFrame([(1, 2, 3)], ["A", "a ", "a 2"])
+    assert clean_names(df).columns == ["a", "a_3", "a_2"]
+    html = """<a href="/a">1</a> <a HREF='/b'>2</a> <a href=/c>3</a> <a Href = "/d">4</a>"""
+    links = page_links(spark.createDataFrame([(1, html)], "page_id long, html string"), "/")
+    assert sorted((r.link_no, r.link) for r in links.collect()) == [(0, "/a"), (1, "/b"), (2, "/c"), (3, "/d")]
