@@ -1,7 +1,7 @@
-"""Benchmark decontamination: rare word runs of the test items find passages, local alignment scores them.
+"""Benchmark decontamination: word runs of the test items find passages, local alignment scores them.
 
 The test items are the stated query set. They are taken in blocks of bounded size; each block meets
-every document, so nothing is shuffled but counts and findings.
+every document, so nothing is shuffled but findings.
 """
 
 from __future__ import annotations
@@ -19,9 +19,6 @@ from almanac.session import ship_package
 # Words of a seed.
 SEED_WORDS = 3
 
-# A seed is rare if at most so many times as many documents hold it as hold the item's lower-quartile seed.
-RARE_FACTOR = 4
-
 # Alignment of words: a match, another word, a word left out on either side.
 MATCH, OTHER, GAP = 2, 1, 1
 
@@ -51,25 +48,14 @@ class _Items:
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.offset = self.seed[order], self.item[order], self.offset[order]
         self.distinct = np.unique(self.seed)
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
 
-    def only(self, documents: np.ndarray) -> "_Items":
-        """Keep the rare seeds of each item; ``documents`` counts the documents of each distinct seed."""
-        counts = documents[np.searchsorted(self.distinct, self.seed)]
-        keep = np.zeros(len(counts), dtype=bool)
-        for i in range(len(self.ids)):
-            mine = np.flatnonzero(self.item == i) if len(self.ids) < 2 else self._of(i)
-            if len(mine):
-                quartile = np.sort(counts[mine])[(len(mine) - 1) // 4]
-                keep[mine] = counts[mine] <= RARE_FACTOR * max(1, quartile)
-        self.seed, self.item, self.offset = self.seed[keep], self.item[keep], self.offset[keep]
-        self.distinct = np.unique(self.seed)
-        return self
-
-    def _of(self, i: int) -> np.ndarray:
-        if not hasattr(self, "_by_item"):
-            order = np.argsort(self.item, kind="stable")
-            self._by_item = np.split(order, np.searchsorted(self.item[order], np.arange(1, len(self.ids))))
-        return self._by_item[i]
+    def can_reach(self, i: int, passage: np.ndarray, least: float) -> bool:
+        """Whether the words that item and passage share, in any order, are enough for a share of ``least``."""
+        words, counts = self.bags[i]
+        index = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+        shared = np.bincount(index[words[index] == passage], minlength=len(words))
+        return np.minimum(shared, counts).sum() / len(self.words[i]) >= least
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, first word (counted over the batch) and index in ``distinct`` of every seed in the texts."""
@@ -118,8 +104,7 @@ def contaminated_passages(
     """One row per document and test item it holds: ``doc_id``, ``item_id``, ``score``, ``first_word``, ``end_word``.
 
     Words are runs of letters, digits and characters above U+007F, A-Z in lower case. Seeds are all
-    runs of three words of an item that are rare for it, counted over all documents. Around each
-    place with seeds in a row the passage is aligned to the item; ``score`` is the share of the best
+    runs of three words of an item, however many documents hold them. Around each place with seeds in a row the passage is aligned to the item; ``score`` is the share of the best
     possible score, and the best passage of the document is reported if it reaches ``least_score``
     (items below eight words: if it holds all of them in a row). A null or empty text or item has
     no findings. Repeated rows give repeated findings; other input columns take no part.
@@ -154,25 +139,8 @@ def _block_findings(rows: DataFrame, items: _Items, schema: str, least_score: fl
     context = rows.sparkSession.sparkContext
     everything = context.broadcast(items)  # at most block_words words
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = everything.value
-        totals = np.zeros(len(wanted.distinct), dtype=np.int64)
-        for _, texts in text_slices(batches):
-            text, _, seed = wanted.hits(Words(texts, NO_LETTER))
-            once = np.unique(text * max(1, len(totals)) + seed)
-            np.add.at(totals, once % max(1, len(totals)), 1)
-        seen = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(totals[seen])], names=["seed", "n"])
-
-    # As many rows as the block has seeds.
-    counts = rows.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    documents = np.zeros(len(items.distinct), dtype=np.int64)
-    for r in counts:
-        documents[r.seed] = r.n
-    rare = context.broadcast(items.only(documents))
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = rare.value
+        wanted = everything.value
         for part, texts in text_slices(batches):
             found = _findings(wanted, Words(texts, NO_LETTER), least_score)
             if found:
@@ -209,9 +177,12 @@ def _findings(items: _Items, words: Words, least_score: float) -> list[tuple]:
         begin = max(int(words.first[t]), int(along[a] - slack[a]))
         end = min(int(words.first[t + 1]), int(along[b] + length[a] + slack[a]))
         mine = items.words[i]
+        least = least_score if len(mine) >= LEAST_WORDS else 1.0
+        if not items.can_reach(i, words.hash[begin:end], least):
+            continue
         score, first, last = alignment(mine, words.hash[begin:end])
         share = score / (MATCH * len(mine))
-        if share >= (least_score if len(mine) >= LEAST_WORDS else 1.0) and share > best.get((t, i), (0.0,))[0]:
+        if share >= least and share > best.get((t, i), (0.0,))[0]:
             offset = begin - int(words.first[t])
             best[t, i] = (share, offset + first, offset + last)
     return [(t, i, *found) for (t, i), found in sorted(best.items())]

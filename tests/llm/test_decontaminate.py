@@ -85,3 +85,16 @@ def test_query_finds_whole_items(spark):
         for item in items:
             if item.text in doc.text:
                 assert (doc.doc_id, item.item_id) in found
+
+
+def test_items_copied_alike_by_many_documents(spark):
+    r = random.Random(3)
+    cut, edited = made(r, 40), made(r, 40)
+    copies = [cut[:28], edited[:10] + ["edited"] + edited[11:24] + made(r, 16)]
+    texts = [made(r, 30) + copies[k % 2] + made(r, 30) for k in range(100)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, " ".join(cut)), (1, " ".join(edited))], "item_id long, text string")
+    rows = d.contaminated_passages(docs, items).collect()
+    want = {(k, i): plain_alignment(item, t) / 80 for k, t in enumerate(texts) for i, item in enumerate((cut, edited))}
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == {k: v for k, v in want.items() if v >= 0.5}
+    assert len(rows) == 100
