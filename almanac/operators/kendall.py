@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from almanac.functions.missing import is_missing
 from almanac.operators.joins import matching_rows, null_safe_join
 from almanac.operators.keys import union_all
-from almanac.operators.numbering import GROUP_LIMIT, running_before
+from almanac.operators.numbering import running_before
 from almanac.operators.settle import settle
 from almanac.session import ship_package
 
@@ -36,7 +36,6 @@ def kendall_tau(
     b: str,
     by: list[str] | None = None,
     strip_rows: int = STRIP_ROWS,
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Tau-b of two columns per group (or over all rows) with its two-sided p-value.
 
@@ -52,11 +51,11 @@ def kendall_tau(
     cells = settle(
         values.groupBy(*keys, F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("w"))
     )
-    out = _scored(cells, _out_of_order(cells, keys, strip_rows, group_limit), keys)
+    out = _scored(cells, _out_of_order(cells, keys, strip_rows), keys)
     return out if by else out.drop("_all")
 
 
-def _out_of_order(cells: DataFrame, keys: list[str], strip_rows: int, group_limit: int) -> DataFrame:
+def _out_of_order(cells: DataFrame, keys: list[str], strip_rows: int) -> DataFrame:
     """Per group the number of row pairs ordered one way by x and the other way by y."""
     sizes = cells.groupBy(*keys).agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") > strip_rows)
@@ -65,7 +64,7 @@ def _out_of_order(cells: DataFrame, keys: list[str], strip_rows: int, group_limi
         counts = [_count_in_strips(cells.select(*plain), keys, 4 * cells.count() // strip_rows)]
     else:
         large = settle(large)
-        placed = _place_in_strips(cells, large, keys, strip_rows, group_limit)
+        placed = _place_in_strips(cells, large, keys, strip_rows)
         strips = [
             matching_rows(cells, large, keys, "left_anti").select(*plain),
             # Pairs in one strip of x.
@@ -90,7 +89,7 @@ def _out_of_order(cells: DataFrame, keys: list[str], strip_rows: int, group_limi
 
 
 def _place_in_strips(
-    cells: DataFrame, large: DataFrame, keys: list[str], strip_rows: int, group_limit: int
+    cells: DataFrame, large: DataFrame, keys: list[str], strip_rows: int
 ) -> DataFrame:
     """Give each distinct pair of a large group its strip along x and along y.
 
@@ -102,7 +101,7 @@ def _place_in_strips(
     placed = null_safe_join(cells, large.select(*keys, size.alias("_size")), keys)
     for axis in ("x", "y"):
         totals = settle(placed.groupBy(*keys, axis, "_size").agg(F.count("*").alias("_n")))
-        ranked = running_before(totals, keys, {"_before": ([F.col(axis)], F.col("_n"))}, group_limit)
+        ranked = running_before(totals, keys, {"_before": ([axis], F.col("_n"))})
         single = F.col("_n") >= F.col("_size")
         strip = 2 * F.floor(F.col("_before") / F.col("_size")) + single.cast("int")
         ranked = ranked.select(

@@ -69,8 +69,8 @@ def zip_rows(a: DataFrame, b: DataFrame, key: str, order_a: str, order_b: str) -
 
     Rows without a partner are dropped. An order column with the same name on both sides is kept once.
     """
-    left = row_numbers(a, [key], [F.col(order_a)], "_place")
-    right = row_numbers(b, [key], [F.col(order_b)], "_place")
+    left = row_numbers(a, [key], [order_a], "_place")
+    right = row_numbers(b, [key], [order_b], "_place")
     if order_b in a.columns:
         right = right.drop(order_b)
     return null_safe_join(left, right, [key, "_place"]).drop("_place")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.operators.kendall import kendall_tau
+from almanac.operators.numbering import Down
 from almanac.operators.ranking import rank_within
 from almanac.operators.rates import above_average, index_to_mean, index_to_rate
 from almanac.operators.settle import settle
@@ -78,15 +79,15 @@ SQL_CUSTOMER_SCORES = """
 # The outcome counts orders, so that it has ties.
 _SQL_RANKED = f"""
     SELECT c_nationkey, c_custkey,
-           row_number() OVER (PARTITION BY {{by}} ORDER BY c_acctbal DESC, c_custkey)::INT AS our_ranking,
-           row_number() OVER (PARTITION BY {{by}} ORDER BY orders DESC, c_acctbal DESC, c_custkey)::INT AS real_ranking,
-           row_number() OVER (PARTITION BY {{by}} ORDER BY total, orders DESC, c_acctbal DESC, c_custkey)::INT AS baseline_ranking
+           row_number() OVER (PARTITION BY {{by}} ORDER BY c_acctbal DESC, c_custkey) AS our_ranking,
+           row_number() OVER (PARTITION BY {{by}} ORDER BY orders DESC, c_acctbal DESC, c_custkey) AS real_ranking,
+           row_number() OVER (PARTITION BY {{by}} ORDER BY total, orders DESC, c_acctbal DESC, c_custkey) AS baseline_ranking
     FROM ({SQL_CUSTOMER_SCORES})
 """
 
 
-def _ranked(t, by):
-    return prediction_rankings(customer_scores(t), by, "c_acctbal", "orders", "total", "c_custkey").select(
+def _ranked(t, by, outcome_ties="prediction"):
+    return prediction_rankings(customer_scores(t), by, "c_acctbal", "orders", "total", "c_custkey", outcome_ties).select(
         "c_nationkey", "c_custkey", "our_ranking", "real_ranking", "baseline_ranking"
     )
 
@@ -101,15 +102,35 @@ def rankings_overall(t):
     return _ranked(t, [])
 
 
+_SQL_RANKED_BY_BASELINE = f"""
+    SELECT c_nationkey, c_custkey,
+           row_number() OVER ({{by}} ORDER BY c_acctbal DESC, c_custkey) AS our_ranking,
+           row_number() OVER ({{by}} ORDER BY orders DESC, total, c_acctbal DESC, c_custkey) AS real_ranking,
+           row_number() OVER ({{by}} ORDER BY total, c_acctbal DESC, c_custkey) AS baseline_ranking
+    FROM ({SQL_CUSTOMER_SCORES})
+"""
+
+
+@query(_SQL_RANKED_BY_BASELINE.format(by=""))
+def rankings_overall_by_baseline(t):
+    """Equal outcomes rank by the baseline, as where a table sorted by the baseline is sorted again."""
+    return _ranked(t, [], "baseline")
+
+
+@query(_SQL_RANKED_BY_BASELINE.format(by="PARTITION BY c_nationkey"))
+def rankings_per_group_by_baseline(t):
+    return _ranked(t, ["c_nationkey"], "baseline")
+
+
 @query("""
     SELECT l_orderkey, l_linenumber, row_number() OVER (
-        ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate)::INT AS place
+        ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS place
     FROM lineitem
 """)
 def lines_ranked_overall(t):
     tie = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
     lines = t.lineitem.select("l_extendedprice", *tie)
-    out = rank_within(lines, [], {"place": [F.desc("l_extendedprice"), *[F.asc(c) for c in tie]]})
+    out = rank_within(lines, [], {"place": [Down("l_extendedprice"), *tie]})
     return out.select("l_orderkey", "l_linenumber", "place")
 
 

@@ -194,8 +194,8 @@ def overall_scores(predicted: DataFrame) -> DataFrame:
 
 
 def whole_table_scores(predicted: DataFrame) -> DataFrame:
-    """Tau and p-value of both rankings where all classes are ranked as one."""
-    return ranking_report(prediction_rankings(predicted, [], "predicted", "av", "pick", "cfbref_id"))
+    """Tau and p-value of both rankings where all classes are ranked as one; equal values rank by the pick."""
+    return ranking_report(prediction_rankings(predicted, [], "predicted", "av", "pick", "cfbref_id", "baseline"))
 
 
 def projected_by_neighbors(rows: DataFrame, position: str, features: list[str]) -> DataFrame:

@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from almanac.operators.holdout import leave_group_out
 from almanac.operators.joins import null_safe_join
 from almanac.operators.kendall import kendall_tau
 from almanac.operators.neighbors import knn_predict
+from almanac.operators.numbering import Down
 from almanac.operators.ranking import rank_within
 from almanac.operators.settle import settle
 from almanac.operators.summary import scale_z, weight_features
 
 
 def prediction_rankings(
-    df: DataFrame, by: list[str], predicted: str, outcome: str, baseline: str, tie: str
+    df: DataFrame, by: list[str], predicted: str, outcome: str, baseline: str, tie: str,
+    outcome_ties: str = "prediction",
 ) -> DataFrame:
     """Add ``our_ranking``, ``real_ranking`` and ``baseline_ranking`` within each group.
 
-    Predictions and outcomes rank from high to low, the baseline from low to high. Equal outcomes
-    rank by the prediction; what is still equal ranks by ``tie``.
+    Predictions and outcomes rank from high to low, the baseline from low to high. With ``outcome_ties`` of
+    ``"prediction"`` equal outcomes rank by the prediction, and equal baselines by the outcome; with ``"baseline"``
+    equal outcomes rank by the baseline, and equal baselines by the prediction. What is still equal
+    ranks by ``tie``.
     """
-    ours: list[Column] = [F.desc_nulls_last(predicted), F.asc(tie)]
-    return rank_within(
-        df,
-        by,
-        {
-            "our_ranking": ours,
-            "real_ranking": [F.desc_nulls_last(outcome), *ours],
-            "baseline_ranking": [F.asc_nulls_last(baseline), F.desc_nulls_last(outcome), *ours],
-        },
-    )
+    if outcome_ties not in ("prediction", "baseline"):
+        raise ValueError("outcome_ties is 'prediction' or 'baseline'")
+    ours = [Down(predicted), tie]
+    low_first = F.coalesce(F.col(baseline).isNull(), F.lit(False))  # missing baselines last
+    base = [low_first, baseline]
+    if outcome_ties == "prediction":
+        real = [Down(outcome), *ours]
+        base = [*base, *real]
+    else:
+        base = [*base, *ours]
+        real = [Down(outcome), *base]
+    return rank_within(df, by, {"our_ranking": ours, "real_ranking": real, "baseline_ranking": base})
 
 
 def ranking_report(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:

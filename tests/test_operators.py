@@ -12,7 +12,7 @@ from almanac.operators.keys import (
     first_n, keep_first, match_by_name, numeric_rows, repeated_keys, replace_groups, rule_filter, split_rows,
     union_all, zip_rows,
 )
-from almanac.operators.numbering import row_numbers, running_before
+from almanac.operators.numbering import Down, row_numbers, running_before
 from almanac.operators.ranking import rank_within
 from almanac.operators.rates import above_average, career_rollup, index_to_mean, index_to_rate, weighted_composite
 from almanac.operators.summary import correlation_screen, histogram, ols1, ols2, scale_z, weight_features
@@ -95,8 +95,7 @@ def test_replace_stack_split_and_filters(spark):
     assert [r[0] for r in rows(kept, "id")] == [1, 3]
 
 
-@pytest.mark.parametrize("limit", [3, 1_000_000])
-def test_numbering_of_hot_groups(spark, limit):
+def test_numbering_of_hot_groups(spark):
     r = np.random.default_rng(5)
     data = [("hot" if i % 3 else ("b" if i % 2 else None), i, int(v)) for i, v in enumerate(r.integers(0, 20, 90))]
     df = spark.createDataFrame(data, "g string, id int, v int")
@@ -105,15 +104,22 @@ def test_numbering_of_hot_groups(spark, limit):
         group = sorted((v, i) for h, i, v in data if h == g)
         for n, (v, i) in enumerate(group):
             want[i], totals[i] = n + 1, sum(x for x, _ in group[:n])
-    order = [F.asc("v"), F.asc("id")]
-    assert {r.id: r.n for r in row_numbers(df, ["g"], order, "n", limit).collect()} == want
-    got = running_before(df, ["g"], {"s": (order, F.col("v"))}, limit)
+    order = ["v", F.col("id")]
+    assert {r.id: r.n for r in row_numbers(df, ["g"], order, "n").collect()} == want
+    got = running_before(df, ["g"], {"s": (order, F.col("v"))})
     assert {r.id: r.s for r in got.collect()} == totals
+    # Counts, weights and another order at once.
+    got = running_before(df, ["g"], {"s": (order, F.col("v")), "n": (order, None), "back": ([Down("id")], F.col("v"))})
+    assert got.columns == ["g", "id", "v", "s", "n", "back"]
+    assert got.schema["n"].dataType.simpleString() == "bigint"
+    back = {i: sum(v for h, j, v in data if h == g and j > i) for g, i, _ in data}
+    assert {r.id: (r.s, r.n + 1, r.back) for r in got.collect()} == {i: (totals[i], want[i], back[i]) for i in want}
+    assert row_numbers(df.limit(0), ["g"], order, "n").count() == 0
 
 
 def test_rank_overall_and_within(spark):
     df = spark.createDataFrame([(1, "a", 3.0), (2, "a", 3.0), (3, "b", 9.0)], "id int, g string, v double")
-    specs = {"high": [F.desc("v"), F.asc("id")], "low": [F.asc("v"), F.desc("id")]}
+    specs = {"high": [Down("v"), "id"], "low": ["v", Down("id")]}
     assert rows(rank_within(df, [], specs), "id") == [(1, "a", 3.0, 2, 2), (2, "a", 3.0, 3, 1), (3, "b", 9.0, 1, 3)]
     assert rows(rank_within(df, ["g"], specs), "id") == [(1, "a", 3.0, 1, 2), (2, "a", 3.0, 2, 1), (3, "b", 9.0, 1, 1)]
 
