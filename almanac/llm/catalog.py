@@ -11,13 +11,14 @@ from almanac.llm.repeats import op10_suffix_array_dedup
 from almanac.llm.secrets import op5_secret_scans
 from almanac.llm.token_files import op8_token_ids
 from almanac.llm.urls import op7_url_filters
+from almanac.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_packing, op3_chat_formatting, op4_benchmark_decontamination, op5_secret_scans,
         op6_license_scans, op7_url_filters, op8_token_ids, op9_quality_rules,
-        op10_suffix_array_dedup, op12_source_mix,
+        op10_suffix_array_dedup, op11_embedding_whitening, op12_source_mix,
     )
 }
 ORACLES = {
