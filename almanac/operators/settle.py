@@ -35,16 +35,16 @@ def _delete_at_the_end(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the written table.
 
     The rows then survive the loss of executors and are not computed again by each user.
     Spark also knows the true size of the table, so it broadcasts it in a join only when it
     is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise. The files go
-    when the session ends.
+    when the session ends. ``compression`` names a Parquet codec other than that of the session.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _delete_at_the_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
