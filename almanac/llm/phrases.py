@@ -35,13 +35,16 @@ TOP = 2000
 NO_LANGUAGE = "und"
 
 # Bytes of text that share one slice of the relation; one longer text makes a slice of its own.
-SLICE_BYTES = 1 << 25
+SLICE_BYTES = 1 << 24
 
-# A slice is numbered by its task and its place there, a word by its slice and its place there.
-_SLICES_PER_TASK, _WORDS_PER_SLICE = 1 << 13, 1 << 30
+# A slice is numbered by its task and its place there.
+_SLICES_PER_TASK = 1 << 13
 
-# Two places of a slice as one number.
-_PAIR = 31
+# A group is numbered by its slice and its place there, below this power of two; so are two places of a slice.
+_PLACE = 31
+
+# Rows of one batch on the way out of a task.
+_BATCH = 1 << 16
 
 _WORD, _GAP, _BREAK = 0, 1, 2
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -87,7 +90,7 @@ def _occurrences(texts: list[str], langs: list[str]):
     n = len(start)
     if not n:
         return None
-    piece = np.cumsum(kind == _BREAK, dtype=np.int64)[start]
+    piece = np.searchsorted(np.flatnonzero(kind == _BREAK), start)
     ends = np.cumsum(np.fromiter((len(e) + 1 for e in encoded), dtype=np.int64, count=len(encoded)))
     document = np.searchsorted(ends, start, side="right")
 
@@ -115,48 +118,59 @@ def _occurrences(texts: list[str], langs: list[str]):
 
 def _line(planes: bytes) -> np.ndarray:
     """Places of the words of a slice in order, -1 between pieces."""
-    return np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) - 1
+    return np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view("<i4").ravel() - 1
+
+
+def _neighbours(now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where an occurrence has another one a position later, and both places as one number."""
+    at = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0))
+    return at, now[at].astype(np.int64) << _PLACE | now[at + 1]
 
 
-def _frequent(groups: DataFrame, keys: list[str], own: Column, least: int) -> DataFrame:
-    """Rows of the groups that have ``least`` occurrences over all slices, with ``f``, their number, and ``id``, their first row.
+def _frequent(groups: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Rows of the groups that have ``least`` occurrences over all slices, with ``f``, their number, and ``id``, the least ``own``.
 
     A slice gives one row per group, so no group has more rows than there are slices.
     """
     whole = Window.partitionBy(*keys)
-    counted = groups.withColumn("own", own).withColumn("f", F.sum("c").over(whole)).where(F.col("f") >= least)
-    return counted.withColumn("id", F.min("own").over(whole))
+    counted = groups.withColumn("f", F.sum("c").over(whole)).withColumn("id", F.min("own").over(whole))
+    return counted.where(F.col("f") >= least)
 
 
 def _extended(length: int):
     """Merge the relation of a slice with itself, one position apart, to groups of ``length`` words.
 
-    The right table holds the frequent groups of the lengths before, by their places in the slice.
+    The right table holds the frequent groups of the lengths before. A pair of neighbours is numbered among the
+    distinct ones of its slice, so that the numbers can be found again from the relation.
     """
     taken = [f"w{i}" for i in range(1, length)]
 
     def extend(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        now = _line(left.column("at")[0].as_py()) if left.num_rows else np.zeros(0, dtype=np.int64)
-        level, code = (right.column(c).to_numpy() for c in ("level", "code"))
-        # Words keep their own places; longer groups get their place among the frequent ones of the slice.
-        for at in range(min(2, length - 1), length):
+        now = _line(left.column("at")[0].as_py()) if left.num_rows else np.zeros(0, dtype=np.int32)
+        level = right.column("level").to_numpy()
+        place = right.column("own").to_numpy() & ((1 << _PLACE) - 1)
+        for at in range(2, length):
             rows = np.flatnonzero(level == at)
-            rows = rows[np.argsort(code[rows])]
-            frequent = code[rows]
-            seen = now if at == 1 else np.where((now[:-1] >= 0) & (now[1:] >= 0), now[:-1] << _PAIR | now[1:], -1)
-            place = np.minimum(np.searchsorted(frequent, seen), max(len(frequent) - 1, 0))
-            hit = frequent[place] == seen if len(frequent) else np.zeros(len(seen), dtype=bool)
-            now = np.where(hit, seen if at == 1 else place, -1)
-        first, second = now[:-1], now[1:]
-        both = (first >= 0) & (second >= 0)
-        codes, counts = np.unique(first[both] << _PAIR | second[both], return_counts=True)
-        a, b = codes >> _PAIR, codes & ((1 << _PAIR) - 1)
-        if length == 2:
-            a, b = np.searchsorted(frequent, a), np.searchsorted(frequent, b)
+            rows = rows[np.argsort(place[rows])]
+            here, codes = _neighbours(now)
+            distinct, inverse = np.unique(codes, return_inverse=True)
+            kept = np.full(len(distinct), -1, dtype=np.int32)
+            kept[place[rows]] = np.arange(len(rows))
+            longer = np.full(max(len(now) - 1, 0), -1, dtype=np.int32)
+            longer[here] = kept[inverse]
+            now = longer
+        codes, counts = np.unique(_neighbours(now)[1], return_counts=True)
+        first, second = codes >> _PLACE, codes & ((1 << _PLACE) - 1)
+        if length == 2:  # words that are not frequent are still there
+            rows = np.full(int(max(place.max(initial=0), now.max(initial=0))) + 1, -1, dtype=np.int64)
+            rows[place] = np.arange(len(place))
+        first, second = rows[first], rows[second]
+        found = np.flatnonzero((first >= 0) & (second >= 0))
         # Shorter groups have no word in the last columns, and are not taken.
-        columns = {c: pc.fill_null(right.column(c), 0).to_numpy()[rows] for c in taken}
-        out = {"slice": np.full(len(codes), key[0].as_py()), "code": codes, **{c: columns[c][a] for c in taken}}
-        return pa.table({**out, f"w{length}": columns[taken[-1]][b], "c": counts.astype(np.int64)})
+        columns = {c: pc.fill_null(right.column(c), 0).to_numpy() for c in taken}
+        out = {"own": (int(key[0].as_py()) << _PLACE) + found, **{c: columns[c][first[found]] for c in taken}}
+        out |= {f"w{length}": columns[taken[-1]][second[found]], "c": counts[found].astype(np.int64)}
+        return pa.Table.from_batches(pa.table(out).to_batches(max_chunksize=_BATCH), pa.table(out).schema)
 
     return extend
 
@@ -169,31 +183,30 @@ def frequent_phrases(
     The first table of the list has ``w1`` (a number for a word of a language), ``lang``, ``word`` and ``f``; those of more words
     ``w1``, ``w2``, ... and ``f``.
     """
-    relation = settle(word_relation(docs, text, lang))
-    words = relation.select("slice", "names", F.posexplode(F.arrays_zip("words", "langs", "counts")).alias("code", "g")).select(
-        "slice", "code", F.get("names", F.col("g.langs")).alias("lang"), F.col("g.words").alias("word"), F.col("g.counts").alias("c")
+    relation = settle(word_relation(docs, text, lang), "zstd")
+    words = relation.select("slice", "names", F.posexplode(F.arrays_zip("words", "langs", "counts")).alias("place", "g")).select(
+        (F.shiftleft("slice", _PLACE) + F.col("place")).alias("own"), F.get("names", F.col("g.langs")).alias("lang"),
+        F.col("g.words").alias("word"), F.col("g.counts").alias("c"),
     )
     sizes = settle(words.groupBy("lang").agg(F.sum("c").alias("n")))
-    own = F.col("slice") * _WORDS_PER_SLICE + F.col("code")
-    seen = _frequent(words, ["lang", "word"], own, least_count)
+    seen = _frequent(words, ["lang", "word"], least_count)
     first = F.col("own") == F.col("id")
-    seen = settle(seen.select("slice", F.col("code").cast("long").alias("code"), F.col("id").alias("w1"), "f", first.alias("first"),
-                              *[F.when(first, F.col(c)).alias(c) for c in ("lang", "word")]))
-    found = [seen.where("first").select("w1", "lang", "word", "f")]
-    before = [seen.select("slice", F.lit(1).alias("level"), "code", "w1")]
-    line = relation.select("slice", "at")
+    # What tells a word, once; a word is known by the number of its first row.
+    seen = settle(seen.select("own", F.col("id").alias("w1"), *[F.when(first, F.col(c)).alias(c) for c in ("f", "lang", "word")]), "zstd")
+    found = [seen.where("word is not null").select("w1", "lang", "word", "f")]
+    before = [seen.select(F.lit(1).alias("level"), "own", "w1")]
+    slice_ = F.shiftright("own", _PLACE).alias("slice")
     for length in range(2, most_words + 1):
         names = [f"w{i}" for i in range(1, length + 1)]
         known = before if length == 2 else before[1:]
         known = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), known)
-        known = known.select("slice", "level", "code", *names[:-1])
-        groups = line.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(
-            _extended(length), "slice long, code long, " + ", ".join(f"{c} long" for c in names) + ", c long"
+        groups = relation.select("slice", "at").groupBy("slice").cogroup(known.groupBy(slice_)).applyInArrow(
+            _extended(length), "own long, " + ", ".join(f"{c} long" for c in names) + ", c long"
         )
-        seen = _frequent(groups, names, F.col("slice"), least_count)
-        seen = settle(seen.select("slice", "code", *names, "f", (F.col("own") == F.col("id")).alias("first")))
-        found.append(seen.where("first").select(*names, "f"))
-        before.append(seen.select("slice", F.lit(length).alias("level"), "code", *names))
+        seen = _frequent(groups, names, least_count)
+        seen = settle(seen.select("own", *names, F.when(F.col("own") == F.col("id"), F.col("f")).alias("f")), "zstd")
+        found.append(seen.where("f is not null").select(*names, "f"))
+        before.append(seen.select(F.lit(length).alias("level"), "own", *names))
     return sizes, found
 
 
