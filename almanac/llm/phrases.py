@@ -210,36 +210,39 @@ def frequent_phrases(
     return sizes, found
 
 
-def _scored(found: list[DataFrame], length: int) -> DataFrame:
-    """The phrases of one length with ``a``, and ``l``, ``r``, ``score`` of the cut that scores least."""
+def _not_covered(found: list[DataFrame], length: int, percent: int) -> DataFrame:
+    """The phrases of one length with ``a``, without those that a longer one holds and that occur mostly there."""
     names = [f"w{i}" for i in range(1, length + 1)]
     out = found[length - 1].select(*names, F.col("f").alias("a"))
-    cuts = []
+    inside = [
+        found[longer - 1].select(*[F.col(f"w{i + start}").alias(name) for i, name in enumerate(names, 1)], "f")
+        for longer in range(length + 1, len(found) + 1) for start in range(longer - length + 1)
+    ]
+    if not inside:
+        return out
+    most = reduce(DataFrame.unionByName, inside).groupBy(*names).agg(F.max("f").alias("_longer"))
+    out = out.join(most, names, "left")
+    return out.where(F.col("_longer").isNull() | (100 * F.col("_longer") < percent * F.col("a"))).drop("_longer")
+
+
+def _scored(phrases: DataFrame, found: list[DataFrame], length: int) -> DataFrame:
+    """Phrases (``w1``, ``w2``, ..., ``a``) of one length with ``lang`` and ``l``, ``r``, ``score`` of the cut that scores least."""
+    names = [f"w{i}" for i in range(1, length + 1)]
+    out, cuts = phrases, []
     for k in range(1, length):
         for part, side in ((names[:k], "l"), (names[k:], "r")):
             counts = found[len(part) - 1].select(
-                *[F.col(f"w{i}").alias(name) for i, name in enumerate(part, 1)], F.col("f").alias(f"{side}{k}")
+                *[F.col(f"w{i}").alias(name) for i, name in enumerate(part, 1)], F.col("f").alias(f"{side}{k}"),
+                *(["lang"] if part == ["w1"] else []),
             )
             out = out.join(counts, part)
         # Whole numbers of up to 38 digits: counts up to 10^15.
         score = F.expr(f"1000000 * cast(a as decimal(18,0)) * cast(a as decimal(18,0)) div (cast(l{k} as decimal(18,0)) * cast(r{k} as decimal(18,0)))")
         cuts.append(F.struct(score.cast("long").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")))
     least = F.array_min(F.array(*cuts))
-    return out.withColumn("_cut", least).select(*names, "a", *[F.col(f"_cut.{c}").alias(c) for c in ("l", "r", "score")])
-
-
-def _not_covered(found: list[DataFrame], scored: DataFrame, length: int, percent: int) -> DataFrame:
-    """Without the phrases that a longer one holds and that occur mostly there."""
-    names = [f"w{i}" for i in range(1, length + 1)]
-    inside = [
-        found[longer - 1].select(*[F.col(f"w{i + start}").alias(name) for i, name in enumerate(names, 1)], "f")
-        for longer in range(length + 1, len(found) + 1) for start in range(longer - length + 1)
-    ]
-    if not inside:
-        return scored
-    most = reduce(DataFrame.unionByName, inside).groupBy(*names).agg(F.max("f").alias("_longer"))
-    out = scored.join(most, names, "left")
-    return out.where(F.col("_longer").isNull() | (100 * F.col("_longer") < percent * F.col("a"))).drop("_longer")
+    return out.withColumn("_cut", least).select(
+        "lang", F.array(*names).alias("ids"), "a", *[F.col(f"_cut.{c}").alias(c) for c in ("l", "r", "score")]
+    )
 
 
 def collocations(
@@ -256,18 +259,16 @@ def collocations(
     language) and ``score``. Null texts are empty, a null language is ``und``; repeated rows count each time; other columns have no part in it; no words give no rows.
     """
     sizes, found = frequent_phrases(docs, most_words, least_count, text, lang)
-    words = found[0]
-    parts = []
-    for length in range(2, most_words + 1):
-        names = [f"w{i}" for i in range(1, length + 1)]
-        out = _not_covered(found, _scored(found, length), length, covered_percent)
-        for i, name in enumerate(names):
-            extra = [F.col("word").alias(f"t{i}")] + ([F.col("lang")] if i == 0 else [])
-            out = out.join(words.select(F.col("w1").alias(name), *extra), name)
-        parts.append(out.select("lang", F.concat_ws(" ", *[f"t{i}" for i in range(length)]).alias("phrase"), "a", "l", "r", "score"))
-    together = reduce(DataFrame.unionByName, parts)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = together.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    lengths = range(2, most_words + 1)
+    scored = reduce(DataFrame.unionByName, [_scored(_not_covered(found, n, covered_percent), found, n) for n in lengths])
+    # Equal phrases of the last place stay until their words decide.
+    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+    near = scored.withColumn("_place", F.rank().over(best)).where(F.col("_place") <= top).drop("_place")
+    spelled = near.select("*", F.posexplode("ids").alias("at", "w1")).join(found[0].select("w1", "word"), "w1")
+    spelled = spelled.groupBy(*near.columns).agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
+    phrase = F.array_join(F.transform("words", lambda x: x["word"]), " ")
+    last = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = spelled.withColumn("phrase", phrase).withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )

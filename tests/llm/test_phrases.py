@@ -70,7 +70,8 @@ def test_exact_scores_of_large_counts(spark):
     big = 10**14 + 7
     found = [spark.createDataFrame([(1, "en", "a", 3 * big), (2, "en", "b", 2 * big)], "w1 long, lang string, word string, f long"),
              spark.createDataFrame([(1, 2, big)], "w1 long, w2 long, f long")]
-    assert ph._scored(found, 2).first().score == 10**6 * big * big // (6 * big * big)
+    pairs = ph._not_covered(found, 2, 50)
+    assert ph._scored(pairs, found, 2).first().score == 10**6 * big * big // (6 * big * big)
 
 
 def test_query_equals_sql(spark):
