@@ -12,7 +12,7 @@ from almanac.llm.columns import let
 from almanac.operators.settle import settle
 
 START, END = "<|im_start|>", "<|im_end|>"
-_START, _END = "<\\|im_start\\|>", "<\\|im_end\\|>\\n"
+_START = "<\\|im_start\\|>"
 _TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -67,10 +67,17 @@ def parsed(formatted: Column) -> Column:
         ),
         lambda acc: acc["turns"],
     ))
-    # Every piece is a role without markers, one line end and a text closed exactly once, at its end.
+    # Every piece is a role without markers, one line end and a text closed exactly once, at its end. Texts are
+    # searched for the closing mark, not matched: a pattern would recurse on every change between wide and narrow characters.
+    closing = END + "\n"
+
+    def closed(x: Column) -> Column:
+        role = F.substring_index(x, "\n", 1)
+        at = F.locate(closing, x)
+        return (at == F.length(x) - len(closing) + 1) & (at >= F.length(role) + 2) & ~role.contains("<|")
+
     fits = let(pieces, lambda p: (F.get(p, F.lit(0)) == "") & F.forall(
-        F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))),
-        lambda x: x.rlike(f"(?s)\\A[^\\n]*\\n(?:(?!{_END}).)*{_END}\\z") & ~F.substring_index(x, "\n", 1).contains("<|"),
+        F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), closed
     ))
     return F.when(fits, whole)
 

@@ -32,7 +32,7 @@ def n_of(text: Column, characters: str) -> Column:
 def beside(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with more columns; an input column of the same name gives way, in whatever case it is written."""
     taken = {name.lower() for name in columns}
-    kept = [f"`{c}`" for c in df.columns if c.lower() not in taken]
+    kept = ["`" + c.replace("`", "``") + "`" for c in df.columns if c.lower() not in taken]
     return df.select(*kept, *[col.alias(name) for name, col in columns.items()])
 
 

@@ -26,7 +26,7 @@ IDENTIFIER = (
 )
 ENDPOINT = (
     "(?i:\\b[a-z][a-z0-9+]{1,15}://[a-z0-9][a-z0-9.-]*"
-    "|\\b(?:host|hostname|endpoint|server)[\"']?[ \\t]*[:=][ \\t]*[\"']?[a-z0-9-]+(?:\\.[a-z0-9-]+)+)"
+    "|\\b(?:host|hostname|endpoint|server)[\"']?[ \\t]*[:=][ \\t]*[\"']?[a-z0-9-]++(?:\\.[a-z0-9-]++)++)"
 )
 WEAK_SECRET = (
     "(?i:\\b(?:password|passwd|pass|pwd|secret|token|auth|credential|key)[\"']?[ \\t]*[:=][ \\t]*[\"']?)"
@@ -34,8 +34,7 @@ WEAK_SECRET = (
 )
 WEAK_WORDS = ("pass", "pwd", "secret", "token", "auth", "credential", "key")
 
-# Parts belong together within one scope (lines up to a blank one) and this many characters.
-REACH = 300
+# Parts belong together within one scope: lines up to a blank one.
 SCOPE_END = "\\n[ \\t\\r]*\\n"
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -67,7 +66,7 @@ def _base_spans(text: Column) -> Column:
 
 
 def _linked_spans(text: Column) -> Column:
-    """Weak secrets with an identifier and, for bare ones, also an endpoint in reach within their scope."""
+    """Weak secrets with an identifier and, for bare ones, also an endpoint in their scope."""
     scopes = let(
         F.struct(F.split(text, SCOPE_END, -1).alias("text"), match_spans(text, SCOPE_END).alias("ends")),
         lambda x: F.transform(x["text"], lambda s, i: F.struct(
@@ -76,21 +75,26 @@ def _linked_spans(text: Column) -> Column:
     )
     scopes = F.filter(scopes, lambda s: s["text"].rlike(IDENTIFIER) & s["text"].rlike(WEAK_SECRET))
 
-    def near(parts: Column, s: Column) -> Column:
+    def reach(parts: Column) -> Column:
+        # The first part to end and the last to start say whether any stands apart from a secret.
+        return F.struct(
+            F.array_min(F.transform(parts, lambda p: p["end"])).alias("first_end"),
+            F.array_max(F.transform(parts, lambda p: p["start"])).alias("last_start"),
+        )
+
+    def beside_any(parts: Column, s: Column) -> Column:
         # Apart from the secret itself: a part of the same characters does not complete it.
-        return F.exists(parts, lambda p: (
-            ((p["end"] <= s["start"]) & (s["start"] - p["end"] <= REACH))
-            | ((p["start"] >= s["end"]) & (p["start"] - s["end"] <= REACH))
-        ))
+        return F.coalesce((parts["first_end"] <= s["start"]) | (parts["last_start"] >= s["end"]), F.lit(False))
 
     def found(scope: Column) -> Column:
         parts = F.struct(
-            match_spans(scope["text"], IDENTIFIER).alias("ids"), match_spans(scope["text"], ENDPOINT).alias("ends"),
+            reach(match_spans(scope["text"], IDENTIFIER)).alias("ids"),
+            reach(match_spans(scope["text"], ENDPOINT)).alias("ends"),
             match_spans(scope["text"], WEAK_SECRET).alias("weak"),
         )
         return let(parts, lambda x: F.transform(
-            F.filter(x["weak"], lambda s: near(x["ids"], s) & (
-                s["got"].rlike("[:=]") | near(x["ends"], s)
+            F.filter(x["weak"], lambda s: beside_any(x["ids"], s) & (
+                s["got"].rlike("[:=]") | beside_any(x["ends"], s)
             )),
             lambda s: F.struct(
                 (s["start"] + scope["at"]).alias("start"), F.lit(KINDS.index("linked")).alias("kind"),
@@ -106,9 +110,8 @@ def secret_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``secrets``: structs ``start``, ``kind`` (place in ``KINDS``) and ``end``, sorted.
 
     Places are code points, ends exclusive. ``assign``, ``access`` and ``hex`` are found anywhere.
-    ``linked`` marks weak secrets with an access identifier within ``REACH`` characters in the same
-    scope; a secret without a name before it also needs an endpoint in reach. A null or empty text
-    has no spans. Every row gives one row; an input column named ``secrets`` gives way.
+    ``linked`` marks weak secrets with an access identifier elsewhere in the same scope, however long; a secret
+    without a name before it also needs an endpoint there. A null or empty text has no spans. Every row gives one row; an input column named ``secrets`` gives way.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     return beside(df, {"secrets": F.sort_array(F.concat(_base_spans(whole), _linked_spans(whole)))})
