@@ -1,8 +1,9 @@
 """Kendall's rank correlation without forming pairs of rows.
 
-Pairs out of order are counted by sorting. A large group is cut into strips of equal ranks
-along both columns: pairs that share a strip are counted inside it, pairs that share none are
-counted on the grid of strips, whose size does not exceed that of the group.
+Pairs out of order are counted by sorting. A large group is cut into strips of equal ranks along both columns: pairs that
+share a strip are counted inside it. For pairs that share none, the strips are the ranks and the occupied cells of
+their grid the weighted rows of a smaller problem of the same kind, which is counted, or cut, in the same way. All counts are
+whole numbers of any size.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from almanac.functions.missing import is_missing
 from almanac.operators.joins import matching_rows, null_safe_join
@@ -57,35 +58,32 @@ def kendall_tau(
 
 def _out_of_order(cells: DataFrame, keys: list[str], strip_rows: int) -> DataFrame:
     """Per group the number of row pairs ordered one way by x and the other way by y."""
-    sizes = cells.groupBy(*keys).agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > strip_rows)
-    plain = [*keys, F.lit(0).alias("_axis"), F.lit(0).cast("long").alias("_strip"), "x", "y", "w"]
-    if large.isEmpty():
-        counts = [_count_in_strips(cells.select(*plain), keys, 4 * cells.count() // strip_rows)]
-    else:
-        large = settle(large)
+    counts = []
+    while True:
+        packs = 4 * cells.count() // strip_rows
+        whole = [*keys, F.lit(0).alias("_axis"), F.lit(0).cast("long").alias("_strip"), "x", "y", "w"]
+        large = settle(cells.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > strip_rows))
+        if large.isEmpty():
+            counts.append(_count_in_strips(cells.select(*whole), keys, packs))
+            return reduce(DataFrame.unionByName, counts).groupBy(*keys).agg(F.sum("d").alias("d"))
         placed = _place_in_strips(cells, large, keys, strip_rows)
-        strips = [
-            matching_rows(cells, large, keys, "left_anti").select(*plain),
-            # Pairs in one strip of x.
-            placed.where(~F.col("_x_single")).select(
-                *keys, F.lit(1).alias("_axis"), F.col("_x_strip").alias("_strip"), "x", "y", "w"
-            ),
-        ]
+        # Pairs in one strip of x, and all pairs of the small groups.
+        along_x = placed.where(~F.col("_x_single")).select(
+            *keys, F.lit(1).alias("_axis"), F.col("_x_strip").alias("_strip"), "x", "y", "w"
+        )
+        small = matching_rows(cells, large, keys, "left_anti").select(*whole)
+        counts.append(_count_in_strips(small.unionByName(along_x), keys, packs))
         # Pairs in one strip of y but in different strips of x, whose numbers stand for x, whatever the type of x.
         across = placed.where(~F.col("_y_single")).groupBy(*keys, "_y_strip", "_x_strip", "y").agg(
             F.sum("w").alias("w")
         ).select(
             *keys, F.lit(2).alias("_axis"), F.col("_y_strip").alias("_strip"), F.col("_x_strip").alias("x"), "y", "w"
         )
-        together = reduce(DataFrame.unionByName, strips)
-        packs = 2 * cells.count() // strip_rows
-        counts = [
-            _count_in_strips(together, keys, packs),
-            _count_in_strips(across, keys, packs),
-            _count_on_grid(placed, keys),
-        ]
-    return reduce(DataFrame.unionByName, counts).groupBy(*keys).agg(F.sum("d").alias("d"))
+        counts.append(_count_in_strips(across, keys, packs))
+        # Pairs that share neither strip: the occupied cells of the grid, at most a quarter as many as before.
+        cells = settle(placed.groupBy(*keys, F.col("_x_strip").alias("x"), F.col("_y_strip").alias("y")).agg(
+            F.sum("w").alias("w")
+        ))
 
 
 def _place_in_strips(
@@ -123,92 +121,93 @@ def _count_in_strips(strips: DataFrame, keys: list[str], packs: int) -> DataFram
         found = inversions(segment, pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
         first = ~pdf.duplicated([*keys, "_axis", "_strip"])
         out = pdf.loc[first, keys].copy()
-        out["d"] = [Decimal(int(v)) for v in found[segment[first.to_numpy()]]]
+        out["d"] = [Decimal(v) for v in found[segment[first.to_numpy()]]]
         return out
 
     return strips.groupBy(pack.alias("_pack")).applyInPandas(count, schema)
 
 
+# Weights and their sums are handled in parts of this many bits, so that a product of two parts fits into 64.
+_PART = 31
+
+
+def _parts(values: list[np.ndarray]) -> list[np.ndarray]:
+    """Numbers given as parts of any size, as parts of ``_PART`` bits; the highest ones only if they are needed."""
+    out, carry = [], 0
+    for value in values:
+        value = value + carry
+        out.append(value & ((1 << _PART) - 1))
+        carry = value >> _PART
+    while np.any(carry):
+        out.append(carry & ((1 << _PART) - 1))
+        carry = carry >> _PART
+    return out
+
+
 def inversions(segment: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weight of the pairs with smaller x and larger y, per segment (0, 1, 2, ...).
+    """Weight of the pairs with smaller x and larger y, per segment (0, 1, 2, ...), as whole numbers of any size.
 
     Splits the ranks of y bit by bit from the top: at each bit, a row with a 0 is out of order
     with every earlier row of its block that has a 1. Then the zeros of each block move to its front.
     """
     n = len(segment)
     if n == 0:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=object)
     order = np.lexsort((y, x, segment))
     segment = segment[order]
-    # Products of weights stay whole numbers unless they would not fit.
-    w = w[order].astype(np.int64 if float(w.sum()) ** 2 < 2**62 else np.float64)
+    w = _parts([w[order].astype(np.int64)])
     rank = np.unique(y, return_inverse=True)[1].reshape(-1)[order]
     segment_at = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-    found = np.zeros(len(segment_at), dtype=w.dtype)
+    found: dict[int, np.ndarray] = {}  # per power of 2 ** _PART
+
+    def count(power: int, values: np.ndarray) -> None:
+        sums = np.add.reduceat(values, segment_at)
+        found[power] = found[power] + sums if power in found else sums
+
     start = segment_at
     here = np.arange(n)
     for bit in range(int(rank.max()).bit_length() - 1, -1, -1):
         lengths = np.diff(np.r_[start, n])
         one = (rank >> bit) & 1
-        heavy = one * w
-        total = np.cumsum(heavy)
-        ahead = total - heavy
-        ahead -= np.repeat(ahead[start], lengths)
-        found += np.add.reduceat((1 - one) * w * ahead, segment_at)
+        ahead = []
+        for part in w:
+            heavy = one * part
+            before = np.cumsum(heavy) - heavy
+            ahead.append(before - np.repeat(before[start], lengths))
+        ahead = _parts(ahead)
+        for i, part in enumerate(w):
+            light = (1 - one) * part
+            for j, other in enumerate(ahead):
+                product = light * other
+                count(i + j, product & ((1 << _PART) - 1))
+                if len(w) > 1 or len(ahead) > 1 or product.max(initial=0) >> _PART:
+                    count(i + j + 1, product >> _PART)
         zeros_before = np.cumsum(1 - one) - (1 - one)
         zeros = np.add.reduceat(1 - one, start)
         zeros_before -= np.repeat(zeros_before[start], lengths)
         first = np.repeat(start, lengths)
         ones_before = here - first - zeros_before
         to = first + np.where(one == 1, np.repeat(zeros, lengths) + ones_before, zeros_before)
-        moved_rank, moved_w = np.empty_like(rank), np.empty_like(w)
-        moved_rank[to], moved_w[to] = rank, w
-        rank, w = moved_rank, moved_w
+        moved = [np.empty_like(rank), *[np.empty_like(part) for part in w]]
+        for new, old in zip(moved, [rank, *w]):
+            new[to] = old
+        rank, w = moved[0], moved[1:]
         start = np.unique(np.r_[start, (start + zeros)[zeros < lengths]])
-    out = np.zeros(int(segment.max()) + 1, dtype=w.dtype)
-    out[segment[segment_at]] = found
+    out = np.zeros(int(segment.max()) + 1, dtype=object)
+    for power, sums in found.items():
+        out[segment[segment_at]] += sums.astype(object) << (_PART * power)
     return out
 
 
-def _count_on_grid(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """Count pairs that share neither strip, from the row counts of the grid of strips."""
-    grid = placed.groupBy(*keys, "_x_strip", "_y_strip").agg(F.sum("w").alias("w"))
-    edges = grid.groupBy(*keys).agg(
-        F.max("_x_strip").alias("_x_last"), F.max("_y_strip").alias("_y_last")
-    )
-    full = (
-        edges.withColumn("_x_strip", F.explode(F.sequence(F.lit(0).cast("long"), "_x_last")))
-        .withColumn("_y_strip", F.explode(F.sequence(F.lit(0).cast("long"), "_y_last")))
-        .select(*keys, "_x_strip", "_y_strip")
-    )
-    filled = null_safe_join(full, grid, [*keys, "_x_strip", "_y_strip"], "left").fillna(0, ["w"])
-    above = (
-        Window.partitionBy(*keys, "_x_strip").orderBy(F.desc("_y_strip"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    left_of = (
-        Window.partitionBy(*keys, "_y_strip").orderBy("_x_strip")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ahead = (
-        filled.withColumn("_above", F.coalesce(F.sum("w").over(above), F.lit(0)))
-        .withColumn("_ahead", F.coalesce(F.sum("_above").over(left_of), F.lit(0)))
-    )
-    exact = "decimal(19,0)"
-    return ahead.groupBy(*keys).agg(
-        F.sum((F.col("w").cast(exact) * F.col("_ahead").cast(exact)).cast("decimal(38,0)"))
-        .cast("decimal(38,0)").alias("d")
-    )
-
-
 def _scored(cells: DataFrame, out_of_order: DataFrame, keys: list[str]) -> DataFrame:
-    w, t = F.col("w").cast("double"), F.col("t").cast("double")
+    exact = "decimal(18,0)"
+    w, t = F.col("w").cast(exact), F.col("t").cast("double")
     parts = [out_of_order, cells.select(*keys, F.col("w").alias("n"), (w * (w - 1)).alias("_both"))]
     for axis in ("x", "y"):
         ties = cells.groupBy(*keys, axis).agg(F.sum("w").alias("t")).where(F.col("t") > 1)
         parts.append(
             ties.select(
-                *keys, (t * (t - 1)).alias(f"_{axis}2"), (t * (t - 1) * (t - 2)).alias(f"_{axis}3"),
+                *keys, (F.col("t").cast(exact) * (F.col("t").cast(exact) - 1)).alias(f"_{axis}2"), (t * (t - 1) * (t - 2)).alias(f"_{axis}3"),
                 (t * (t - 1) * (2 * t + 5)).alias(f"_{axis}v"),
             )
         )
@@ -218,9 +217,12 @@ def _scored(cells: DataFrame, out_of_order: DataFrame, keys: list[str]) -> DataF
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]
     )
     n = F.col("n").cast("double")
+    x2, y2 = F.col("_x2").cast("double"), F.col("_y2").cast("double")
     pairs = n * (n - 1) / 2
-    x2, y2 = F.col("_x2"), F.col("_y2")
-    s = pairs - x2 / 2 - y2 / 2 + F.col("_both") / 2 - 2 * F.col("d").cast("double")
+    # Pairs in order less pairs out of order, in whole numbers until they are divided.
+    both = "decimal(38,0)"
+    ordered = [F.col("n").cast(exact) * (F.col("n").cast(exact) - 1), -F.col("_x2"), -F.col("_y2"), F.col("_both"), -4 * F.col("d")]
+    s = reduce(add, [c.cast(both) for c in ordered]).cast("double") / 2
     variance = reduce(
         add,
         [
@@ -253,14 +255,14 @@ def _up_to(n: int) -> np.ndarray:
 def _p_value(
     n: pd.Series, tau: pd.Series, z: pd.Series, no_ties: pd.Series, d: pd.Series
 ) -> pd.Series:
-    def one(n, tau, z, no_ties, d):
-        if pd.isna(tau):
-            return None
-        if no_ties and n < _EXACT_BELOW:
-            table = _up_to(int(n))
-            agree = len(table) - 1 - int(d)
-            below = table[agree - 1] if agree > 0 else 0.0
-            return float(min(1.0, 2 * min(table[agree], 1 - below)))
-        return None if pd.isna(z) else math.erfc(abs(z) / math.sqrt(2))
-
-    return pd.Series([one(*row) for row in zip(n, tau, z, no_ties, d)], dtype="float64")
+    out = pd.Series(np.nan, index=n.index, dtype="float64")
+    known = tau.notna()
+    exact = known & no_ties & (n < _EXACT_BELOW)
+    for size in n[exact].unique():
+        rows = exact & (n == size)
+        table = np.concatenate(([0.0], _up_to(int(size))))
+        agree = len(table) - 2 - d[rows].to_numpy().astype(np.int64)
+        out[rows] = np.minimum(1.0, 2 * np.minimum(table[agree + 1], 1 - table[agree]))
+    normal = known & ~exact & z.notna()
+    out[normal] = np.frompyfunc(math.erfc, 1, 1)((z[normal].abs() / math.sqrt(2)).to_numpy()).astype(np.float64)
+    return out  # NaN becomes null

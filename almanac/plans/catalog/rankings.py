@@ -173,7 +173,7 @@ def kendall_with_many_ties(t):
 
 # All pairs of 60,000 rows are too many for SQL, but quantities are few: for each price and quantity, count the
 # rows of that quantity below and above the price, and compare every row with those counts.
-@query(f"""
+_SQL_ORDER_LINES = f"""
     WITH cells AS (SELECT l_quantity AS x, l_extendedprice AS y, count(*) AS w FROM lineitem GROUP BY 1, 2),
          grid AS (SELECT a.x, b.y, coalesce(c.w, 0) AS w FROM (SELECT DISTINCT x FROM cells) a
                   CROSS JOIN (SELECT DISTINCT y FROM cells) b LEFT JOIN cells c ON a.x = c.x AND b.y = c.y),
@@ -190,13 +190,23 @@ def kendall_with_many_ties(t):
            {r("s / sqrt((n * (n - 1) * (2 * n + 5) - xv - yv) / 18 + x2 * y2 / (2 * n * (n - 1))"
               " + x3 * y3 / (9 * n * (n - 1) * (n - 2)))", 9)} AS z
     FROM score, tx, ty, size
-""")
+"""
+
+
+@query(_SQL_ORDER_LINES)
 def kendall_of_order_lines(t):
     """All order lines as one group."""
     out = kendall_tau(t.lineitem, "l_quantity", "l_extendedprice")
     return out.select("n", *[rounded(c, 9).alias(c) for c in ("tau", "z")])
 
 
+@query(_SQL_ORDER_LINES)
+def kendall_of_order_lines_in_strips(t):
+    """The same in strips of a thousandth of the usual size, so that the grid of strips is cut again."""
+    out = kendall_tau(t.lineitem, "l_quantity", "l_extendedprice", strip_rows=1 << 10)
+    return out.select("n", *[rounded(c, 9).alias(c) for c in ("tau", "z")])
+
+
 @query(f"""
     SELECT c_nationkey, a.n, our_tau, baseline_tau
     FROM (SELECT g AS c_nationkey, n, our_tau FROM (

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from almanac.operators.holdout import leave_group_out
-from almanac.operators.joins import null_safe_join
 from almanac.operators.kendall import kendall_tau
 from almanac.operators.neighbors import knn_predict
 from almanac.operators.numbering import Down
@@ -40,19 +39,25 @@ def prediction_rankings(
 
 
 def ranking_report(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Tau and p-value of our ranking and of the baseline against the real one, side by side."""
-    ranked = settle(ranked.select(*(by or []), "our_ranking", "real_ranking", "baseline_ranking"))
-    ours = kendall_tau(ranked, "our_ranking", "real_ranking", by)
-    base = kendall_tau(ranked, "baseline_ranking", "real_ranking", by)
-    keys = by or ["_all"]
-    if not by:
-        ours, base = ours.withColumn("_all", F.lit(0)), base.withColumn("_all", F.lit(0))
-    out = null_safe_join(
-        ours.select(*keys, "n", F.col("tau").alias("our_tau"), F.col("p_value").alias("our_p_value")),
-        base.select(*keys, F.col("tau").alias("baseline_tau"), F.col("p_value").alias("baseline_p_value")),
-        keys,
+    """Tau and p-value of our ranking and of the baseline against the real one, side by side.
+
+    Both rankings are groups of one table, so one run scores them.
+    """
+    keys = by or []
+    names = {"our_ranking": "our", "baseline_ranking": "baseline"}
+    rankings = F.explode(F.array(*[F.struct(F.lit(name).alias("which"), F.col(c).alias("ranking")) for c, name in names.items()]))
+    stacked = ranked.select(*keys, "real_ranking", rankings.alias("_r")).select(
+        *keys, F.col("_r.which").alias("_which"), F.col("_r.ranking").alias("ranking"), "real_ranking"
+    )
+    scored = kendall_tau(stacked, "ranking", "real_ranking", [*keys, "_which"])
+
+    def of(name: str, column: str):
+        return F.max(F.when(F.col("_which") == name, F.col(column)))
+
+    return scored.groupBy(*keys).agg(
+        of("our", "n").alias("n"), of("our", "tau").alias("our_tau"), of("our", "p_value").alias("our_p_value"),
+        of("baseline", "tau").alias("baseline_tau"), of("baseline", "p_value").alias("baseline_p_value"),
     )
-    return out if by else out.drop("_all")
 
 
 def holdout_report(

@@ -68,6 +68,26 @@ def test_inversions_against_pairs():
         assert list(inversions(segment, x, y, w)) == want
 
 
+def test_inversions_of_huge_weights():
+    # Products beyond 64 bits, and a total beyond them too.
+    one = 2**31 + 1
+    assert list(inversions(np.zeros(3, int), np.arange(3), np.array([3, 2, 1]), np.full(3, one))) == [3 * one * one]
+    r = np.random.default_rng(8)
+    x, y = r.integers(0, 12, 40), r.integers(0, 12, 40)
+    w = np.array([int(v) for v in r.integers(1, 2**62, 40)])
+    want = sum(int(w[i]) * int(w[j]) for i in range(40) for j in range(40) if x[i] < x[j] and y[i] > y[j])
+    assert list(inversions(np.zeros(40, int), x, y, w)) == [want]
+
+
+@pytest.mark.parametrize("strip_rows", [4, 16, 64, 256, 1 << 20])
+def test_every_strip_size_gives_the_same(spark, strip_rows):
+    r = np.random.default_rng(12)
+    rows = [("a", float(p), float(q)) for p, q in zip(r.integers(0, 300, 900), r.integers(0, 30, 900))]
+    rows += [("b", float(p), float(p // 7)) for p in r.integers(0, 90, 100)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    check(rows, kendall_tau(df, "x", "y", ["g"], strip_rows=strip_rows).collect())
+
+
 def test_small_groups_with_and_without_ties(spark):
     r = np.random.default_rng(1)
     rows = [("one", 1.0, 2.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("two", 1.0, 2.0), ("two", 2.0, 1.0)]
