@@ -42,17 +42,25 @@ def knn_neighbors(
     ``neighbor`` and ``distance``. Rows that miss a feature take no part.
     """
     ship_package(df.sparkSession)
+    rows, vectors = distinct_vectors(df, id_col, features, k)
+    return neighbors_of_rows(rows, vectors, _nearest_vectors(vectors, k, block_rows), id_col, k)
+
+
+def distinct_vectors(df: DataFrame, id_col: str, features: list[str], k: int) -> tuple[DataFrame, DataFrame]:
+    """Rows without missing features (``id``, ``v``), and one row per distinct vector: ``v`` and ``ids``.
+
+    ``ids`` are the ``k + 1`` least of the vector, so that no neighbour can be missed.
+    """
     if not isinstance(df.schema[features[0]].dataType, T.ArrayType):
         df = df.where(none_missing(df, features))
     rows = df.select(F.col(id_col).alias("id"), feature_vector(df, features).alias("v"))
     rows = rows.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
-    # One row per distinct vector, with enough of its ids that no neighbour can be missed.
-    vectors = settle(
-        first_n(rows, ["v"], [F.col("id")], k + 1)
-        .groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    )
-    others = _nearest_vectors(vectors, k, block_rows)
+    vectors = first_n(rows, ["v"], [F.col("id")], k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return rows, settle(vectors)
+
 
+def neighbors_of_rows(rows: DataFrame, vectors: DataFrame, others: DataFrame, id_col: str, k: int) -> DataFrame:
+    """The neighbours of every row: other ids of its own vector first, then those that ``others`` has for the vector."""
     own = F.transform(
         F.filter("ids", lambda i: i != F.col("id")),
         lambda i: F.struct(F.lit(0.0).alias("d"), i.alias("id")),

@@ -10,6 +10,7 @@ from almanac.operators.holdout import (
     refit_groups, stacked_predict,
 )
 from almanac.operators.impute import impute_cascade
+from almanac.operators.cells import knn_neighbors_in_cells
 from almanac.operators.neighbors import knn_neighbors, knn_predict
 from almanac.operators.rates import career_rollup, weighted_composite
 from almanac.operators.settle import settle
@@ -187,6 +188,13 @@ def nearest_vectors(t):
     return out.select("vec_id", "rn", "neighbor", rounded("distance", 6).alias("distance"))
 
 
+@query(f"SELECT vec_id, rn, neighbor, {r('distance', 6)} AS distance FROM ({_SQL_NEAREST})")
+def nearest_vectors_in_cells(t):
+    """All embeddings through the tree of cells; equal to the exact search while 16 probes reach all cells (16,384 vectors)."""
+    out = knn_neighbors_in_cells(t.embeddings, "vec_id", ["embedding"], 10)
+    return out.select("vec_id", "rn", "neighbor", rounded("distance", 6).alias("distance"))
+
+
 @query(f"""
     SELECT vec_id, {r("sum(label / distance) / sum(1 / distance)", 6)} AS predicted,
            max(neighbor) FILTER (rn = 1) AS comp_1, max(neighbor) FILTER (rn = 2) AS comp_2,

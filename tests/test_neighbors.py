@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from almanac.operators.cells import knn_neighbors_in_cells
 from almanac.operators.neighbors import knn_neighbors, knn_predict
 
 
@@ -72,3 +73,47 @@ def test_gaps_in_vectors_and_targets(spark):
     assert predicted[1] is None and predicted[3] is None and abs(predicted[2] - 10) < 1e-9
     pairs = spark.createDataFrame([(10.0, 1.0), (None, 1.0)], "x double, w double")
     assert pairs.agg(weighted_mean(pairs.x, pairs.w).alias("m")).collect()[0].m == 10
+
+
+def test_cells_are_exact_when_all_are_searched(spark):
+    r = np.random.default_rng(4)
+    points = {i: tuple(map(float, p)) for i, p in enumerate(r.normal(size=(160, 3)).round(2))}
+    points.update({200 + i: (0.5, 0.5, 0.5) for i in range(70)})
+    df = spark.createDataFrame([(i, list(p)) for i, p in points.items()], "id long, v array<double>")
+    got = {}
+    for row in knn_neighbors_in_cells(df, "id", ["v"], 4, cell_rows=20, probes=1000, fan=3).orderBy("id", "rn").collect():
+        got.setdefault(row.id, []).append(row.neighbor)
+    assert got == {i: [n for _, n in near] for i, near in brute(points, 4).items()}
+    nothing = knn_neighbors_in_cells(df.limit(0), "id", ["v"], 4)
+    assert nothing.count() == 0 and nothing.columns == ["id", "rn", "neighbor", "distance"]
+
+
+def recall(spark, points, k, **kwargs):
+    """Share of the exact neighbours that the cells find, over the rows whose id is divisible by 100."""
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    got = {}
+    for row in knn_neighbors_in_cells(df, "id", ["v"], k, **kwargs).where("id % 100 = 0").collect():
+        got.setdefault(row.id, set()).add(row.neighbor)
+    hits = 0
+    asked = range(0, len(points), 100)
+    for i in asked:
+        d = ((points - points[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits += len(got[i] & set(np.argsort(d, kind="stable")[:k].tolist()))
+    return hits / (k * len(asked))
+
+
+def test_recall_on_groups_in_many_dimensions(spark):
+    """Wide vectors around many centres: 8 of about 120 cells, in two levels."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(60, 48)) * 2
+    points = centres[r.integers(0, 60, 6000)] + r.normal(size=(6000, 48)) * 0.7
+    assert recall(spark, points, 10, cell_rows=100, probes=8, fan=16) >= 0.9
+
+
+def test_recall_on_the_embeddings(spark):
+    """Vectors almost without structure, where half of the cells have to be searched."""
+    import pyarrow.parquet as pq
+
+    points = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist())
+    assert recall(spark, points, 10, cell_rows=1024, probes=12, fan=20) >= 0.9
