@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from almanac.functions.scalars import number, prefix_match
 from almanac.operators.joins import matching_rows, null_safe_join
@@ -47,16 +47,34 @@ def union_all(frames: list[DataFrame | None]) -> DataFrame:
     )
 
 
-def split_rows(df: DataFrame, weights: list[float], seed: int) -> list[DataFrame]:
-    """Split the rows at random with the given probabilities."""
-    return df.randomSplit([float(w) for w in weights], seed)
+def split_rows(df: DataFrame, weights: list[float], seed: int, keys: list[str] | None = None) -> list[DataFrame]:
+    """Split the rows at random with the given probabilities, by a hash of their ``keys`` (all columns by default) and the seed.
+
+    The side of a row follows from its keys alone: it survives other partitions, other rows and a second
+    run, and rows with equal keys stay together. Every row is on exactly one side.
+    """
+    if not weights or any(w < 0 for w in weights) or sum(weights) <= 0:
+        raise ValueError("weights are not negative, and not all 0")
+    # 53 bits of the hash, as a number from 0 up to 1.
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in keys or df.columns]), 11) / F.lit(float(1 << 53))
+    ends = [sum(weights[: i + 1]) / sum(weights) for i in range(len(weights))]
+    ends[-1] = 1.0
+    return [df.where((place >= start) & (place < end)) for start, end in zip([0.0, *ends], ends)]
 
 
-def numeric_rows(df: DataFrame, col: str, low: float, high: float | None = None) -> DataFrame:
-    """Rows whose text casts to a number above ``low`` (and below ``high``): drops repeated headers."""
+def numeric_rows(
+    df: DataFrame, col: str, low: float, high: float | None = None, counted: Observation | None = None
+) -> DataFrame:
+    """Rows whose text casts to a number above ``low`` (and below ``high``): drops repeated headers.
+
+    ``counted`` takes the numbers ``asked`` and ``skipped`` of rows from the pass that first computes the result.
+    """
     value = number(F.col(col))
-    kept = df.where(value > low)
-    return kept if high is None else kept.where(value < high)
+    kept = value > low if high is None else (value > low) & (value < high)
+    if counted is not None:
+        kept = F.coalesce(kept, F.lit(False))
+        df = df.observe(counted, F.count("*").alias("asked"), F.count_if(~kept).alias("skipped"))
+    return df.where(kept)
 
 
 def rule_filter(df: DataFrame, when: Column, then: Column, otherwise: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions.missing import none_missing
@@ -117,3 +119,33 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
                  (F.col("_low") + width * number).alias("to"))
         .agg(F.count("*").alias("n"))
     )
+
+
+def chosen_breaks(low: float, high: float, rows: int) -> tuple[float, int, int]:
+    """Step, first and last multiple of it, for intervals that suit the data.
+
+    Sturges' rule gives the number of intervals wanted, ceil(log2(rows) + 1). The step is 1, 2, 5 or 10 times a power of
+    ten: the next one as soon as the wanted width passes 1.4, 2.8 or 7 times that power. Breaks are the multiples of the step
+    around the data; a constant column gets a step of 1.
+    """
+    if high == low:
+        return 1.0, math.floor(low), math.floor(low) + 1
+    width = (high - low) / math.ceil(math.log2(rows) + 1)
+    power = 10.0 ** math.floor(math.log10(width))
+    step = power * next(times for times, most in ((1, 1.4), (2, 2.8), (5, 7), (10, math.inf)) if width <= most * power)
+    return step, math.floor(round(low / step, 9)), math.ceil(round(high / step, 9))
+
+
+def histogram_chosen(df: DataFrame, col: str) -> DataFrame:
+    """``histogram`` with breaks that the data choose (``chosen_breaks``); intervals without rows are left out.
+
+    Each interval includes its upper end, the first both. Columns: ``bin`` from 1 on, ``from``, ``to`` and ``n``.
+    """
+    values = df.select(F.col(col).cast("double").alias("_x")).where("_x is not null and not isnan(_x)")
+    seen = values.agg(F.min("_x").alias("low"), F.max("_x").alias("high"), F.count("*").alias("n")).first()
+    if not seen.n:
+        return values.select(F.lit(0).alias("bin"), F.col("_x").alias("from"), F.col("_x").alias("to"), F.lit(0).cast("long").alias("n"))
+    step, first, _ = chosen_breaks(seen.low, seen.high, seen.n)
+    number = F.greatest(F.ceil(F.round(F.col("_x") / step, 9)) - first, F.lit(1)).cast("int")
+    counts = values.groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
+    return counts.select("bin", ((F.col("bin") + (first - 1)) * step).alias("from"), ((F.col("bin") + first) * step).alias("to"), "n")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions.aggregates import group_rate, strict_sum, weighted_mean
 from almanac.operators.summary import (
-    column_ranges, column_spread, correlation_screen, histogram, ols1, ols2, weight_features,
+    column_ranges, column_spread, correlation_screen, histogram, histogram_chosen, ols1, ols2, weight_features,
 )
 from almanac.plans.catalog.filters import SQL_CUSTOMERS_WITH_ORDERS, customers_with_orders
 from almanac.plans.catalog.registry import query, r, rounded
@@ -164,6 +164,20 @@ def histogram_of_column(t):
     return out.select("bin", rounded("from", 4).alias("from"), rounded("to", 4).alias("to"), "n")
 
 
+@query(f"""
+    WITH s AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / ceil(log2(count(*)) + 1) AS width FROM lineitem),
+         p AS (SELECT *, power(10.0, floor(log10(width))) AS ten FROM s),
+         u AS (SELECT *, ten * CASE WHEN width <= 1.4 * ten THEN 1 WHEN width <= 2.8 * ten THEN 2 WHEN width <= 7 * ten THEN 5 ELSE 10 END AS step FROM p),
+         f AS (SELECT step, floor(round(lo / step, 9)) AS first FROM u)
+    SELECT bin, {r("(bin + first - 1) * step", 6)} AS "from", {r("(bin + first) * step", 6)} AS "to", count(*) AS n
+    FROM (SELECT greatest(ceil(round(l_extendedprice / step, 9)) - first, 1)::INT AS bin, first, step FROM lineitem, f)
+    GROUP BY bin, first, step
+""")
+def histogram_with_chosen_breaks(t):
+    out = histogram_chosen(t.lineitem, "l_extendedprice")
+    return out.select("bin", rounded("from", 6).alias("from"), rounded("to", 6).alias("to"), "n")
+
+
 @query(f"""
     SELECT l_orderkey, l_linenumber, {r("(l_quantity - mq) / sq * abs(rq) * 100", 6)} AS l_quantity,
            {r("(l_discount - md) / sd * abs(rd) * 100", 6)} AS l_discount

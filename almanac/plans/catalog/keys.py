@@ -96,10 +96,30 @@ def replaced_groups(t):
     return replace_groups(base, new, ["o_orderpriority"])
 
 
-@query("SELECT count(*) AS train, 0 AS held_out FROM orders")
+@query("""
+    SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM lineitem) AS lines,
+           true AS near_share, 0 AS on_two_sides, 0 AS on_no_side, 0 AS changed
+""")
 def rows_split_at_random(t):
-    train, held_out = split_rows(t.orders, [1, 0], 43)
-    return (
-        train.select(F.lit(1).alias("side")).unionByName(held_out.select(F.lit(2).alias("side")))
-        .agg(F.count_if(F.col("side") == 1).alias("train"), F.count_if(F.col("side") == 2).alias("held_out"))
+    """Orders, and their lines by the same key, 0.7 to 0.3: each on one side, the same one in other partitions."""
+
+    def sides(df, key):
+        train, held_out = split_rows(df.withColumnRenamed(key, "key"), [0.7, 0.3], 43, ["key"])
+        return train.select("key", F.lit(1).alias("side")).unionByName(held_out.select("key", F.lit(2).alias("side")))
+
+    orders = sides(t.orders, "o_orderkey").withColumn("kind", F.lit("order"))
+    again = sides(t.orders.repartition(5, "o_custkey"), "o_orderkey").withColumn("kind", F.lit("again"))
+    lines = sides(t.lineitem.select("l_orderkey"), "l_orderkey").withColumn("kind", F.lit("line"))
+    per_key = orders.unionByName(again).unionByName(lines).groupBy("key").agg(
+        F.count_if(F.col("kind") == "order").alias("orders"), F.count_if(F.col("kind") == "line").alias("lines"),
+        F.count_if((F.col("kind") == "order") & (F.col("side") == 1)).alias("train"),
+        F.count_distinct("side").alias("n_sides"), F.count_if(F.col("kind") == "again").alias("again"),
+    )
+    found = per_key.agg(
+        F.sum("orders").alias("orders"), F.sum("lines").alias("lines"),
+        (F.abs(F.sum("train") / F.sum("orders") - 0.7) < 0.05).alias("near_share"),
+        F.count_if(F.col("n_sides") > 1).alias("on_two_sides"), F.count_if(F.col("orders") != F.col("again")).alias("changed"),
+    )
+    return found.join(t.orders.agg(F.count("*").alias("_all")), F.lit(True)).select(
+        "orders", "lines", "near_share", "on_two_sides", (F.col("_all") - F.col("orders")).alias("on_no_side"), "changed"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from almanac.operators.settle import scratch_path
 from almanac.plans.catalog.registry import query
 from almanac.sources.files import (
-    read_json_records, read_snapshot, read_stats_csv, replace_partitions, write_stats_csv,
+    read_checked_csv, read_json_records, read_snapshot, read_stats_csv, replace_partitions, write_stats_csv,
 )
 from almanac.sources.pages import clean_names
 
@@ -28,6 +28,23 @@ def csv_round_trip(t):
     return read_stats_csv(orders.sparkSession, path, orders.schema)
 
 
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 NOT IN (0, 3) THEN o_totalprice END AS o_totalprice,
+           CASE o_orderkey % 7 WHEN 0 THEN o_orderkey || ',x' || round(o_totalprice)::BIGINT WHEN 3 THEN o_orderkey::VARCHAR END AS line
+    FROM orders
+""")
+def csv_with_rejected_lines(t):
+    """Orders as lines, some of them with a price that is no number or without one: rows and rejects, side by side."""
+    key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice")
+    line = F.when(key % 7 == 0, F.concat(key, F.lit(",x"), F.round(price).cast("long").cast("string")))
+    line = line.when(key % 7 == 3, key).otherwise(F.concat(key, F.lit(","), price.cast("string")))
+    path = scratch_path(t.orders.sparkSession)
+    t.orders.select(line.alias("value")).write.text(path)
+    good, bad = read_checked_csv(t.orders.sparkSession, path, "o_orderkey long, o_totalprice double", header=False)
+    rejected = bad.select(F.substring_index("line", ",", 1).cast("long").alias("o_orderkey"), "line")
+    return good.unionByName(rejected, allowMissingColumns=True)
+
+
 @query("SELECT event_id, user_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
 def json_records(t):
     spark = t.events.sparkSession

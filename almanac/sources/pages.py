@@ -8,17 +8,17 @@ from __future__ import annotations
 import itertools
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from almanac.functions.scalars import number
 from almanac.operators.joins import matching_rows
 
 _TAGS = r"(?s)<[^>]*>"
 
-
-def _inside(tag: str) -> str:
-    """Pattern for the content of an element; ``tag`` may list alternatives, as in ``td|th``."""
-    return rf"(?is)<(?:{tag})(?:\s[^>]*)?>(.*?)</(?:{tag})>"
+# Character references by name, and the largest spans that browsers allow.
+_REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…",
+               "copy": "©", "middot": "·", "amp": "&"}
+MOST_COLUMNS_SPANNED, MOST_ROWS_SPANNED = 1000, 65534
 
 
 def element_content(html: Column, tag: str, element_id: str) -> Column:
@@ -34,28 +34,125 @@ def page_comments(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", F.array_join(found, ""))
 
 
-def page_tables(pages: DataFrame, row_tag: str = "tr", cell_tag: str = "td|th") -> DataFrame:
-    """One row per page: ``page_id`` and ``rows``, an array of rows that are arrays of cell texts.
+def plain_text(content: Column) -> Column:
+    """The text of markup: no tags, character references by name and by number replaced, outer blanks trimmed."""
+    bare = F.regexp_replace(content, _TAGS, "")
+    bare = F.when(F.contains(bare, F.lit("&#")), _numbered(bare)).otherwise(bare)
+    named = bare
+    for name, sign in _REFERENCES.items():  # the ampersand last, so that nothing is read twice
+        named = F.replace(named, F.lit(f"&{name};"), F.lit(sign))
+    return F.trim(F.when(F.contains(bare, F.lit("&")), named).otherwise(bare))
+
+
+def _numbered(text: Column) -> Column:
+    """``&#233;`` and ``&#xe9;`` as their characters; numbers of no character become U+FFFD."""
+
+    def shown(part: Column) -> Column:
+        whole = F.regexp_extract(part, r"^&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 0)
+        digits = F.regexp_replace(whole, "[&#xX;]", "")
+        code = F.when(F.lower(whole).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        # A sign that starts another reference must not be read again.
+        sign = F.when(sign == "&", F.lit("&amp;")).otherwise(sign)
+        return F.when(F.length(whole) > 0, F.concat(sign, F.substring(part, F.length(whole) + 1, F.length(part)))).otherwise(part)
+
+    return F.array_join(F.transform(F.split(text, "(?=&#)", -1), shown), "")
+
 
-    With ``cell_tag`` equal to ``row_tag`` each row is its only cell.
+def _elements(html: Column, tag: str) -> Column:
+    """The elements of a tag, left to right, as ``attrs`` and ``body``; ``tag`` may list alternatives.
+
+    An element ends at its end tag or, without one, where the next of its kind starts; a void one (``<td/>``) has no body.
     """
+    starts = F.split(html, rf"(?i)<(?:{tag})(?=[\s/>])", -1)
+
+    def element(piece: Column) -> Column:
+        attrs = F.substring_index(piece, ">", 1)
+        inside = F.substring(piece, F.length(attrs) + 2, F.length(piece))
+        body = F.when(F.endswith(attrs, F.lit("/")), F.lit("")).otherwise(
+            F.get(F.split(inside, rf"(?i)</(?:{tag})\s*>", 2), F.lit(0))
+        )
+        return F.struct(attrs.alias("attrs"), body.alias("body"))
+
+    return F.transform(F.filter(starts, lambda piece, at: at > 0), element)
+
+
+def _span(attrs: Column, name: str, most: int) -> Column:
+    found = F.regexp_extract(attrs, rf"(?i)\b{name}\s*=\s*[\"']?\s*([0-9]{{1,9}})", 1)
+    return F.when(found == "", 1).otherwise(F.least(F.greatest(found.cast("int"), F.lit(1)), F.lit(most)))
 
-    def cells(row: Column) -> Column:
-        if cell_tag == row_tag:
-            found = F.array(row)
-        else:
-            found = F.regexp_extract_all(row, F.lit(_inside(cell_tag)), F.lit(1))
-        return F.transform(found, lambda cell: F.trim(F.regexp_replace(cell, _TAGS, "")))
 
-    rows = F.regexp_extract_all("html", F.lit(_inside(row_tag)), F.lit(1))
-    return pages.select("page_id", F.transform(rows, cells).alias("rows"))
+_CELLS = "array<struct<text:string,rows:int>>"
+_CARRY = "array<struct<text:string,left:int>>"
 
 
-def page_rows(pages: DataFrame, row_tag: str = "tr", cell_tag: str = "td|th") -> DataFrame:
-    """One row per table cell: ``page_id``, ``row_no``, ``cell_no`` (both from 0) and its ``text``."""
-    tables = page_tables(pages, row_tag, cell_tag)
-    rows = tables.select("page_id", F.posexplode("rows").alias("row_no", "cells"))
-    return rows.select("page_id", "row_no", F.posexplode("cells").alias("cell_no", "text"))
+def _spread(rows: Column) -> Column:
+    """Rows of cells (``text``, ``rows``) as rows of texts, each cell that spans several rows repeated in those below.
+
+    A cell takes the next place in its row that no cell from above covers.
+    """
+
+    def place(state: Column, row: Column) -> Column:
+        carry = state["carry"]
+        places = F.sequence(F.lit(0), F.size(carry) + F.size(row))
+        covered = F.transform(places, lambda c: F.coalesce(F.get(carry, c)["left"] > 0, F.lit(False)))
+        free = F.filter(places, lambda c: ~F.get(covered, c))
+        width = F.greatest(
+            F.when(F.size(row) > 0, F.get(free, F.size(row) - 1) + 1).otherwise(F.lit(0)),
+            F.coalesce(F.array_max(F.filter(places, lambda c: F.get(covered, c))) + 1, F.lit(0)),
+        )
+        cells = F.transform(F.slice(places, F.lit(1), width), lambda c: F.when(
+            F.get(covered, c), F.struct(F.get(carry, c)["text"].alias("text"), (F.get(carry, c)["left"] - 1).alias("left"))
+        ).otherwise(F.struct(
+            F.coalesce(F.get(row, F.array_position(free, c).cast("int") - 1)["text"], F.lit("")).alias("text"),
+            F.coalesce(F.get(row, F.array_position(free, c).cast("int") - 1)["rows"] - 1, F.lit(0)).alias("left"),
+        ))).cast(_CARRY)
+        return F.element_at(F.transform(F.array(cells), lambda x: F.struct(
+            x.alias("carry"), F.concat(state["rows"], F.array(F.transform(x, lambda c: c["text"]))).alias("rows")
+        )), 1)
+
+    start = F.struct(F.array().cast(_CARRY).alias("carry"), F.array().cast("array<array<string>>").alias("rows"))
+    several = F.exists(rows, lambda row: F.exists(row, lambda cell: cell["rows"] > 1))
+    plain = F.transform(rows, lambda row: F.transform(row, lambda cell: cell["text"]))
+    return F.when(several, F.aggregate(rows, start, place, lambda x: x["rows"])).otherwise(plain)
+
+
+def page_tables(
+    pages: DataFrame, row_tag: str = "tr", cell_tag: str = "td|th", table_tag: str | None = "table"
+) -> DataFrame:
+    """One row per table: ``page_id``, ``table_no`` (from 0), ``table_id`` and ``rows``, an array of rows that are arrays of texts.
+
+    Cells that span columns are repeated in them, cells that span rows in the rows below. ``table_id`` is the id attribute,
+    null without one. With ``cell_tag`` equal to ``row_tag`` each row is its only cell; without a ``table_tag`` the page is one
+    table. Comments hold no tables (see ``page_comments``), and a table inside another is a table of its own. Pages without
+    a table, or without html, have no row. The page is split once, at the tables; its parts never meet the html again.
+    """
+    whole = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
+    found = F.array(F.struct(F.lit("").alias("attrs"), whole.alias("body"))) if table_tag is None else _elements(whole, table_tag)
+
+    def cells(row: Column) -> Column:
+        inside = F.array(row) if cell_tag == row_tag else _elements(row["body"], cell_tag)
+        return F.flatten(F.transform(inside, lambda cell: F.array_repeat(
+            F.struct(plain_text(cell["body"]).alias("text"), _span(cell["attrs"], "rowspan", MOST_ROWS_SPANNED).alias("rows")),
+            _span(cell["attrs"], "colspan", MOST_COLUMNS_SPANNED),
+        ))).cast(_CELLS)
+
+    # An outer generator: for an inner one Spark would put a filter on a second copy of the whole extraction.
+    tables = pages.select("page_id", F.posexplode_outer(found).alias("table_no", "_table")).where("_table.body is not null")
+    named = F.regexp_extract("_table.attrs", r"""(?i)\bid\s*=\s*["']?([^"'\s>]*)""", 1)
+    split = tables.select("page_id", "table_no", F.nullif(named, F.lit("")).alias("table_id"),
+                          F.transform(_elements(F.col("_table.body"), row_tag), cells).alias("_rows"))
+    return split.select("page_id", "table_no", "table_id", _spread(F.col("_rows")).alias("rows"))
+
+
+def page_rows(
+    pages: DataFrame, row_tag: str = "tr", cell_tag: str = "td|th", table_tag: str | None = "table"
+) -> DataFrame:
+    """One row per table cell: ``page_id``, ``table_no``, ``row_no``, ``cell_no`` (all from 0) and its ``text``."""
+    tables = page_tables(pages, row_tag, cell_tag, table_tag)
+    rows = tables.select("page_id", "table_no", F.posexplode_outer("rows").alias("row_no", "cells")).where("row_no is not null")
+    return rows.select("page_id", "table_no", "row_no", F.posexplode_outer("cells").alias("cell_no", "text")).where("cell_no is not null")
 
 
 def page_links(pages: DataFrame, prefix: str = "") -> DataFrame:
@@ -87,28 +184,29 @@ def clean_names(df: DataFrame) -> DataFrame:
 
 
 def promote_header(tables: DataFrame) -> DataFrame:
-    """Name every cell after the cell above it in the first row of its page.
+    """Name every cell after the cell above it in the first row of its table.
 
-    Takes ``page_tables``; returns ``page_id``, ``row_no`` and ``cells``, an array of ``name`` and ``text``,
-    without the header rows. Repeated names in a header get ``_2``, ``_3`` and so on, from left to right.
-    Nothing is shuffled: a page is one row.
+    Takes ``page_tables``; returns ``page_id``, ``table_no``, ``row_no`` and ``cells``, an array of ``name`` and ``text``, without
+    the header rows. Names are those of ``clean_names``: ``x`` for nothing, and the first of ``_2``, ``_3`` and so on that is
+    free for a repeated one. Nothing is shuffled: a table is one row.
     """
-    plain = F.transform(F.col("rows")[0], clean_name)
+    plain = F.transform(F.col("rows")[0], lambda text: F.coalesce(F.nullif(clean_name(text), F.lit("")), F.lit("x")))
 
-    def numbered(name: Column, at: Column) -> Column:
-        times = F.size(F.filter(F.slice("_plain", 1, at + 1), lambda other: other == name))
-        return F.when(times > 1, F.concat_ws("_", name, times)).otherwise(name)
+    def add(taken: Column, name: Column) -> Column:
+        numbered = F.transform(F.sequence(F.lit(2), F.size("_plain") + 1), lambda n: F.concat_ws("_", name, n))
+        free = F.filter(numbered, lambda other: ~F.array_contains(F.col("_plain"), other) & ~F.array_contains(taken, other))
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, name), F.get(free, F.lit(0))).otherwise(name)))
 
-    named = tables.where(F.size("rows") > 1).select("page_id", "rows", plain.alias("_plain")).select(
-        "page_id", "rows", F.transform("_plain", numbered).alias("_names")
+    named = tables.where(F.size("rows") > 1).select("page_id", "table_no", "rows", plain.alias("_plain")).select(
+        "page_id", "table_no", "rows", F.aggregate("_plain", F.array().cast("array<string>"), add).alias("_names")
     )
-    rows = named.select("page_id", "_names", F.posexplode("rows").alias("row_no", "_texts"))
+    rows = named.select("page_id", "table_no", "_names", F.posexplode_outer("rows").alias("row_no", "_texts"))
     width = F.least(F.size("_names"), F.size("_texts"))
     pairs = F.zip_with(
         F.slice("_names", 1, width), F.slice("_texts", 1, width),
         lambda name, text: F.struct(name.alias("name"), text.alias("text")),
     )
-    return rows.where(F.col("row_no") > 0).select("page_id", "row_no", pairs.alias("cells"))
+    return rows.where(F.col("row_no") > 0).select("page_id", "table_no", "row_no", pairs.alias("cells"))
 
 
 def wide_rows(named: DataFrame, columns: list[str]) -> DataFrame:
@@ -117,7 +215,7 @@ def wide_rows(named: DataFrame, columns: list[str]) -> DataFrame:
     def value(column: str) -> Column:
         return F.try_element_at(F.filter("cells", lambda c: c["name"] == column), F.lit(1))["text"].alias(column)
 
-    return named.select("page_id", "row_no", *[value(c) for c in columns])
+    return named.select("page_id", "table_no", "row_no", *[value(c) for c in columns])
 
 
 def numeric_cells(wide: DataFrame, columns: list[str]) -> DataFrame:
@@ -142,9 +240,18 @@ def page_frontier(
     )
 
 
-def fetch_stored(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """The stored pages of a work list; addresses with no stored page are skipped."""
-    return frontier.join(pages, "url")
+def fetch_stored(frontier: DataFrame, pages: DataFrame, counted: Observation | None = None) -> DataFrame:
+    """The stored pages of a work list; addresses with no stored page are skipped.
+
+    ``counted`` takes the numbers ``asked`` (rows of the work list, one for each stored page of its address) and ``skipped``
+    from the pass that first computes the result.
+    """
+    if counted is None:
+        return frontier.join(pages, "url")
+    found = frontier.join(pages.withColumn("_stored", F.lit(True)), "url", "left").observe(
+        counted, F.count("*").alias("asked"), F.count_if(F.col("_stored").isNull()).alias("skipped")
+    )
+    return found.where("_stored").drop("_stored")
 
 
 def count_unstored(frontier: DataFrame, pages: DataFrame) -> DataFrame:

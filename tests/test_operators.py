@@ -89,6 +89,12 @@ def test_replace_stack_split_and_filters(spark):
         (1, None), (1, "a"), (2, None), (3, None)
     ]
     assert [part.count() for part in split_rows(df, [1, 0], 1)] == [3, 0]
+    many = spark.range(3000).withColumn("v", F.col("id") % 7)
+    sides = [{r.id for r in part.collect()} for part in split_rows(many, [0.7, 0.1, 0.2], 9, ["id"])]
+    assert sum(map(len, sides)) == 3000 == len(set().union(*sides)) and 2000 < len(sides[0]) < 2200
+    again = [{r.id for r in part.collect()} for part in split_rows(many.repartition(7).drop("v"), [0.7, 0.1, 0.2], 9, ["id"])]
+    assert again == sides != [{r.id for r in part.collect()} for part in split_rows(many, [0.7, 0.1, 0.2], 10, ["id"])]
+    assert [part.select("v").distinct().count() for part in split_rows(many, [1, 1], 2, ["v"])] in ([n, 7 - n] for n in range(8))
     assert [r[0] for r in rows(numeric_rows(df, "t", 0), "id")] == [1, 3]
     assert [r[0] for r in rows(numeric_rows(df, "t", 0, 8), "id")] == [1]
     kept = rule_filter(df, F.col("id") <= 2, F.col("g") == "a", F.col("t") == "9")

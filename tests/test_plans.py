@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
+from almanac.operators.keys import numeric_rows
+from almanac.operators.summary import chosen_breaks, histogram_chosen
 from almanac.plans.careers import adjusted_stats, backfill, cohort_projection, player_table
 from almanac.plans.reports import prediction_rankings, ranking_report
-from almanac.sources.files import read_json_records, read_snapshot, read_stats_csv, write_stats_csv
+from almanac.sources.files import read_checked_csv, read_json_records, read_snapshot, read_stats_csv, write_stats_csv
 from almanac.sources.pages import (
     clean_names, count_unstored, element_content, fetch_stored, numeric_cells, page_comments, page_frontier,
     page_links, page_rows, page_tables, promote_header, wide_rows,
@@ -69,21 +71,71 @@ def test_table_inside_a_comment(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, "v", "<p>no table</p>")], "page_id int, url string, html string")
     hidden = page_comments(pages)
     table = hidden.withColumn("html", element_content(F.col("html"), "table", "passing"))
-    wide = wide_rows(promote_header(page_tables(table)), ["player", "yds", "yds_2", "pct"])
+    chosen = page_tables(hidden).where("table_id = 'passing'")
+    wide = wide_rows(promote_header(chosen), ["player", "yds", "yds_2", "pct"])
     rows = numeric_cells(wide.where("player != 'Player'"), ["yds", "yds_2", "pct"]).orderBy("row_no").collect()
-    assert [tuple(r) for r in rows] == [(1, 1, "Joe", 100.0, 7.0, 0.5), (1, 3, "Al", None, 8.0, None)]
+    assert [tuple(r) for r in rows] == [(1, 0, 1, "Joe", 100.0, 7.0, 0.5), (1, 0, 3, "Al", None, 8.0, None)]
     links = page_links(table, "/cfb/players/").orderBy("link_no").collect()
     assert [r.link for r in links] == ["/cfb/players/joe-doe-1.html", "/cfb/players/al-poe-2.html"]
     assert page_links(pages, "/about").count() == 1
 
 
+SPANS = """<table id='a' class=x><thead><tr><th>A</th><th>a</th><th>a 2</th></tr></thead>
+<tr><td>x&amp;y &#233;&#x26;lt; &#xD800;</td><td/><td colspan=2>2</td></tr>
+<TR><td rowspan="2">r</td><td>1</td><td rowspan=3>q</td></tr><tr><td>s<td>t</tr><tr><td>u</tr></TABLE>
+<!-- <table><tr><td>no</td></tr></table> --><table ID=second><tr><td>1</td></tr></table><tr><td>stray</td></tr>"""
+
+
+def test_spans_void_cells_and_references(spark):
+    pages = [(1, SPANS), (2, None), (3, "none"), (4, "<table></table>"), (5, "<table><tr></tr><tr><td colspan=999999>w</td></tr>")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    got = {(r.page_id, r.table_no): (r.table_id, r.rows) for r in page_tables(df).collect()}
+    assert got[1, 0] == ("a", [["A", "a", "a 2"], ["x&y é&lt; \ufffd", "", "2", "2"], ["r", "1", "q"], ["r", "s", "q", "t"], ["u", "", "q"]])
+    assert got[1, 1] == ("second", [["1"]]) and got[4, 0] == (None, []) and got[5, 0] == (None, [[], ["w"] * 1000])
+    assert set(got) == {(1, 0), (1, 1), (4, 0), (5, 0)}
+    names = promote_header(page_tables(df)).where("page_id = 1").select("row_no", F.inline("cells")).collect()
+    assert sorted({r.name for r in names}) == ["a", "a_2", "a_3"]
+    plan = page_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<!--") == 1  # the html is scanned once
+    long = spark.createDataFrame([(1, "<table>" + "<tr><td rowspan=2>é🙂</td><td>" + "b" * 50 + "</td></tr><tr><td>c</td></tr>" * 3000)], "page_id long, html string")
+    assert page_rows(long).count() > 3000
+
+
+def test_counted_skips(spark):
+    work = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
+    pages = spark.createDataFrame([("a", "x"), ("a", "y")], "url string, html string")
+    counted = Observation()
+    assert fetch_stored(work, pages, counted).count() == 2
+    assert counted.get == {"asked": 4, "skipped": 2}
+    rows = spark.createDataFrame([("3",), ("Yds",), (None,), ("9",)], "t string")
+    counted = Observation()
+    assert [r.t for r in numeric_rows(rows, "t", 3, counted=counted).collect()] == ["9"]
+    assert counted.get == {"asked": 4, "skipped": 3}
+
+
+def test_rejected_lines(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("id,v\na, 1.5\nb\nc,x\nd,NA\ne,1,2\n")
+    good, bad = read_checked_csv(spark, str(tmp_path / "p.csv"), "id string, v double")
+    assert sorted((r.id, r.v) for r in good.collect()) == [("a", 1.5), ("d", None)]
+    assert sorted(r.line for r in bad.collect()) == ["b", "c,x", "e,1,2"]
+
+
+def test_chosen_breaks(spark):
+    assert chosen_breaks(0.0, 100.0, 100) == (10.0, 0, 10)
+    assert chosen_breaks(-3.2, 7.9, 20) == (2.0, -2, 4)
+    assert chosen_breaks(5.0, 5.0, 3) == (1.0, 5, 6)
+    df = spark.createDataFrame([(v,) for v in (0.0, 2.0, 2.1, 4.0, 9.9, None, float("nan"))], "x double")
+    assert sorted(map(tuple, histogram_chosen(df, "x").collect())) == [(1, 0.0, 2.0, 2), (2, 2.0, 4.0, 2), (5, 8.0, 10.0, 1)]
+    assert histogram_chosen(df.limit(0), "x").count() == 0
+
+
 def test_frontier_fetch_and_backfill(spark):
     schools = spark.createDataFrame([("x", 1958, 1961), ("y", 1990, 1991), ("z", 1950, 1955)], "school string, f int, t int")
     work = page_frontier(schools, "school", "f", "t", 1960, "/schools/%s/%d.html")
     assert sorted(r.url for r in work.collect()) == [
         "/schools/x/1960.html", "/schools/x/1961.html", "/schools/y/1990.html", "/schools/y/1991.html"
     ]
-    pages = spark.createDataFrame([(7, "/schools/y/1990.html", "<tr><td>3</td></tr>")], "page_id int, url string, html string")
+    pages = spark.createDataFrame([(7, "/schools/y/1990.html", "<table><tr><td>3</td></tr></table>")], "page_id int, url string, html string")
     assert count_unstored(work, pages).first().skipped == 3
     facts = spark.createDataFrame([("x", "1")], "school string, value string")
 
