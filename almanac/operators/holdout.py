@@ -174,18 +174,16 @@ def leave_group_out_with(
     features: list[str],
     target: str,
     learner: Callable[[], object],
-    groups: list | None = None,
+    groups: list,
     parallelism: int = 4,
 ) -> DataFrame:
-    """``leave_group_out`` for any ``pyspark.ml`` regressor; one distributed fit per group.
+    """``leave_group_out`` for any ``pyspark.ml`` regressor; one distributed fit for each of the named groups.
 
     ``learner`` makes an unfitted regressor. Features are scaled to 0..1 on the training side.
-    ``groups`` names the groups to predict, all of them by default; ``parallelism`` fits are submitted
-    at a time. Rows that miss a value take no part.
+    ``parallelism`` fits are submitted at a time. Rows that miss a value take no part. The plan grows with the list;
+    ``leave_group_out`` and ``leave_group_out_boosted`` predict all groups of a table, however many.
     """
     data = settle(df.where(none_missing(df, [*features, target])))
-    if groups is None:
-        groups = [r[0] for r in data.select(group).distinct().orderBy(group).collect()]
 
     @inheritable_thread_target(df.sparkSession)
     def predict(value) -> DataFrame:
@@ -237,6 +235,77 @@ def stacked_predict(
     return final.transform(scored).select(*data.columns, *ratings, "predicted")
 
 
+def stacked_linear(
+    df: DataFrame, categories: dict[str, list[str]], target: str, fold: Column, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """``stacked_predict`` for linear models, from one pass, with scores that their own rows did not teach.
+
+    ``fold`` deals the rows to a few folds; it should depend on a row's key only. The ``<category>_rating`` of a row comes
+    from the other folds, and the last model is fitted on those ratings. One aggregate takes the sums of products per fold: the models
+    of a fold solve the totals minus its own, and the sums of products of the ratings follow from those of the
+    features. Columns in ``also`` enter the last model as they are. Rows that miss a value are left out; with fewer rows
+    than coefficients all results are null.
+    """
+    names = sorted({c for cols in categories.values() for c in cols} | set(also)) + [target]
+    data = df.where(none_missing(df, names)).withColumn("_fold", fold)
+    ratings = [f"{name}_rating" for name in categories]
+    shift = data.select(*names).first()
+    if shift is None:
+        return df.limit(0).withColumns({c: F.lit(None).cast("double") for c in [*ratings, "predicted"]})
+    # Any row of the table serves as the origin.
+    x = [F.lit(1.0), *[F.col(c).cast("double") - F.lit(float(shift[c])) for c in names]]
+    size = len(x)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    moments = {}
+    for row in data.groupBy("_fold").agg(F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("m")).collect():
+        m = np.zeros((size, size))
+        for (i, j), value in zip(pairs, row.m):
+            m[i, j] = m[j, i] = value
+        moments[row["_fold"]] = m
+    total = sum(moments.values())
+    place = {c: i + 1 for i, c in enumerate(names)}
+    # Per fold the ratings, the columns in ``also`` and the target as combinations of 1 and the features.
+    forms, second = {}, 0
+    for key, own in moments.items():
+        rows = [_line_of(total - own, [place[c] for c in cols], size) for cols in categories.values()]
+        for c in (*also, target):
+            rows.append(np.eye(size)[place[c]])
+        forms[key] = np.array([np.eye(size)[0], *rows])
+        second = second + forms[key] @ own @ forms[key].T
+    last = _line_of(second, list(range(1, len(second) - 1)), len(second))
+    # A table of a few rows, one per fold.
+    coefficients = df.sparkSession.createDataFrame(
+        [(key, form[1 : len(ratings) + 1].ravel().tolist()) for key, form in forms.items()],
+        T.StructType([T.StructField("_fold", data.schema["_fold"].dataType), T.StructField("_w", T.ArrayType(T.DoubleType()))]),
+    )
+    out = null_safe_join(data, coefficients, ["_fold"])
+    for k, rating in enumerate(ratings):
+        line = F.get("_w", F.lit(k * size))
+        for i in range(1, size - 1):
+            line = line + F.get("_w", F.lit(k * size + i)) * x[i]
+        out = out.withColumn(rating, F.nanvl(line + F.lit(float(shift[target])), F.lit(None)))
+    # Ratings are back in the units of the target; the last model works on both less the origin.
+    parts = [F.col(c) - F.lit(float(shift[target])) for c in ratings] + [x[place[c]] for c in also]
+    predicted = F.lit(float(last[0]) + float(shift[target]))
+    for w, part in zip(last[1:], parts):
+        predicted = predicted + F.lit(float(w)) * part
+    return out.withColumn("predicted", F.nanvl(predicted, F.lit(None))).select(*df.columns, *ratings, "predicted")
+
+
+def _line_of(moments: np.ndarray, used: list[int], size: int) -> np.ndarray:
+    """Coefficients of the last column on 1 and the ``used`` ones, in a row of ``size``; NaN with too few rows."""
+    out = np.zeros(size)
+    n = moments[0, 0]
+    if not n > len(used):
+        return np.full(size, np.nan)
+    mean = moments[0] / n
+    centred = moments - n * np.outer(mean, mean)
+    slopes = np.linalg.lstsq(centred[np.ix_(used, used)], centred[used, len(moments) - 1], rcond=None)[0]
+    out[used] = slopes
+    out[0] = mean[len(moments) - 1] - slopes @ mean[used]
+    return out
+
+
 def refit_groups(
     predictions: DataFrame, group: str, refit: Callable[[DataFrame], DataFrame], predicted: str = "predicted"
 ) -> DataFrame:

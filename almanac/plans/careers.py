@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from almanac.functions.aggregates import strict_sum
 from almanac.operators.joins import attach_stats, matching_rows, null_safe_join
-from almanac.operators.keys import repeated_keys
 from almanac.operators.rates import above_average, index_to_rate
 from almanac.operators.settle import settle
 
@@ -48,16 +47,19 @@ def cohort_projection(
     horizon: int,
     as_of: int,
     train_until: int,
+    leave_out: tuple = (),
 ) -> DataFrame:
     """Value of every entity over its first ``horizon`` periods, projected where they are not over.
 
     ``facts`` holds ``value`` per entity and ``period``; ``cohorts`` the ``start`` of each entity. Cohorts up
     to ``train_until`` are finished: they get their sum and teach, for each N below the horizon, how the
     rest follows from the first N periods. A cohort with N periods up to ``as_of`` gets what it has plus
-    the rest that predicts. Entities listed twice, without facts or with a missing fact get null.
+    the rest that predicts. An entity with several starts has a value for each. Without a fact up to the end of the horizon, or with a
+    missing one, the value is null. Entities in ``leave_out`` teach nothing and get null.
     """
-    listed = repeated_keys(cohorts, [entity]).select(entity).distinct()
-    single = matching_rows(cohorts, listed, [entity], "left_anti").select(entity, F.col(start).alias("_start"))
+    single = cohorts.select(entity, F.col(start).alias("_start")).distinct()
+    if leave_out:
+        single = single.where(~F.col(entity).isin(*leave_out))
     # Facts shrink to one row per entity and period before they meet the cohorts.
     yearly = facts.groupBy(entity, F.col(period).alias("_period")).agg(
         F.count_if(F.col(value).isNull()).alias("_gaps"), strict_sum(F.col(value)).alias("_value")
@@ -69,7 +71,7 @@ def cohort_projection(
     totals = settle(yearly.groupBy(entity, "_start").agg(
         *[strict_sum(F.col("_value"), age < n).alias(f"_known_{n}") for n in steps],
         *[strict_sum(F.col("_value"), age.between(n, horizon - 1)).alias(f"_rest_{n}") for n in steps],
-        strict_sum(F.col("_value"), age < horizon).alias("_whole"),
+        F.when(F.count_if(age < horizon) > 0, strict_sum(F.col("_value"), age < horizon)).alias("_whole"),
         strict_sum(F.col("_value"), F.col("_period") <= as_of).alias("_so_far"),
         F.count_if(F.col("_period") <= as_of).alias("_seen"),
     ))
@@ -82,8 +84,8 @@ def cohort_projection(
         of_cohort = (F.col("_start") == as_of + 1 - n) & (F.col("_seen") > 0)
         estimate = F.col("_so_far") + F.col(f"_base_{n}") + F.col(f"_slope_{n}") * F.col("_so_far")
         projected = projected.when(of_cohort, estimate)
-    values = attach_stats(totals, lines).select(entity, projected.alias(value))
-    return null_safe_join(cohorts, values, [entity], "left")
+    values = attach_stats(totals, lines).select(entity, F.col("_start").alias(start), projected.alias(value))
+    return null_safe_join(cohorts, values, [entity, start], "left").select(*cohorts.columns, value)
 
 
 def backfill(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from almanac.operators.holdout import (
-    held_out_composites, leave_group_out, leave_group_out_ranges, leave_group_out_screen, leave_group_out_with,
-    refit_groups, stacked_predict,
+    held_out_composites, leave_group_out, leave_group_out_ranges, leave_group_out_screen,
+    refit_groups, stacked_linear,
 )
 from almanac.operators.impute import impute_cascade
+from almanac.operators.boosted import leave_group_out_boosted
 from almanac.operators.cells import knn_neighbors_in_cells
 from almanac.operators.neighbors import knn_neighbors, knn_predict
 from almanac.operators.rates import career_rollup, weighted_composite
@@ -83,10 +83,10 @@ def _sql_projection(horizon: int, as_of: int, train_until: int) -> str:
                               CASE WHEN o_orderstatus <> 'P' OR o_orderpriority <> '5-LOW' THEN o_totalprice END AS v FROM orders),
              aged AS (SELECT id, d, y, v, y - d AS age FROM facts JOIN cohorts USING (id)),
              totals AS (SELECT id, d, {known}, {rest}, {strict.format(c=f"(age < {horizon})")} AS whole,
-                               {strict.format(c=f"(y <= {as_of})")} AS so_far, count_if(y <= {as_of}) AS seen
+                               {strict.format(c=f"(y <= {as_of})")} AS so_far, count_if(y <= {as_of}) AS seen, count_if(age < {horizon}) AS inside
                         FROM aged GROUP BY id, d),
              lines AS (SELECT {lines} FROM totals WHERE d <= {train_until}),
-             valued AS (SELECT id, CASE WHEN d <= {train_until} THEN whole {cases} END AS v FROM totals, lines)
+             valued AS (SELECT id, CASE WHEN d <= {train_until} AND inside > 0 THEN whole {cases} END AS v FROM totals, lines)
         SELECT cohorts.id, d, {r("v", 2)} AS v FROM cohorts LEFT JOIN valued ON cohorts.id = valued.id
     """
 
@@ -374,34 +374,30 @@ def holdout_rankings_scored(t):
 
 @query()
 def years_held_out_boosted_trees(t):
-    """Any regressor: here small boosted trees, one fit per year."""
-    out = leave_group_out_with(
-        order_sizes(t), "order_year", ["quantity", "lines"], "o_totalprice",
-        lambda: GBTRegressor(maxIter=3, maxDepth=3, seed=43),
-    )
+    """Boosted trees for every year from one pass over the rows."""
+    out = leave_group_out_boosted(order_sizes(t), "order_year", ["quantity", "lines"], "o_totalprice")
     return out.select("o_orderkey", "order_year", "predicted")
 
 
 @query(f"""
-    WITH o AS ({SQL_ORDER_SIZES}),
-         one AS (SELECT regr_slope(o_totalprice, quantity) AS qs, regr_intercept(o_totalprice, quantity) AS qb,
-                        regr_slope(o_totalprice, lines) AS ls, regr_intercept(o_totalprice, lines) AS lb FROM o),
-         m AS (SELECT avg(o_totalprice) AS my, avg(quantity) AS m1, avg(lines) AS m2, var_samp(quantity) AS v1,
-                      var_samp(lines) AS v2, covar_samp(quantity, lines) AS c,
-                      covar_samp(o_totalprice, quantity) AS k1, covar_samp(o_totalprice, lines) AS k2 FROM o)
-    SELECT o_orderkey, {r("qb + qs * quantity", 1)} AS volume_rating, {r("lb + ls * lines", 1)} AS detail_rating,
-           {r("my + (k1 * v2 - k2 * c) / (v1 * v2 - c * c) * (quantity - m1)"
-              " + (k2 * v1 - k1 * c) / (v1 * v2 - c * c) * (lines - m2)", 1)} AS predicted
-    FROM o, one, m
+    WITH o AS (SELECT *, o_orderkey % 5 AS fold FROM ({SQL_ORDER_SIZES})),
+         f AS (SELECT a.fold, regr_slope(o_totalprice, quantity) AS qs, regr_intercept(o_totalprice, quantity) AS qb,
+                      regr_slope(o_totalprice, lines) AS ls, regr_intercept(o_totalprice, lines) AS lb
+               FROM (SELECT DISTINCT fold FROM o) a JOIN o ON a.fold <> o.fold GROUP BY 1),
+         s AS (SELECT o.*, qb + qs * quantity AS v, lb + ls * lines AS d FROM o JOIN f USING (fold)),
+         m AS (SELECT avg(o_totalprice) AS my, avg(v) AS m1, avg(d) AS m2, var_samp(v) AS v1, var_samp(d) AS v2,
+                      covar_samp(v, d) AS c, covar_samp(o_totalprice, v) AS k1, covar_samp(o_totalprice, d) AS k2 FROM s)
+    SELECT o_orderkey, {r("v", 3)} AS volume_rating, {r("d", 3)} AS detail_rating,
+           {r("my + (k1 * v2 - k2 * c) / (v1 * v2 - c * c) * (v - m1) + (k2 * v1 - k1 * c) / (v1 * v2 - c * c) * (d - m2)", 3)} AS predicted
+    FROM s, m
 """)
 def categories_stacked(t):
-    # A line through category scores that are lines themselves is the plane over both features. The two
-    # solvers agree to about 1e-7 on values of 250,000, hence the one decimal.
-    out = stacked_predict(
-        order_sizes(t), {"volume": ["quantity"], "detail": ["lines"]}, "o_totalprice",
-        lambda: LinearRegression(solver="normal"),
+    """Ratings from the other four folds, and a model on the ratings, all from one aggregate."""
+    out = stacked_linear(
+        order_sizes(t), {"volume": ["quantity"], "detail": ["lines"]}, "o_totalprice", F.col("o_orderkey") % 5
     )
-    return out.select("o_orderkey", *[rounded(c, 1).alias(c) for c in ("volume_rating", "detail_rating", "predicted")])
+    return out.select("o_orderkey", *[rounded(c, 3).alias(c) for c in ("volume_rating", "detail_rating", "predicted")])
+
 
 
 @query(f"""

@@ -49,6 +49,9 @@ IMPUTATION = [
     {"broad_jump": [("vertical",)], "shuttle": [("forty",)]},
     {"cone": [("shuttle",)]},
 ]
+# Fixed value: the player whose two drafts share one id.
+LISTED_TWICE = ("EricCr00",)
+
 HORIZON, AS_OF, TRAIN_UNTIL = 5, 2022, 2018
 NEIGHBORS = {
     "QB": {"k": 30, "weighted": False, "exclude": ("sos",), "comps": 9},
@@ -148,12 +151,16 @@ def imputed_tests(draft: DataFrame) -> DataFrame:
 
 
 def first_five_seasons(
-    values: DataFrame, draft: DataFrame, as_of: int = AS_OF, train_until: int = TRAIN_UNTIL
+    values: DataFrame, draft: DataFrame, as_of: int = AS_OF, train_until: int = TRAIN_UNTIL,
+    leave_out: tuple[str, ...] = LISTED_TWICE,
 ) -> DataFrame:
-    """Value of every drafted player over the first five seasons, projected where they are not over."""
+    """Value of every drafted player over the first five seasons, projected where they are not over.
+
+    Players in ``leave_out``, those whose drafts cannot be told apart, get no value.
+    """
     facts = values.select("player_id", leading_year(F.col("year")).alias("year"), F.col("av").cast("double"))
     return cohort_projection(
-        facts, draft.select("player_id", "season"), "player_id", "year", "av", "season", HORIZON, as_of, train_until
+        facts, draft.select("player_id", "season"), "player_id", "year", "av", "season", HORIZON, as_of, train_until, leave_out
     )
 
 

@@ -3,8 +3,9 @@ import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from almanac.operators.boosted import _edges, leave_group_out_boosted
 from almanac.operators.holdout import (
-    leave_group_out, leave_group_out_ranges, leave_group_out_with, refit_groups, stacked_predict,
+    leave_group_out, leave_group_out_ranges, leave_group_out_with, refit_groups, stacked_linear, stacked_predict,
 )
 from almanac.operators.impute import impute_cascade
 from almanac.operators.joins import attach_stats, join_prefer_left, null_safe_join, subtract_rows
@@ -220,8 +221,9 @@ def test_leave_group_out_equals_a_refit(spark, seasons):
         for d in data:
             if d.season == season:
                 assert got[d.id] == pytest.approx(fit @ [1, d.a, d.b])
-    other = leave_group_out_with(seasons, "season", ["a", "b"], "y", lambda: LinearRegression(solver="normal"))
-    assert {r.id: r.predicted for r in other.collect()} == pytest.approx(got)
+    other = leave_group_out_with(seasons, "season", ["a", "b"], "y", lambda: LinearRegression(solver="normal"), [2000, 2001])
+    other = {r.id: r.predicted for r in other.collect()}
+    assert len(other) == 29 and other == pytest.approx({i: got[i] for i in other})
 
 
 def test_ranges_of_other_groups(seasons):
@@ -231,6 +233,68 @@ def test_ranges_of_other_groups(seasons):
         assert (r.a_min, r.a_max) == (min(rest), max(rest))
 
 
+def test_boosted_groups_equal_separate_fits(spark):
+    r = np.random.default_rng(7)
+    data = [(i, int(g), float(a), float(b), float(2 * a - (b > 1) * 3 + e)) for i, (g, a, b, e) in enumerate(zip(
+        r.integers(0, 6, 240), r.integers(0, 40, 240), r.normal(size=240).round(1), r.normal(size=240)))]
+    data += [(900, None, 3.0, 0.5, 1.0), (901, 1, None, 0.0, 1.0), (902, 1, 2.0, 0.0, None), (903, 9, float("nan"), 0.0, 1.0)]
+    df = spark.createDataFrame(data, "id int, g int, a double, b double, y double")
+    got = {x.id: x.predicted for x in leave_group_out_boosted(df, "g", ["a", "b"], "y", rounds=25, rate=0.2, bins=8).collect()}
+    whole = [d for d in data if None not in d[2:] and d[2] == d[2]]
+    cuts = _edges(df.where("a is not null and y is not null and not isnan(a)"), ["a", "b"], 8)
+    at = np.array([[np.searchsorted(cuts[j], d[2 + j], side="left") for j in (0, 1)] for d in whole])
+    y = np.array([d[4] for d in whole])
+    for g in {d[1] for d in whole}:
+        train = np.array([d[1] != g for d in whole])
+        own = ~train
+        fitted, predicted = np.full(train.sum(), y[train].mean()), np.full(own.sum(), y[train].mean())
+        for _ in range(25):
+            residual = y[train] - fitted
+            best = (1e-9, None)
+            for j in (0, 1):
+                for cut in range(len(cuts[j])):
+                    left = at[train][:, j] <= cut
+                    if min(left.sum(), (~left).sum()) < 5:
+                        continue
+                    gain = (residual[left].sum() ** 2 / left.sum() + residual[~left].sum() ** 2 / (~left).sum()
+                            - residual.sum() ** 2 / len(residual))
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (j, cut, residual[left].mean(), residual[~left].mean()))
+            j, cut, below, above = best[1]
+            fitted += 0.2 * np.where(at[train][:, j] <= cut, below, above)
+            predicted += 0.2 * np.where(at[own][:, j] <= cut, below, above)
+        assert [got[d[0]] for d, o in zip(whole, own) if o] == pytest.approx(predicted.tolist(), abs=1e-9)
+    assert all(got[i] is None for i in (901, 902, 903)) and len(got) == len(data)
+    # The plan does not grow with the groups.
+    plans = [leave_group_out_boosted(df.withColumn("g", F.col("id") % n), "g", ["a", "b"], "y", rounds=2) for n in (2, 50)]
+    sizes = [p._jdf.queryExecution().optimizedPlan().toString().count("\n") for p in plans]
+    assert sizes[0] == sizes[1]
+    assert leave_group_out_boosted(df.limit(0), "g", ["a", "b"], "y").count() == 0
+    alone = leave_group_out_boosted(df.where("g = 1"), "g", ["a", "b"], "y").collect()
+    assert alone and all(x.predicted is None for x in alone)
+
+
+def test_stacked_lines_equal_separate_fits(seasons):
+    data = seasons.collect()
+    out = {r.id: r for r in stacked_linear(seasons, {"one": ["a"], "two": ["b", "a"]}, "y", F.col("id") % 4, also=("b",)).collect()}
+    a, b, y = (np.array([getattr(d, c) for d in data], dtype=float) for c in "aby")
+    fold = np.array([d.id % 4 for d in data])
+    ratings = np.zeros((len(data), 2))
+    for f in range(4):
+        for k, columns in enumerate(([a], [b, a])):
+            x = np.column_stack([np.ones(len(data)), *columns])
+            w = np.linalg.lstsq(x[fold != f], y[fold != f], rcond=None)[0]
+            ratings[fold == f, k] = x[fold == f] @ w
+    x = np.column_stack([np.ones(len(data)), ratings, b])
+    want = x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    assert [out[d.id].one_rating for d in data] == pytest.approx(ratings[:, 0].tolist())
+    assert [out[d.id].two_rating for d in data] == pytest.approx(ratings[:, 1].tolist())
+    assert [out[d.id].predicted for d in data] == pytest.approx(want.tolist())
+    few = stacked_linear(seasons.limit(1), {"one": ["a"]}, "y", F.lit(0)).first()
+    assert few.one_rating is None and few.predicted is None
+    assert stacked_linear(seasons.limit(0), {"one": ["a"]}, "y", F.lit(0)).count() == 0
+
+
 def test_stacking_and_refit(seasons):
     out = stacked_predict(seasons, {"one": ["a"], "two": ["b"]}, "y", LinearRegression, also=("a",))
     assert out.columns == [*seasons.columns, "one_rating", "two_rating", "predicted"]

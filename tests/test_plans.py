@@ -23,7 +23,7 @@ def test_projection_of_unfinished_cohorts(spark):
     facts += [("gap", 2000, 1.0), ("gap", 2001, None), ("a", 2007, 50.0), ("unknown", 2000, 9.0)]
     out = cohort_projection(
         spark.createDataFrame(facts, "id string, y int, v double"), cohorts, "id", "y", "v", "d",
-        horizon=3, as_of=2009, train_until=2003,
+        horizon=3, as_of=2009, train_until=2003, leave_out=("twice",),
     )
     got = {(r.id, r.d): r.v for r in out.collect()}
     one = np.polyfit([1, 2, 4], [5, 6, 13], 1)
@@ -36,6 +36,20 @@ def test_projection_of_unfinished_cohorts(spark):
     assert len(got) == 10
 
 
+def test_projection_by_start(spark):
+    """Two starts of one entity, facts after the horizon only, a repeated row of the cohorts."""
+    cohorts = [("two", 2000), ("two", 2002), ("after", 2000), ("a", 2000), ("a", 2000), ("b", 2001)]
+    facts = [("two", 2000, 1.0), ("two", 2002, 2.0), ("two", 2003, 4.0), ("after", 2008, 5.0), ("a", 2001, 3.0), ("b", 2001, 0.5)]
+    out = cohort_projection(
+        spark.createDataFrame(facts, "id string, y int, v double"), spark.createDataFrame(cohorts, "id string, d int"),
+        "id", "y", "v", "d", horizon=3, as_of=2009, train_until=2003,
+    )
+    assert out.columns == ["id", "d", "v"]
+    assert sorted((r.id, r.d, r.v) for r in out.collect() if r.v is not None) == [
+        ("a", 2000, 3.0), ("a", 2000, 3.0), ("b", 2001, 0.5), ("two", 2000, 3.0), ("two", 2002, 7.0)]
+    assert out.count() == 6
+
+
 def test_adjusted_player_table(spark):
     passing = spark.createDataFrame(
         [("p", "x", 2000, 40.0, 10.0), ("q", "y", 2000, 20.0, 10.0)], "player string, school string, season int, yds double, att double"
