@@ -10,16 +10,17 @@ from almanac.plans.catalog.registry import query
 
 
 def customers_with_orders(t):
-    """Every customer next to its high-priced orders; customers without one keep nulls."""
-    high = t.orders.where(F.col("o_totalprice") > 400000)
-    return t.customer.join(high, F.col("c_custkey") == F.col("o_custkey"), "left").select(
-        "c_custkey", "c_nationkey", "c_acctbal", "o_orderkey", "o_totalprice", "o_orderstatus"
+    """Every customer next to all its orders; of those up to 200,000 nothing is known, and customers without one keep nulls."""
+    known = F.col("o_totalprice") > 200000
+    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        "c_custkey", "c_nationkey", "c_acctbal", *[F.when(known, F.col(c)).alias(c) for c in ("o_orderkey", "o_totalprice", "o_orderstatus")]
     )
 
 
 SQL_CUSTOMERS_WITH_ORDERS = """
-    SELECT c_custkey, c_nationkey, c_acctbal, o_orderkey, o_totalprice, o_orderstatus
-    FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey
+    SELECT c_custkey, c_nationkey, c_acctbal, CASE WHEN o_totalprice > 200000 THEN o_orderkey END AS o_orderkey,
+           CASE WHEN o_totalprice > 200000 THEN o_totalprice END AS o_totalprice, CASE WHEN o_totalprice > 200000 THEN o_orderstatus END AS o_orderstatus
+    FROM customer LEFT JOIN orders ON c_custkey = o_custkey
 """
 
 

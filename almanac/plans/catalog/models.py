@@ -45,8 +45,8 @@ def careers_rolled_up(t):
          adjusted AS (SELECT *, (price / quantity - sum(price) OVER y / sum(quantity) OVER y) * quantity AS price_plus
                       FROM years WINDOW y AS (PARTITION BY order_year)),
          standing AS (SELECT year(o_orderdate)::INT AS order_year, o_custkey, count(*) AS orders FROM orders GROUP BY 1, 2),
-         urgent AS (SELECT year(o_orderdate)::INT AS order_year, o_custkey, round(sum(o_totalprice), 2) AS urgent
-                    FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2)
+         urgent AS (SELECT year(o_orderdate)::INT AS order_year, o_custkey, round(sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 2) AS urgent
+                    FROM orders GROUP BY 1, 2)
     SELECT order_year, o_custkey, {r("price_plus", 2)} AS price_plus, orders, urgent
     FROM adjusted JOIN standing USING (order_year, o_custkey) LEFT JOIN urgent USING (order_year, o_custkey)
 """)
@@ -54,8 +54,8 @@ def season_table_adjusted(t):
     keys = ["order_year", "o_custkey"]
     orders = t.orders.select(F.year("o_orderdate").alias("order_year"), "o_custkey", "o_totalprice", "o_orderpriority")
     standing = orders.groupBy(*keys).agg(F.count("*").alias("orders"))
-    urgent = orders.where(F.col("o_orderpriority") == "1-URGENT").groupBy(*keys).agg(
-        F.round(F.sum("o_totalprice"), 2).alias("urgent")
+    urgent = orders.groupBy(*keys).agg(
+        F.round(F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice"))), 2).alias("urgent")
     )
     adjusted = adjusted_stats(
         customer_years(t), standing, "order_year", keys, {"price_plus": ("price", "quantity")}
@@ -77,7 +77,7 @@ def _sql_projection(horizon: int, as_of: int, train_until: int) -> str:
     )
     return f"""
         WITH cohorts AS (SELECT c_custkey AS id, d FROM customer LEFT JOIN (
-                 SELECT o_custkey, min(year(o_orderdate))::INT AS d FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+                 SELECT o_custkey, (min(year(o_orderdate)) FILTER (o_orderpriority = '1-URGENT'))::INT AS d FROM orders GROUP BY 1)
                  ON c_custkey = o_custkey),
              facts AS (SELECT o_custkey AS id, year(o_orderdate) AS y,
                               CASE WHEN o_orderstatus <> 'P' OR o_orderpriority <> '5-LOW' THEN o_totalprice END AS v FROM orders),
@@ -93,8 +93,8 @@ def _sql_projection(horizon: int, as_of: int, train_until: int) -> str:
 
 @query(_sql_projection(5, 2001, 1997))
 def cohorts_projected(t):
-    urgent = t.orders.where(F.col("o_orderpriority") == "1-URGENT").groupBy("o_custkey").agg(
-        F.min(F.year("o_orderdate")).alias("d")
+    urgent = t.orders.groupBy("o_custkey").agg(
+        F.min(F.when(F.col("o_orderpriority") == "1-URGENT", F.year("o_orderdate"))).alias("d")
     )
     cohorts = t.customer.select(F.col("c_custkey").alias("id")).join(
         urgent.withColumnRenamed("o_custkey", "id"), "id", "left"
