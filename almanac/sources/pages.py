@@ -121,7 +121,7 @@ def _spread(rows: Column) -> Column:
 def page_tables(
     pages: DataFrame, row_tag: str = "tr", cell_tag: str = "td|th", table_tag: str | None = "table"
 ) -> DataFrame:
-    """One row per table: ``page_id``, ``table_no`` (from 0), ``table_id`` and ``rows``, an array of rows that are arrays of texts.
+    """One row per table: ``page_id``, ``table_no`` (from 0), ``table_id``, ``rows`` and ``links``, one array per row of its texts and links.
 
     Cells that span columns are repeated in them, cells that span rows in the rows below. ``table_id`` is the id attribute,
     null without one. With ``cell_tag`` equal to ``row_tag`` each row is its only cell; without a ``table_tag`` the page is one
@@ -142,8 +142,11 @@ def page_tables(
     tables = pages.select("page_id", F.posexplode_outer(found).alias("table_no", "_table")).where("_table.body is not null")
     named = F.regexp_extract("_table.attrs", r"""(?i)\bid\s*=\s*["']?([^"'\s>]*)""", 1)
     split = tables.select("page_id", "table_no", F.nullif(named, F.lit("")).alias("table_id"),
-                          F.transform(_elements(F.col("_table.body"), row_tag), cells).alias("_rows"))
-    return split.select("page_id", "table_no", "table_id", _spread(F.col("_rows")).alias("rows"))
+                          _elements(F.col("_table.body"), row_tag).alias("_rows"))
+    return split.select(
+        "page_id", "table_no", "table_id", _spread(F.transform("_rows", cells)).alias("rows"),
+        F.transform("_rows", lambda row: _links(row["body"])).alias("links"),
+    )
 
 
 def page_rows(
@@ -155,14 +158,17 @@ def page_rows(
     return rows.select("page_id", "table_no", "row_no", F.posexplode_outer("cells").alias("cell_no", "text")).where("cell_no is not null")
 
 
+def _links(html: Column) -> Column:
+    whole = F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(0))
+    return F.transform(whole, lambda a: F.regexp_replace(a, r"""(?i)^href\s*=\s*["']?|["']$""", ""))
+
+
 def page_links(pages: DataFrame, prefix: str = "") -> DataFrame:
     """Link targets that start with ``prefix``: ``page_id``, ``link_no`` among all links, ``link``.
 
     The attribute may be in any case, its value in either kind of quotes or in none.
     """
-    whole = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(0))
-    value = F.transform(whole, lambda a: F.regexp_replace(a, r"""(?i)^href\s*=\s*["']?|["']$""", ""))
-    return pages.select("page_id", F.posexplode(value).alias("link_no", "link")).where(F.col("link").startswith(prefix))
+    return pages.select("page_id", F.posexplode(_links(F.col("html"))).alias("link_no", "link")).where(F.col("link").startswith(prefix))
 
 
 def clean_name(text: Column) -> Column:
@@ -183,39 +189,48 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def promote_header(tables: DataFrame) -> DataFrame:
-    """Name every cell after the cell above it in the first row of its table.
+def promote_header(tables: DataFrame, header_row: int = 0) -> DataFrame:
+    """Name every cell after the cell above it in row ``header_row`` of its table; the rows above are dropped.
 
-    Takes ``page_tables``; returns ``page_id``, ``table_no``, ``row_no`` and ``cells``, an array of ``name`` and ``text``, without
-    the header rows. Names are those of ``clean_names``: ``x`` for nothing, and the first of ``_2``, ``_3`` and so on that is
+    Takes ``page_tables``; returns ``page_id``, ``table_no``, ``row_no``, ``cells``, an array of ``name`` and ``text``, and ``links``,
+    without the header rows. Names are those of ``clean_names``: ``x`` for nothing, and the first of ``_2``, ``_3`` and so on that is
     free for a repeated one. Nothing is shuffled: a table is one row.
     """
-    plain = F.transform(F.col("rows")[0], lambda text: F.coalesce(F.nullif(clean_name(text), F.lit("")), F.lit("x")))
+    plain = F.transform(F.get("rows", F.lit(header_row)), lambda text: F.coalesce(F.nullif(clean_name(text), F.lit("")), F.lit("x")))
 
     def add(taken: Column, name: Column) -> Column:
         numbered = F.transform(F.sequence(F.lit(2), F.size("_plain") + 1), lambda n: F.concat_ws("_", name, n))
         free = F.filter(numbered, lambda other: ~F.array_contains(F.col("_plain"), other) & ~F.array_contains(taken, other))
         return F.concat(taken, F.array(F.when(F.array_contains(taken, name), F.get(free, F.lit(0))).otherwise(name)))
 
-    named = tables.where(F.size("rows") > 1).select("page_id", "table_no", "rows", plain.alias("_plain")).select(
-        "page_id", "table_no", "rows", F.aggregate("_plain", F.array().cast("array<string>"), add).alias("_names")
+    named = tables.where(F.size("rows") > header_row + 1).select("page_id", "table_no", "rows", "links", plain.alias("_plain")).select(
+        "page_id", "table_no", F.arrays_zip(F.col("rows").alias("texts"), F.col("links").alias("links")).alias("_rows"),
+        F.aggregate("_plain", F.array().cast("array<string>"), add).alias("_names"),
+    )
+    rows = named.select("page_id", "table_no", "_names", F.posexplode_outer("_rows").alias("row_no", "_row")).select(
+        "page_id", "table_no", "_names", "row_no", F.col("_row.texts").alias("_texts"), F.col("_row.links").alias("links")
     )
-    rows = named.select("page_id", "table_no", "_names", F.posexplode_outer("rows").alias("row_no", "_texts"))
     width = F.least(F.size("_names"), F.size("_texts"))
     pairs = F.zip_with(
         F.slice("_names", 1, width), F.slice("_texts", 1, width),
         lambda name, text: F.struct(name.alias("name"), text.alias("text")),
     )
-    return rows.where(F.col("row_no") > 0).select("page_id", "table_no", "row_no", pairs.alias("cells"))
+    return rows.where(F.col("row_no") > header_row).select("page_id", "table_no", "row_no", pairs.alias("cells"), "links")
+
 
+def wide_rows(named: DataFrame, columns: list[str], link_prefix: str | None = None) -> DataFrame:
+    """Turn the named cells of each row into the listed columns; a name the table lacks gives null.
 
-def wide_rows(named: DataFrame, columns: list[str]) -> DataFrame:
-    """Turn the named cells of each row into the listed columns; a name the page lacks gives null."""
+    With a ``link_prefix`` the column ``link`` is the first link of the row that starts with it.
+    """
 
     def value(column: str) -> Column:
         return F.try_element_at(F.filter("cells", lambda c: c["name"] == column), F.lit(1))["text"].alias(column)
 
-    return named.select("page_id", "table_no", "row_no", *[value(c) for c in columns])
+    out = ["page_id", "table_no", "row_no", *[value(c) for c in columns]]
+    if link_prefix is not None:
+        out.append(F.get(F.filter("links", lambda link: link.startswith(link_prefix)), F.lit(0)).alias("link"))
+    return named.select(*out)
 
 
 def numeric_cells(wide: DataFrame, columns: list[str]) -> DataFrame:
