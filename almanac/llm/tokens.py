@@ -1,8 +1,9 @@
 """Token ids of whole texts, with a per-worker memory of what words encode to.
 
-The ids are those of the ``tokenizers`` library. A byte-level vocabulary cuts a text before every
-single space between two words, and never joins across such a cut; words repeat, so each distinct
-one is encoded once and then looked up. Texts with other runs of white space are encoded whole.
+The ids are those of the ``tokenizers`` library. A byte-level vocabulary cuts a text before every single space between
+two words, and between letters, digits and signs, and never joins across such a cut; the pieces repeat, so each distinct one is
+encoded once and then looked up. All cuts of a slice of texts are found at once in its bytes. Texts with other
+runs of white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,8 +13,20 @@ import os
 import re
 from array import array
 
-# Distinct words, and distinct parts of words, remembered per worker before the memory starts anew.
-WORDS, PARTS = 300_000, 1_200_000
+import numpy as np
+import pyarrow as pa
+
+# Distinct pieces of text remembered per worker; beyond that the older half is forgotten.
+PIECES = 1_200_000
+
+# Kinds of bytes for the cuts. Between letters, digits, signs and a line end the pattern of byte-level vocabularies always
+# cuts; apostrophes, other white space and characters beyond ASCII follow rules of their own.
+_SPACE, _LETTER, _DIGIT, _SIGN, _LINE_END, _OTHER = range(6)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[0x20, 0x0A, 0x27]] = _SPACE, _LINE_END, _OTHER
 
 # A space that touches white space, or stands at an end of the text, does not begin a word of its own.
 _ODD_SPACE = re.compile(r"\s |^ | \s| $")
@@ -23,12 +36,68 @@ _MARKS = '[.,!?;:()"%$#&*|<>-]+'
 _SIMPLE = re.compile(f"( ?[^\\W\\d_]+)({_MARKS})?(?:(\\n)([^\\W\\d_]+)({_MARKS})?)?")
 
 
-def _parts(word: str) -> tuple[str, ...]:
-    """The pieces of a word with a space before it that are encoded apart from each other."""
-    m = _SIMPLE.fullmatch(" " + word)
-    if m and m[1][1:].isalpha() and (m[4] is None or m[4].isalpha()):
+def _parts(piece: str) -> tuple[str, ...]:
+    """What a word with letters beyond ASCII is made of that is encoded apart from each other."""
+    m = _SIMPLE.fullmatch(piece)
+    if m and m[1].lstrip(" ").isalpha() and (m[4] is None or m[4].isalpha()):
         return tuple(g for g in m.groups() if g is not None)
-    return (" " + word,)
+    return (piece,)
+
+
+class _Memory:
+    """What was looked up lately: at most ``most`` entries, in a newer and an older half."""
+
+    def __init__(self, most: int):
+        self._half = most // 2
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def of(self, keys: list[str]) -> list[bytes | None]:
+        new, old = self._new.get, self._old.get
+        found = [new(k) for k in keys]
+        if self._old:
+            for i, value in enumerate(found):
+                if value is None and (value := old(keys[i])) is not None:
+                    found[i] = self._new[keys[i]] = value
+        return found
+
+    def learn(self, keys: list[str], values: list[bytes]) -> None:
+        if len(self._new) + len(keys) > self._half:
+            self._old, self._new = self._new, {}
+        self._new.update(zip(keys, values))
+
+
+def _pieces(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Texts cut where a byte-level vocabulary always cuts: the place of each piece among the distinct ones, these, and
+    the first piece of each text (one more at the end).
+
+    Words of ASCII are cut before their space and where the kind of their characters changes; all others, and those with an
+    apostrophe or several line ends in a row, only before their space.
+    """
+    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b" ".join(encoded) + b" ", dtype=np.uint8)
+    between = np.cumsum(np.fromiter((len(e) + 1 for e in encoded), dtype=np.int64, count=len(encoded))) - 1
+    kind = _KIND[raw]
+    spaces = np.flatnonzero(kind == _SPACE)  # the last byte is one
+    changes = np.concatenate(([True], (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)))
+    hard = kind == _OTHER
+    hard[1:] |= (kind[1:] == _LINE_END) & (kind[:-1] == _LINE_END)
+    whole = np.unique(np.searchsorted(spaces, np.flatnonzero(hard)))  # words that are not cut inside
+    for first, end in zip((np.concatenate(([-1], spaces))[whole] + 1).tolist(), spaces[whole].tolist()):
+        changes[first:end] = False
+    changes[spaces] = True
+    changes[0] = True
+    kept = np.ones(len(raw), dtype=bool)
+    kept[between] = False  # what stands between texts is in no piece
+    changes[between] = False
+    changes[between[:-1] + 1] = True
+    start = np.flatnonzero(changes)
+    # Places among the bytes that are kept.
+    offsets = start - np.searchsorted(between, start)
+    offsets = np.concatenate((offsets, [len(raw) - len(between)])).astype(np.int64)
+    pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(raw[kept])).dictionary_encode()
+    bounds = np.searchsorted(start, np.concatenate(([0], between + 1)))
+    return pieces.indices.to_numpy(), pieces.dictionary, bounds
 
 
 class Encoder:
@@ -41,32 +110,58 @@ class Encoder:
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
         self._tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self._by_words = _cuts_before_spaces(tokenizer_json)
-        self._words: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self._known = _Memory(PIECES)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text has none."""
-        for memory, most in ((self._words, WORDS), (self._parts, PARTS)):
-            if len(memory) > most:
-                memory.clear()
-        split, odd = [], []
-        for text in texts:
-            if text and (not self._by_words or _ODD_SPACE.search(text)):
-                odd.append(text)
-                split.append(None)
-            else:
-                split.append(text.split(" ") if text else [])
-        fresh = {w: _parts(w) for w in set().union(*[s[1:] for s in split if s]).difference(self._words)}
-        parts = set().union(*fresh.values()).union(s[0] for s in split if s).difference(self._parts)
-        self._parts.update(zip(parts, self._encoded(list(parts))))
-        part = self._parts.__getitem__
-        for word, pieces in fresh.items():
-            self._words[word] = b"".join(map(part, pieces))
-        whole = iter(self._encoded(odd))
-        word = self._words.__getitem__
-        return [
-            next(whole) if s is None else b"".join([part(s[0]), *map(word, s[1:])]) if s else b"" for s in split
-        ]
+        odd, even = [], []
+        for i, text in enumerate(texts):
+            if text:
+                (odd if not self._by_words or _ODD_SPACE.search(text) else even).append(i)
+        out = [b""] * len(texts)
+        for i, ids in zip(odd, self._encoded([texts[i] for i in odd])):
+            out[i] = ids
+        if even:
+            for i, ids in zip(even, self._by_word([texts[i] for i in even])):
+                out[i] = ids
+        return out
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
+        """Texts with single spaces between words: every distinct piece is looked up once, its ids are copied by place."""
+        at, pieces, bounds = _pieces(texts)
+        ids = self._ids_of(pieces.to_pylist())
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        begin = np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.cumsum(each)
+        found = flat[np.repeat(begin[at] - (ends - each), each) + np.arange(int(ends[-1]))].tobytes()
+        cut = (4 * np.concatenate(([0], ends))[bounds]).tolist()
+        return [found[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        ids = self._known.of(pieces)
+        fresh = [i for i, found in enumerate(ids) if found is None]
+        whole = [i for i in fresh if pieces[i].isascii()]
+        names = [pieces[i] for i in whole]
+        found = self._encoded(names)
+        self._known.learn(names, found)
+        for i, value in zip(whole, found):
+            ids[i] = value
+        # Words with letters beyond ASCII may still consist of parts that are known.
+        others = [i for i in fresh if ids[i] is None]
+        parts = [_parts(pieces[i]) for i in others]
+        wanted = list(set().union(*parts))
+        known = dict(zip(wanted, self._known.of(wanted)))
+        new = [p for p, value in known.items() if value is None]
+        found = self._encoded(new)
+        self._known.learn(new, found)
+        known.update(zip(new, found))
+        for i, made_of in zip(others, parts):
+            ids[i] = b"".join([known[p] for p in made_of])
+        several = [i for i, made_of in zip(others, parts) if len(made_of) > 1]
+        self._known.learn([pieces[i] for i in several], [ids[i] for i in several])
+        return ids
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
