@@ -6,7 +6,7 @@ folder and hands the written table to the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from almanac.llm.decontaminate import contaminated_passages
 from almanac.llm.near_copies import near_copies
@@ -18,18 +18,34 @@ from almanac.operators.settle import settle
 # Near copies of the pipeline: runs of five words.
 SHINGLE_WORDS = 5
 
+_CONTENT = "_content_key"
 
-def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
-    """The columns of ``docs``, with a new text and its length."""
-    out = docs.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*columns)
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """The text, and all columns as one, so that no result of an operator can take the place of a column of the same name."""
+    return docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("_input"), F.col("text"))
+
+
+def _with_text(judged: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``docs`` out of what was carried, with a new text and its length."""
+    new = judged.withColumn("_text", text)
+    kinds = dict(docs.dtypes)
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("_text")
+        return F.length("_text").cast(kinds[name]) if name == "n_chars" else F.col("_input").getField(name)
+
+    return new.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failed lines."""
-    return _with_text(quality_scores(docs).where("kept"), docs.columns, F.col("clean_text"))
+    return _with_text(quality_scores(_carried(docs)).where("kept"), docs, F.col("clean_text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +56,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item. The text alone decides, so rows without an id, or that share one, are judged by their own text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contaminated_passages(docs, items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    marked = docs.withColumn(_CONTENT, F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = contaminated_passages(marked.select(_CONTENT, "text"), items, key=_CONTENT)
+    found = found.select(F.col("doc_id").alias(_CONTENT)).distinct()
+    return marked.join(found, _CONTENT, "left_anti").select(*[_quoted(c) for c in docs.columns])
 
 
 def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of every secret."""
-    return _with_text(secret_spans(docs), docs.columns, redacted(F.col("text"), F.col("secrets")))
+    return _with_text(secret_spans(_carried(docs)), docs, redacted(F.col("text"), F.col("secrets")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
