@@ -34,3 +34,21 @@ def test_awkward_rows(spark):
     for stage in (pipeline.quality, pipeline.near_dedup, pipeline.decontamination, pipeline.secret_removal):
         assert stage(spark, docs, FOLDER).columns == docs.columns
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_columns_and_rows_keep_their_own(spark):
+    """Columns named like results of the operators, rows without an id, an id shared by two texts."""
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    text = "A normal sentence with quite a few words, and it has an end as well. "
+    rows = [(None, item, "s1", 5, "c1"), (1, item, "s2", 6, "c2"), (1, text + "user: bob pwd=hunter2", "s3", 7, "c3"), (None, text, "s4", 8, "c4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, secrets string, n_words int, clean_text string")
+    kept = {r.secrets: r for r in pipeline.decontamination(spark, docs, FOLDER).collect()}
+    assert set(kept) == {"s3", "s4"}
+    marked = {r.secrets: r for r in pipeline.secret_removal(spark, docs, FOLDER).collect()}
+    assert {k: (r.n_words, r.clean_text) for k, r in marked.items()} == {"s1": (5, "c1"), "s2": (6, "c2"), "s3": (7, "c3"), "s4": (8, "c4")}
+    assert marked["s3"].text == text + "user: bob [SECRET]" and marked["s4"].text == text
+    clean = {r.secrets: r for r in pipeline.quality(spark, docs, FOLDER).collect()}
+    assert (clean["s4"].n_words, clean["s4"].clean_text, clean["s4"].text) == (8, "c4", text)
+    strange = docs.withColumn("a`b.c", docs.n_words)
+    for stage in (pipeline.quality, pipeline.decontamination, pipeline.secret_removal):
+        assert stage(spark, strange, FOLDER).columns == strange.columns
