@@ -4,7 +4,9 @@ Every string of ``WIDTH`` bytes contains one seed, the least hash of its ``SEED`
 have equal seeds at the same place. Seeds that only one document has settle their strings at once.
 The others bring their strings together by seed. There, strings are first held against those of the
 smallest documents; what that leaves open and occurs again is sorted by suffix groups
-(``suffixes.equal_runs``), and equal neighbours in that order decide.
+(``suffixes.equal_runs``), and equal neighbours in that order decide. A seed with more rows than one task
+should gather is taken in chunks: each chunk keeps the smallest document of each of its strings, and
+these meet by a 128-bit hash of the string.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from almanac.llm.batches import text_slices
+from almanac.llm.columns import let
 from almanac.llm.suffixes import equal_runs
 from almanac.llm.wordhash import _mixed, random_words
 from almanac.operators.settle import settle
 from almanac.session import ship_package
 
 WIDTH = 50
-SEED = 12
+SEED = 16
 
 # How many documents of a seed, the smallest first, the others are held against before suffixes are sorted.
 LEADERS = 8
@@ -31,7 +34,7 @@ LEADERS = 8
 # Bytes of text whose seeds are computed at once: about 150 bytes of memory each.
 SLICE = 1_000_000
 
-# Rows of strings handled at once behind the exchange by seed; one seed's rows stay together.
+# Rows of strings handled at once behind the exchange by seed; a seed with more is taken in chunks.
 ROWS = 50_000
 
 
@@ -54,7 +57,7 @@ class _Seeds:
             two = b[:-1] | (b[1:] << np.uint64(8))
             four = two[:-2] | (two[2:] << np.uint64(16))
             eight = four[:-4] | (four[4:] << np.uint64(32))
-            seeds = _mixed(eight[:-4] * np.uint64(0x9E3779B97F4A7C15) + four[8:])
+            seeds = _mixed(eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + eight[8:])
         best, place, width = seeds, np.arange(len(seeds)), 1
         while width < span:
             step = min(width, span - width)
@@ -86,31 +89,54 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tag", F.xxhash64("text"))
-    named = rows.where("doc_id is not null")
+    # Both joins take the texts by id and the same columns of them, so that they are shuffled once.
+    named = rows.where("doc_id is not null").select("doc_id", "tag", "text")
     shared = _shared_seeds(named).groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
-    found = settle(named.join(shared, "doc_id").select("doc_id", "tag", "text", "seeds").mapInArrow(
+    found = named.join(shared, "doc_id").select("doc_id", "tag", "text", "seeds").mapInArrow(
         _stretches, "doc_id long, tag long, first long, end long, seed long, back long, run binary"
-    ))
-    compared = found.where("run is not null").select("seed", "back", "run", "doc_id", "tag", "first").repartition(
-        "seed").sortWithinPartitions("seed").mapInArrow(_compared, "doc_id long, tag long, first long, end long")
-    pieces = found.where("run is null").select("doc_id", "tag", "first", "end").unionByName(compared)
-    spans = pieces.groupBy("doc_id", "tag").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("first").alias("start"), "end"))).alias("spans")
     )
-    return rows.join(spans, ["doc_id", "tag"], "left").select(
-        "doc_id", "text", F.length(F.col("text").cast("binary")).cast("long").alias("n_bytes"), _merged().alias("spans")
+    compared = settle(found.select("seed", "back", "run", "doc_id", "tag", "first", "end").repartition(
+        "seed").sortWithinPartitions("seed").mapInArrow(
+        _compared, "doc_id long, tag long, first long, end long, hash long, hash_2 long"
+    ))
+    # Strings of seeds taken in chunks: the smallest document of each chunk, and of all of them.
+    several = compared.where("hash is not null")
+    least = several.groupBy("hash", "hash_2").agg(F.min("doc_id").alias("least"))
+    late = several.join(least, ["hash", "hash_2"]).where("doc_id > least")
+    pieces = compared.where("hash is null").select("doc_id", "tag", "first", "end").unionByName(
+        late.select("doc_id", "tag", "first", "end")
     )
+    spans = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "first", "end")).alias("pieces"))
+    whole = named.join(spans, "doc_id", "left").select("doc_id", "text", _size(), _merged().alias("spans"))
+    nameless = rows.where("doc_id is null").select("doc_id", "text", _size(), F.lit(None).cast(_SPANS).alias("spans"))
+    return whole.unionByName(nameless).withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+
+
+_SPANS = "array<struct<start:long,end:long>>"
+
+
+def _size():
+    return F.length(F.col("text").cast("binary")).cast("long").alias("n_bytes")
 
 
 def _merged():
-    none = F.array().cast("array<struct<start:long,end:long>>")
-    return F.coalesce(F.aggregate("spans", none, lambda done, s: F.when(
-        (F.size(done) > 0) & (s["start"] <= F.get(done, F.size(done) - 1)["end"]),
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
-            F.get(done, F.size(done) - 1)["start"].alias("start"),
-            F.greatest(F.get(done, F.size(done) - 1)["end"], s["end"]).alias("end"),
-        ))),
-    ).otherwise(F.concat(done, F.array(s)))), none)
+    """The pieces of a row as spans that neither overlap nor touch.
+
+    With starts and ends sorted apart, a span begins where all earlier ones have ended: at each start
+    above the end before it in number.
+    """
+    mine = F.filter("pieces", lambda p: p["tag"] == F.col("tag"))
+    sides = let(mine, lambda m: F.struct(
+        F.array_sort(F.transform(m, lambda p: p["first"])).alias("a"),
+        F.array_sort(F.transform(m, lambda p: p["end"])).alias("b"),
+    ))
+
+    def joined(x):
+        begins = F.filter(x["a"], lambda a, i: (i == 0) | (a > F.get(x["b"], i - 1)))
+        ends = F.filter(x["b"], lambda b, i: F.coalesce(F.get(x["a"], i + 1) > b, F.lit(True)))
+        return F.arrays_zip(begins.alias("start"), ends.alias("end"))
+
+    return let(sides, joined).cast(_SPANS)
 
 
 def _shared_seeds(named: DataFrame) -> DataFrame:
@@ -176,47 +202,119 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if least.setdefault(k, d) > d:
                 least[k] = d
         gone = doc > np.array([least[k] for k in keys], dtype=np.int64) if keys else np.zeros(0, dtype=bool)
+        # What goes at once, as one span wherever its stretches touch.
+        out = np.flatnonzero(gone)
+        text, begin, stop = s.text[mine][out], first[out], last[out] + WIDTH
+        new = np.ones(len(out), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (begin[1:] > stop[:-1])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(out))[:len(head)] - 1
+        none, open_ = np.zeros(len(head), dtype=np.int64), np.flatnonzero(~gone)
+        spread = _mixed(begin[head].astype(np.uint64) + doc[out][head].astype(np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays([
-            pa.array(doc), pa.array(tag), pa.array(first - offset), pa.array(last + WIDTH - offset), pa.array(seed),
-            pa.array(back), pa.array([None if g else r for g, r in zip(gone, runs)], pa.binary()),
+            pa.array(np.concatenate((doc[open_], doc[out][head]))), pa.array(np.concatenate((tag[open_], tag[out][head]))),
+            pa.array(np.concatenate(((first - offset)[open_], (first - offset)[out][head]))),
+            pa.array(np.concatenate(((last + WIDTH - offset)[open_], (last + WIDTH - offset)[out][tail]))),
+            pa.array(np.concatenate((seed[open_], spread))), pa.array(np.concatenate((back[open_], none))),
+            pa.array([runs[i] for i in open_.tolist()] + [None] * len(head), pa.binary()),
         ], names=["doc_id", "tag", "first", "end", "seed", "back", "run"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What goes of the stretches, by seed; a seed's rows are gathered, other rows pass in chunks."""
-    held, rows = [], 0
+    """What goes of the stretches, by seed.
+
+    Rows without ``run`` pass. A seed with fewer than ``ROWS`` rows is gathered and settled; of others,
+    chunk by chunk, strings that the chunk's smallest document does not settle come out with their hash.
+    """
+    held, rows, large = [], 0, None
     for batch in batches:
-        if not batch.num_rows:
+        table = pa.Table.from_batches([batch])
+        settled = table.filter(table.column("run").is_null())
+        if settled.num_rows:
+            yield from _final(settled.select(["doc_id", "tag", "first", "end"])).to_batches()
+        open_ = table.filter(table.column("run").is_valid())
+        if not open_.num_rows:
             continue
-        held.append(batch)
-        rows += batch.num_rows
+        held.append(open_)
+        rows += open_.num_rows
         if rows < ROWS:
             continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        seed = table.column(0).to_numpy()
+        table = pa.concat_tables(held).combine_chunks()
+        seed = table.column("seed").to_numpy()
         cut = int(np.searchsorted(seed, seed[-1]))
-        if cut:
-            yield _removed(table.slice(0, cut))
-        rest = table.slice(cut).combine_chunks()
-        held, rows = rest.to_batches(), rest.num_rows
-    if held:
-        yield _removed(pa.Table.from_batches(held).combine_chunks())
+        if not cut:
+            large, cut = int(seed[-1]), len(seed)
+        yield from _settled(table.slice(0, cut), large)
+        held, rows = [table.slice(cut)], len(seed) - cut
+    if rows:
+        yield from _settled(pa.concat_tables(held).combine_chunks(), large)
+
+
+def _settled(table: pa.Table, large: int | None) -> Iterator[pa.RecordBatch]:
+    """A run of rows by seed; those of the seed ``large``, which come first, are one chunk of it."""
+    cut = int(np.searchsorted(table.column("seed").to_numpy(), large, side="right")) if large is not None else 0
+    if cut and table.column("seed")[0].as_py() == large:
+        yield _of_chunk(table.slice(0, cut).combine_chunks())
+        table = table.slice(cut).combine_chunks()
+    if table.num_rows:
+        yield from _final(pa.Table.from_batches([_removed(table)])).to_batches()
+
+
+def _final(table: pa.Table) -> pa.Table:
+    none = pa.nulls(table.num_rows, pa.int64())
+    return table.append_column("hash", none).append_column("hash_2", none)
 
 
 _LEFT = WIDTH - SEED  # most bytes before a seed in its strings
 _COLUMNS = _LEFT + WIDTH
 
 
-def _removed(table: pa.Table) -> pa.RecordBatch:
-    seed, back, doc, tag, start = (table.column(k).to_numpy() for k in (0, 1, 3, 4, 5))
-    runs = table.column(2).to_pylist()
-    n = len(runs)
+def _grid(runs: list[bytes], back: np.ndarray) -> np.ndarray:
+    """All stretches with their seed in the same column; -1 where there is nothing."""
     sizes = np.array([len(r) for r in runs], dtype=np.int64)
-    # All stretches with their seed in the same column; -1 where there is nothing.
-    grid = np.full((n, _COLUMNS), -1, dtype=np.int16)
-    row = np.repeat(np.arange(n), sizes)
+    grid = np.full((len(runs), _COLUMNS), -1, dtype=np.int16)
+    row = np.repeat(np.arange(len(runs)), sizes)
     column = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(_LEFT - back, sizes)
     grid[row, column] = np.frombuffer(b"".join(runs), dtype=np.uint8)
+    return grid
+
+
+def _hashes(grid: np.ndarray, row: np.ndarray, column: np.ndarray, which: int) -> np.ndarray:
+    """64-bit hashes of the strings that begin at the cells ``row``, ``column``."""
+    letters = random_words(257, which)
+    base = int(random_words(1, which + 1)[0]) | 1
+    with np.errstate(over="ignore"):
+        sums = np.zeros((len(grid), _COLUMNS + 1), dtype=np.uint64)
+        for k in range(_COLUMNS):
+            sums[:, k + 1] = sums[:, k] * np.uint64(base) + letters[grid[:, k] + 1]
+        return _mixed(sums[row, column + WIDTH] - sums[row, column] * np.uint64(pow(base, WIDTH, 1 << 64)))
+
+
+def _of_chunk(table: pa.Table) -> pa.RecordBatch:
+    """Of rows of one seed, strings that a smaller document of the rows has, as spans, and the others with their hash."""
+    back, doc, tag, start = (table.column(k).to_numpy() for k in ("back", "doc_id", "tag", "first"))
+    grid = _grid(table.column("run").to_pylist(), back)
+    row, column = np.nonzero(_full(grid >= 0))
+    one, two = _hashes(grid, row, column, 7), _hashes(grid, row, column, 11)
+    order = np.lexsort((doc[row], two, one))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    least = doc[row][order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    goes = doc[row][order] > least
+    # One row stands for a string and document, but rows with the same id each lose or keep theirs.
+    row, column, one, two = row[order], column[order], one[order].view(np.int64), two[order].view(np.int64)
+    first = start[row] + column - (_LEFT - back[row])
+    return pa.RecordBatch.from_arrays([
+        pa.array(doc[row]), pa.array(tag[row]), pa.array(first), pa.array(first + WIDTH),
+        pa.array(one, mask=goes), pa.array(two, mask=goes),
+    ], names=["doc_id", "tag", "first", "end", "hash", "hash_2"])
+
+
+def _removed(table: pa.Table) -> pa.RecordBatch:
+    """What goes of rows by seed, all rows of each seed at once."""
+    seed, back, doc, tag, start = (table.column(k).to_numpy() for k in ("seed", "back", "doc_id", "tag", "first"))
+    runs = table.column("run").to_pylist()
+    grid = _grid(runs, back)
     group = np.concatenate(([0], np.cumsum(seed[1:] != seed[:-1])))
     order = np.lexsort((doc, group))
     there = grid >= 0
@@ -256,15 +354,7 @@ def _decide_open(grid, open_, doc, back, runs, gone) -> None:
     """Strings that the smallest documents lack: those that occur once stay, the rest goes by suffix groups."""
     r, c = np.nonzero(open_)
     rows = np.flatnonzero(open_.any(axis=1))
-    letters = random_words(257, 7)[grid[rows] + 1]
-    with np.errstate(over="ignore"):
-        base = np.uint64(0x9E3779B97F4A7C15)
-        sums = np.zeros((len(rows), _COLUMNS + 1), dtype=np.uint64)
-        for k in range(_COLUMNS):
-            sums[:, k + 1] = sums[:, k] * base + letters[:, k]
-        power = np.uint64(pow(0x9E3779B97F4A7C15, WIDTH, 1 << 64))
-        place = np.searchsorted(rows, r)
-        value = sums[place, c + WIDTH] - sums[place, c] * power
+    value = _hashes(grid[rows], np.searchsorted(rows, r), c, 7)
     order = np.lexsort((doc[r], value))
     new = np.concatenate(([True], value[order][1:] != value[order][:-1]))
     first = np.flatnonzero(new)

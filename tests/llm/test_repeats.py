@@ -85,11 +85,52 @@ def test_every_number_of_leaders_gives_the_same(monkeypatch):
     seeds = repeats._Seeds([t or "" for _, t in rows]).hash.view("int64").tolist()
     batch = batch.set_column(3, "seeds", pa.array([seeds] + [[]] * (len(rows) - 1), pa.list_(pa.int64())))
     found = pa.Table.from_batches(list(repeats._stretches(iter([batch])))).to_pylist()
-    kept = sorted((r for r in found if r["run"] is not None), key=lambda r: r["seed"])
-    table = pa.RecordBatch.from_pylist([{k: r[k] for k in ("seed", "back", "run", "doc_id", "tag", "first")} for r in kept])
+    open_ = sorted((r for r in found if r["run"] is not None), key=lambda r: r["seed"])
+    columns = ("seed", "back", "run", "doc_id", "tag", "first", "end")
+    table = pa.RecordBatch.from_pylist([{k: r[k] for k in columns} for r in open_])
     results = []
     for leaders in (0, 1, 8):
         monkeypatch.setattr(repeats, "LEADERS", leaders)
         out = pa.Table.from_batches(list(repeats._compared(iter([table])))).to_pylist()
         results.append({(r["doc_id"], b) for r in out for b in range(r["first"], r["end"])})
     assert results[0] == results[1] == results[2] and results[0]
+    # Seeds taken in chunks of any size: the smallest documents of the chunks decide.
+    for size in (1, 7, 60):
+        monkeypatch.setattr(repeats, "ROWS", size)
+        parts = [table.slice(i, size) for i in range(0, table.num_rows, size)]
+        out = pa.Table.from_batches(list(repeats._compared(iter(parts)))).to_pylist()
+        least = {}
+        for r in out:
+            least[r["hash"], r["hash_2"]] = min(r["doc_id"], least.get((r["hash"], r["hash_2"]), r["doc_id"]))
+        gone = [r for r in out if r["hash"] is None or r["doc_id"] > least[r["hash"], r["hash_2"]]]
+        assert {(r["doc_id"], b) for r in gone for b in range(r["first"], r["end"])} == results[0]
+
+
+def test_seed_of_many_documents(spark, monkeypatch):
+    """One passage in every document, each time between other words, through chunks of the whole operator."""
+    r = random.Random(5)
+    passage = "".join(r.choice("abcdefghij ") for _ in range(70))
+    rows = [(k, f"{r.random()} {passage[r.randrange(8):]} {r.random()}") for k in range(300)]
+    r.shuffle(rows)
+    monkeypatch.setattr(repeats, "_compared", in_chunks(40))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in repeats.repeated_passages(df).collect()}
+    assert sorted((k, len(t.encode()), sum(b - a for a, b in got[k]), len(got[k])) for k, t in rows) == [x[:4] for x in plain(rows)]
+
+
+def in_chunks(size):
+    def compared(batches):
+        from almanac.llm import repeats as there
+
+        there.ROWS = size
+        yield from there._compared(p for b in batches for p in (b.slice(i, size) for i in range(0, b.num_rows, size)))
+
+    return compared
+
+
+def test_text_of_many_spans(spark):
+    """Tens of thousands of spans in one text, in about linear time."""
+    lines = [f"{k * 7919 % 100_003:06d} " * 8 for k in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(f"{s}x{k:05x}" for k, s in enumerate(lines)))]
+    got = {x.doc_id: x for x in repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got[1].spans) == 0 and len(got[2].spans) == 20_000
