@@ -1,6 +1,8 @@
 """Repeated passages: bytes under a string of ``WIDTH`` bytes that an earlier document also holds.
 
-Every string of ``WIDTH`` bytes contains one seed, the least hash of its ``SEED`` byte runs; equal strings
+Texts are first cut where their content says so; of pieces of text with the same bytes (and the same
+``WIDTH - 1`` bytes behind them, compared by a 128-bit digest) only that of the smallest document goes on.
+There, every string of ``WIDTH`` bytes contains one seed, the least hash of its ``SEED`` byte runs; equal strings
 have equal seeds at the same place. Seeds that only one document has settle their strings at once.
 The others bring their strings together by seed. There, strings are first held against those of the
 smallest documents; what that leaves open and occurs again is sorted by suffix groups
@@ -28,6 +30,9 @@ from almanac.session import ship_package
 WIDTH = 50
 SEED = 16
 
+# Mean bytes of the pieces of text whose copies collapse first.
+PIECE = 256
+
 # How many documents of a seed, the smallest first, the others are held against before suffixes are sorted.
 LEADERS = 8
 
@@ -38,26 +43,38 @@ SLICE = 1_000_000
 ROWS = 50_000
 
 
+def _run_hashes(raw: bytes) -> np.ndarray:
+    """A hash of the ``SEED`` bytes from each place on."""
+    with np.errstate(over="ignore"):
+        b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64)
+        two = b[:-1] | (b[1:] << np.uint64(8))
+        four = two[:-2] | (two[2:] << np.uint64(16))
+        eight = four[:-4] | (four[4:] << np.uint64(32))
+        return _mixed(eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + eight[8:])
+
+
+def _joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
+    """The bytes of all texts, and where each begins and ends."""
+    encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return b"".join(encoded), np.concatenate(([0], np.cumsum([len(e) for e in encoded], dtype=np.int64)))
+
+
 class _Seeds:
-    """Stretches of the texts whose strings share a seed: ``first`` to ``last`` start, ``at`` of the seed, ``hash``."""
+    """Stretches of the texts whose strings share a seed: ``first`` to ``last`` start, ``at`` of the seed, ``hash``.
 
-    def __init__(self, texts: list[str | None]):
-        encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        self.raw = b"".join(encoded)
-        sizes = np.array([len(e) for e in encoded], dtype=np.int64)
-        self.bounds = np.concatenate(([0], np.cumsum(sizes)))
+    ``gone`` are spans of bytes, as first and end over all texts, whose strings take no part.
+    """
+
+    def __init__(self, texts: list[str | None], gone: tuple[np.ndarray, np.ndarray] | None = None):
+        self.raw, self.bounds = _joined(texts)
+        sizes = np.diff(self.bounds)
         n = len(self.raw)
         span = WIDTH - SEED + 1
         if n < WIDTH:
             self.first = self.last = self.at = self.text = np.zeros(0, dtype=np.int64)
             self.hash = np.zeros(0, dtype=np.uint64)
             return
-        with np.errstate(over="ignore"):
-            b = np.frombuffer(self.raw, dtype=np.uint8).astype(np.uint64)
-            two = b[:-1] | (b[1:] << np.uint64(8))
-            four = two[:-2] | (two[2:] << np.uint64(16))
-            eight = four[:-4] | (four[4:] << np.uint64(32))
-            seeds = _mixed(eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + eight[8:])
+        seeds = _run_hashes(self.raw)
         best, place, width = seeds, np.arange(len(seeds)), 1
         while width < span:
             step = min(width, span - width)
@@ -67,8 +84,13 @@ class _Seeds:
             width += step
         text = np.repeat(np.arange(len(sizes)), sizes)[:len(best)]
         inside = np.arange(len(best)) + WIDTH <= self.bounds[text + 1]
+        if gone is not None and len(gone[0]):
+            change = np.zeros(len(best) + 1, dtype=np.int32)
+            np.add.at(change, gone[0], 1)
+            np.add.at(change, gone[1] - WIDTH + 1, -1)
+            inside &= np.cumsum(change[:-1]) == 0
         new = np.ones(len(best), dtype=bool)
-        new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
+        new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])
         start = np.flatnonzero(new & inside)
         # Strings of one seed stand side by side and all begin in one text; the last inside ends the stretch.
         stop = np.append(np.flatnonzero(new), len(best))
@@ -91,8 +113,15 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     rows = rows.withColumn("tag", F.xxhash64("text"))
     # Both joins take the texts by id and the same columns of them, so that they are shuffled once.
     named = rows.where("doc_id is not null").select("doc_id", "tag", "text")
-    shared = _shared_seeds(named).groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
-    found = named.join(shared, "doc_id").select("doc_id", "tag", "text", "seeds").mapInArrow(
+    copied = settle(named.mapInArrow(
+        _text_pieces, "hash long, hash_2 long, copied boolean, doc_id long, tag long, first long, end long"
+    ).repartition("hash", "hash_2").sortWithinPartitions("hash", "hash_2", "doc_id").mapInArrow(
+        _copied, "doc_id long, tag long, first long, end long"
+    ))
+    gone = copied.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "first", "end")).alias("gone"))
+    open_ = named.join(gone, "doc_id", "left").select("doc_id", "tag", "text", "gone")
+    shared = _shared_seeds(open_).groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
+    found = open_.join(shared, "doc_id").select("doc_id", "tag", "text", "gone", "seeds").mapInArrow(
         _stretches, "doc_id long, tag long, first long, end long, seed long, back long, run binary"
     )
     compared = settle(found.select("seed", "back", "run", "doc_id", "tag", "first", "end").repartition(
@@ -105,7 +134,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     late = several.join(least, ["hash", "hash_2"]).where("doc_id > least")
     pieces = compared.where("hash is null").select("doc_id", "tag", "first", "end").unionByName(
         late.select("doc_id", "tag", "first", "end")
-    )
+    ).unionByName(copied)
     spans = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "first", "end")).alias("pieces"))
     whole = named.join(spans, "doc_id", "left").select("doc_id", "text", _size(), _merged().alias("spans"))
     nameless = rows.where("doc_id is null").select("doc_id", "text", _size(), F.lit(None).cast(_SPANS).alias("spans"))
@@ -139,11 +168,79 @@ def _merged():
     return let(sides, joined).cast(_SPANS)
 
 
+def _text_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of each text, with the digest of their bytes and of those behind them that their strings reach.
+
+    Cuts are where the bytes behind them say so, so copies are cut alike. Within a slice the smallest
+    document stands for all; the others are ``copied``.
+    """
+    for part, texts in text_slices(batches, size=SLICE):
+        raw, bounds = _joined(texts)
+        hashes = _run_hashes(raw) if len(raw) >= SEED else np.zeros(0, dtype=np.uint64)
+        cuts = np.flatnonzero((hashes >> np.uint64(32)) % np.uint64(PIECE) == 0)
+        text = np.searchsorted(bounds, cuts, side="right") - 1
+        cuts = cuts[cuts + SEED <= bounds[text + 1]]
+        begin = np.union1d(bounds[:-1][np.diff(bounds) > 0], cuts)
+        text = np.searchsorted(bounds, begin, side="right") - 1
+        end = np.minimum(np.append(begin[1:], len(raw)) + WIDTH - 1, bounds[text + 1])
+        long_ = end - begin >= WIDTH
+        begin, end, text = begin[long_], end[long_], text[long_]
+        digests = b"".join(
+            hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())
+        )
+        one, two = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2).T
+        ids, tags = (part.column(k).to_numpy() for k in range(2))
+        doc, tag = ids[text], tags[text]
+        order = np.lexsort((doc, two, one))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        copied = np.zeros(len(order), dtype=bool)
+        copied[order] = doc[order] > least
+        # Copies need no other row: they are dealt out by their place.
+        one = np.where(copied, _mixed(begin.astype(np.uint64) + doc.astype(np.uint64)).view(np.int64), one)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(one), pa.array(two), pa.array(copied), pa.array(doc), pa.array(tag),
+            pa.array(begin - bounds[text]), pa.array(end - bounds[text]),
+        ], names=["hash", "hash_2", "copied", "doc_id", "tag", "first", "end"])
+
+
+def _copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces that a smaller document has, too; rows come by hash and document, and none waits for others."""
+    key, least = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one, two, done, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        goes = done.copy()
+        mine = np.flatnonzero(~done)
+        if len(mine):
+            one, two, doc = one[mine], two[mine], doc[mine]
+            new = np.ones(len(mine), dtype=bool)
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            leaders = doc[np.flatnonzero(new)]
+            if key == (one[0], two[0]):
+                leaders[0] = least
+            goes[mine] = doc > leaders[np.cumsum(new) - 1]
+            key, least = (one[-1], two[-1]), leaders[-1]
+        yield batch.select(["doc_id", "tag", "first", "end"]).filter(pa.array(goes))
+
+
+def _gone(part: pa.RecordBatch, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of a slice's copied pieces over all its texts; of rows with one id, each has its own ``tag``."""
+    spans = [
+        (at + p["first"], at + p["end"])
+        for at, tag, pieces in zip(bounds.tolist(), part.column("tag").to_pylist(), part.column("gone").to_pylist())
+        for p in pieces or () if p["tag"] == tag
+    ]
+    return tuple(np.array(spans, dtype=np.int64).reshape(-1, 2).T)
+
+
 def _shared_seeds(named: DataFrame) -> DataFrame:
     """Seeds that two documents or more have, with each of those documents."""
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, size=SLICE):
-            s = _Seeds(texts)
+            s = _Seeds(texts, _gone(part, _joined(texts)[1]))
             order = np.lexsort((s.hash, s.text))
             text, value = s.text[order], s.hash[order]
             once = np.ones(len(text), dtype=bool)
@@ -175,7 +272,7 @@ def _shared_seeds(named: DataFrame) -> DataFrame:
                 keep[0] = False  # passed before
             yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(d[keep])], names=["seed", "doc_id"])
 
-    every = named.select("doc_id", "text").mapInArrow(seeds, "seed long, doc_id long")
+    every = named.mapInArrow(seeds, "seed long, doc_id long")
     return every.repartition("seed").sortWithinPartitions("seed").mapInArrow(several, "seed long, doc_id long")
 
 
@@ -186,8 +283,8 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one row per slice behind the exchange.
     """
     for part, texts in text_slices(batches, size=SLICE):
-        s = _Seeds(texts)
-        wanted = np.unique(part.column(3).values.to_numpy().view(np.uint64)) if part.num_rows else np.zeros(0, np.uint64)
+        s = _Seeds(texts, _gone(part, _joined(texts)[1]))
+        wanted = np.unique(part.column("seeds").values.to_numpy().view(np.uint64)) if part.num_rows else np.zeros(0, np.uint64)
         # ListArray.values ignores the slice's offset: more seeds than needed do no harm.
         mine = np.flatnonzero(np.isin(s.hash, wanted))
         ids, tags = (part.column(k).to_numpy() for k in range(2))

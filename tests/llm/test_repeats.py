@@ -80,10 +80,11 @@ def test_every_number_of_leaders_gives_the_same(monkeypatch):
     rows = [(d, t) for d, t in corpus()]
     batch = pa.RecordBatch.from_pydict({
         "doc_id": [d for d, _ in rows], "tag": [0] * len(rows), "text": [t or "" for _, t in rows],
+        "gone": pa.array([None] * len(rows), pa.list_(pa.struct({"tag": pa.int64(), "first": pa.int64(), "end": pa.int64()}))),
         "seeds": pa.array([[] for _ in rows], pa.list_(pa.int64())),
     })
     seeds = repeats._Seeds([t or "" for _, t in rows]).hash.view("int64").tolist()
-    batch = batch.set_column(3, "seeds", pa.array([seeds] + [[]] * (len(rows) - 1), pa.list_(pa.int64())))
+    batch = batch.set_column(4, "seeds", pa.array([seeds] + [[]] * (len(rows) - 1), pa.list_(pa.int64())))
     found = pa.Table.from_batches(list(repeats._stretches(iter([batch])))).to_pylist()
     open_ = sorted((r for r in found if r["run"] is not None), key=lambda r: r["seed"])
     columns = ("seed", "back", "run", "doc_id", "tag", "first", "end")
@@ -118,6 +119,24 @@ def test_seed_of_many_documents(spark, monkeypatch):
     assert sorted((k, len(t.encode()), sum(b - a for a, b in got[k]), len(got[k])) for k, t in rows) == [x[:4] for x in plain(rows)]
 
 
+def test_long_copies_with_edits(spark):
+    """Texts of many pieces, whole and edited, also under one id."""
+    r = random.Random(11)
+    base = ["".join(r.choice("abcdefghij ") for _ in range(6000)) for _ in range(4)]
+    rows = [(k, base[k % 4]) for k in range(12)]
+    for k in range(12, 40):
+        copy = list(base[k % 4])
+        for _ in range(r.randrange(6)):
+            copy[r.randrange(6000)] = "X"
+        rows.append((k, "".join(copy[r.randrange(900):])))
+    rows += [(39, base[0]), (5, base[2][:3000] + base[1][:3000])]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = repeats.repeated_passages(df).mapInArrow(
+        repeats._kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+    assert sorted(tuple(x) for x in got) == plain(rows)
+
+
 def in_chunks(size):
     def compared(batches):
         from almanac.llm import repeats as there
