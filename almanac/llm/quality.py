@@ -24,6 +24,7 @@ MOST_SYMBOLS_PERCENT = 8
 MOST_CAPITALS_PERCENT = 50
 LEAST_CHARS_FOR_CAPITALS = 20
 LEAST_CHARS_FOR_PUNCTUATION = 60
+MOST_BOILERPLATE_PERCENT = 30
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "cookie settings",
     "accept cookies", "accept all cookies", "enable javascript", "click here", "read more", "sign up", "log in",
@@ -37,6 +38,15 @@ _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PUNCTUATION = "[.!?…,;:\"”)\\]]"
 _WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
+# Latin letters end here; lines mostly beyond it may be in a script without full stops.
+_LATIN = "[\\x00-\\x{24F}]"
+_NO_OTHER_PUNCTUATION = f"[\\x00-\\x7F{NAVIGATION_MARKS}]"
+
+# Phrases stand between ASCII characters other than letters and digits. These are doubled first, so that two phrases
+# may share one.
+_EDGE = "([\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"
+_PHRASES = _EDGE + "(" + "|".join(p.replace(" ", "  ") for p in BOILERPLATE) + ")" + _EDGE
+
 
 def words_of(text: Column) -> Column:
     """Runs of characters other than space and U+0009 to U+000D.
@@ -85,21 +95,35 @@ def _repeated(words: Column, width: int) -> Column:
     return F.when(F.size(words) < width + 1, F.lit(0)).otherwise(counted).cast("long")
 
 
+def _chars(text: Column) -> Column:
+    return F.length(F.translate(text, SPACES, ""))
+
+
+def boilerplate_chars(line: Column) -> Column:
+    """Characters, white space aside, of the line's boilerplate phrases; a phrase is made of whole words."""
+    edged = F.concat(F.lit(" "), F.regexp_replace(lower_ascii(line), _EDGE, "$1$1"), F.lit(" "))
+    return let(edged, lambda e: _chars(e) - _chars(F.regexp_replace(e, _PHRASES, "$1$3")))
+
+
 def line_fails(line: Column, boilerplate: Column | None = None) -> Column:
     """The rules for one line: symbols and navigation marks, capitals, missing punctuation, boilerplate.
 
-    A pattern that most lines fail at once stands before each count. ``boilerplate`` may hold, once
-    per text, whether any phrase occurs in it at all.
+    Boilerplate counts by its share of the line, so that prose may hold a phrase. Punctuation of any
+    script will do, and lines mostly in letters other than Latin ones need none. A pattern that most
+    lines fail at once stands before each count. ``boilerplate`` may hold, once per text, whether any
+    phrase occurs in it at all.
     """
-    chars = F.length(F.translate(line, SPACES, ""))
-    phrase = lower_ascii(line).rlike("|".join(BOILERPLATE))
+    chars = _chars(line)
+    phrases = 100 * boilerplate_chars(line) > MOST_BOILERPLATE_PERCENT * chars
     return (
         (line.rlike(f"[{SYMBOLS}{NAVIGATION_MARKS}]")
          & (100 * n_of(line, SYMBOLS + NAVIGATION_MARKS) > MOST_SYMBOLS_PERCENT * chars))
         | (line.rlike("[A-Z]{4}") & (chars >= LEAST_CHARS_FOR_CAPITALS)
            & (100 * n_of(line, _CAPITALS) > MOST_CAPITALS_PERCENT * chars))
-        | (~line.rlike(_PUNCTUATION) & (chars >= LEAST_CHARS_FOR_PUNCTUATION))
-        | (phrase if boilerplate is None else boilerplate & phrase)
+        | (~line.rlike(_PUNCTUATION) & (chars >= LEAST_CHARS_FOR_PUNCTUATION)
+           & (2 * F.length(F.regexp_replace(line, _LATIN, "")) <= chars)
+           & ~F.regexp_replace(line, _NO_OTHER_PUNCTUATION, "").rlike("\\p{P}"))
+        | (phrases if boilerplate is None else boilerplate & phrases)
     )
 
 
@@ -114,30 +138,26 @@ def quality_scores(df: DataFrame, text: str = "text") -> DataFrame:
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(whole, "\n", -1)
-    full = F.filter(lines, lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
+    has_word = "[^\\x20\\x09-\\x0D]"
+    full = F.filter(lines, lambda s: s.rlike(has_word))
     small = lower_ascii(whole)
     any_phrase = let(small, lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in BOILERPLATE]))
-    failed = let(any_phrase, lambda p: F.filter(full, lambda s: line_fails(s, p)))
-    step = beside(df, {"_llm_words": words_of(whole), "_llm_failed": failed})
+    passed = let(any_phrase, lambda p: F.filter(lines, lambda s: ~(s.rlike(has_word) & line_fails(s, p))))
+    step = beside(df, {"_llm_words": words_of(whole), "clean_text": F.array_join(passed, "\n")})
     step = beside(step, {
         "n_words": F.size("_llm_words").cast("long"),
         "word_chars": F.length(F.array_join("_llm_words", "")).cast("long"),
         "n_symbols": F.when(whole.rlike(f"[{SYMBOLS}]"), n_of(whole, SYMBOLS)).otherwise(F.lit(0)).cast("long"),
         "n_dup_lines": let(full, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_llm_words")),
-        "lost_chars": F.aggregate(
-            "_llm_failed", F.lit(0), lambda n, s: n + F.length(F.translate(s, SPACES, ""))
-        ).cast("long"),
-        "clean_text": F.when(F.size("_llm_failed") == 0, whole).otherwise(
-            F.array_join(F.filter(lines, lambda s: ~F.array_contains(F.col("_llm_failed"), s)), "\n")
-        ),
     })
+    step = beside(step, {"lost_chars": F.col("word_chars") - _chars(F.col("clean_text"))})
     base_failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
     )
     step = beside(step, {"base_failed": base_failed})
     kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= MOST_LOST_PERCENT * F.col("word_chars"))
-    return beside(step, {"kept": kept}).drop("_llm_words", "_llm_failed")
+    return beside(step, {"kept": kept}).drop("_llm_words")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,11 +178,19 @@ def _sql_n_of(column: str, characters: str) -> str:
     return f"(length({column}) - length(translate({column}, {_sql_text(characters)}, '')))"
 
 
+_SPACE = "[\\x20\\x09-\\x0D]"
+_SQL_EDGED = (
+    f"(' ' || regexp_replace(translate(s, '{_CAPITALS}', '{_CAPITALS.lower()}'), '{_EDGE}', '\\1\\1', 'g') || ' ')"
+)
 _SQL_FAILS = f"""(100 * {_sql_n_of('s', SYMBOLS + NAVIGATION_MARKS)} > {MOST_SYMBOLS_PERCENT} * {_LINE_CHARS}
   OR (regexp_matches(s, '[A-Z]{{4}}') AND {_LINE_CHARS} >= {LEAST_CHARS_FOR_CAPITALS}
       AND 100 * {_sql_n_of('s', _CAPITALS)} > {MOST_CAPITALS_PERCENT} * {_LINE_CHARS})
-  OR ({_LINE_CHARS} >= {LEAST_CHARS_FOR_PUNCTUATION} AND {_sql_n_of('s', PUNCTUATION)} = 0)
-  OR regexp_matches(translate(s, '{_CAPITALS}', '{_CAPITALS.lower()}'), {_sql_text('|'.join(BOILERPLATE))}))"""
+  OR ({_LINE_CHARS} >= {LEAST_CHARS_FOR_PUNCTUATION} AND {_sql_n_of('s', PUNCTUATION)} = 0
+      AND 2 * length(regexp_replace(s, '{_LATIN}', '', 'g')) <= {_LINE_CHARS}
+      AND NOT regexp_matches(regexp_replace(s, '{_NO_OTHER_PUNCTUATION}', '', 'g'), '\\p{{P}}'))
+  OR 100 * (length(regexp_replace({_SQL_EDGED}, '{_SPACE}', '', 'g')) - length(regexp_replace(
+      regexp_replace({_SQL_EDGED}, '{_PHRASES}', '\\1\\3', 'g'), '{_SPACE}', '', 'g')))
+    > {MOST_BOILERPLATE_PERCENT} * {_LINE_CHARS})"""
 
 OP9_SQL = f"""
 WITH d AS (

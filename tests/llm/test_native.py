@@ -185,3 +185,27 @@ def test_lines(spark, line, fails):
     body = "The quick brown fox went over to the very lazy dog, and slept there for some time. "
     row = quality.quality_scores(spark.createDataFrame([(1, body + "\n" + line)], "doc_id long, text string")).collect()[0]
     assert row.clean_text == (body if fails else body + "\n" + line)
+
+
+PROSE = "They opened the catalog in the hall, read it aloud, and spread more of the pages over the long table. "
+
+
+@pytest.mark.parametrize("line, fails", [
+    (PROSE * 20 + "You may log in here.", False), (PROSE + "Then click here.", False), ("Dialog in catalog in spread more.", False),
+    ("Sign up log in click here", True), ("sign up, or LOG IN", True), ("Read more about this", True),
+    ("\u4eca\u5929\u5929\u6c14\u5f88\u597d" * 12 + "\u3002", False), ("\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35" * 15, False),
+    ("\u092f\u0939 \u090f\u0915 \u0935\u093e\u0915\u094d\u092f \u0939\u0948 " * 6 + "\u0964", False), ("Home \u00b7 News and more words " * 4, True),
+])
+def test_clean_lines_stay(spark, line, fails):
+    df = spark.createDataFrame([(line,)], "line string")
+    assert df.select(quality.line_fails(df["line"])).collect()[0][0] == fails
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE t AS SELECT ? AS s", [line])
+    assert duck.execute(f"SELECT {quality._SQL_FAILS} FROM t").fetchone()[0] == fails
+
+
+def test_many_failed_lines(spark):
+    """A hundred thousand different lines fail, one stays."""
+    text = "\n".join(f"{k} | a | b | c" for k in range(100_000)) + "\nA sentence."
+    row = quality.quality_scores(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert row.clean_text == "A sentence." and not row.kept
