@@ -23,6 +23,13 @@ from almanac.session import ship_package
 # Vectors compared with each other in one step of a task.
 BLOCK_ROWS = 4096
 
+# Blocks of rows that one task holds on each side of the second pass, and rows compared with them in one step.
+PART_BLOCKS = 8
+QUERY_ROWS = 256
+
+# Rows whose visits are worked out at once.
+VISIT_ROWS = 2048
+
 # Reference points, and so the rows of every table about them that the driver holds.
 MOST_PIVOTS = 1024
 
@@ -95,7 +102,7 @@ def _nearest_vectors(vectors: DataFrame, k: int, block_rows: int) -> DataFrame:
         ).collect()
     }
     blocks = {cell: max(1, -(-r.n // block_rows)) for cell, r in groups.items()}
-    placed = placed.join(_per_group(vectors, "blocks", blocks), "cell").withColumn(
+    placed = placed.join(_numbers(vectors, ["cell int", "blocks long"], blocks.items()), "cell").withColumn(
         "block", F.pmod(F.xxhash64("vector"), "blocks")
     )
 
@@ -108,45 +115,58 @@ def _nearest_vectors(vectors: DataFrame, k: int, block_rows: int) -> DataFrame:
     first = settle(first)
     # A row whose own block holds fewer than k other ids has no bound yet and visits every group.
     bound = F.when(F.size("d") >= k, F.element_at("d", k)).otherwise(F.lit(math.inf))
+    # Blocks are searched together in parts of about ``PART_BLOCKS`` blocks of rows, and a row goes once to each part it
+    # visits: what is sent grows with rows x parts, not with rows x groups.
+    places, parts = _parts_of_blocks(groups, blocks, PART_BLOCKS * block_rows)
     visits = settle(
         first.select("vector", "v", "cell", "block", bound.alias("bound"))
         .mapInPandas(
-            _groups_to_visit(pivots, groups),
-            f"vector {id_type}, v array<double>, bound double, own int, own_block long, cell int",
+            _parts_to_visit(pivots, groups, places, parts),
+            f"vector {id_type}, v array<double>, bound double, own int, own_block long, part int",
         )
     )
-    waiting = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    shares = {cell: -(-n // block_rows) for cell, n in waiting.items()}
-
-    # The own block is done. Queries of a group split into shares, its data into blocks, and each
-    # share meets each block in a task of its own.
-    waiting = _per_group(vectors, "shares", shares)
-    queries = (
-        visits.join(waiting, "cell").join(_per_group(vectors, "blocks", blocks), "cell")
-        .withColumn("share", F.pmod(F.xxhash64("vector"), "shares"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .where((F.col("cell") != F.col("own")) | (F.col("block") != F.col("own_block")))
-        .select("cell", "block", "share", "vector", "v", "bound")
+    waiting = {r.part: r.n for r in visits.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    shares = {part: -(-n // (PART_BLOCKS * block_rows)) for part, n in waiting.items()}
+
+    # The own block is done. Queries of a part split into shares, and each share meets the part in a task of its own.
+    shares = _numbers(vectors, ["part int", "shares long"], shares.items())
+    queries = visits.join(shares, "part").withColumn("share", F.pmod(F.xxhash64("vector"), "shares")).drop("shares")
+    of_block = _numbers(
+        vectors, ["cell int", "block long", "part int"], [(*place, part) for place, part in zip(places, parts)]
     )
     data = (
-        placed.join(waiting, "cell")
+        placed.join(of_block, ["cell", "block"]).join(shares, "part")
         .withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-        .select("cell", "block", "share", "vector", "v", "ids")
+        .select("part", "share", "cell", "block", "vector", "v", "ids")
     )
     second = (
-        queries.groupBy("cell", "block", "share")
-        .cogroup(data.groupBy("cell", "block", "share"))
-        .applyInPandas(_search_block(k), f"vector {id_type}, d double, id {id_type}")
+        queries.groupBy("part", "share")
+        .cogroup(data.groupBy("part", "share"))
+        .applyInPandas(_search_part(k, pivots, groups), f"vector {id_type}, d double, id {id_type}")
     )
     near = first.select("vector", F.inline(F.arrays_zip("d", F.col("near").alias("id"))))
     merged = first_n(near.unionByName(second), ["vector"], [F.col("d"), F.col("id")], k)
     return merged.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("d", "id"))).alias("found"))
 
 
-def _per_group(like: DataFrame, name: str, values: dict[int, int]) -> DataFrame:
-    """A number per group as a table of at most as many rows as there are pivots."""
-    rows = [(int(cell), int(value)) for cell, value in values.items()]
-    return like.sparkSession.createDataFrame(rows, f"cell int, {name} long")
+def _numbers(like: DataFrame, columns: list[str], rows) -> DataFrame:
+    """Whole numbers as a table of at most as many rows as there are blocks."""
+    rows = [tuple(int(value) for value in row) for row in rows]
+    return like.sparkSession.createDataFrame(rows, ", ".join(columns))
+
+
+def _parts_of_blocks(groups: dict, blocks: dict[int, int], part_rows: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Every block, as its group and number, and the part it is searched in, of about ``part_rows`` rows each."""
+    places, parts, part, held = [], [], 0, 0
+    for cell in sorted(groups):
+        rows = groups[cell].n / blocks[cell]
+        for block in range(blocks[cell]):
+            if held and held + rows > part_rows:
+                part, held = part + 1, 0
+            places.append((cell, block))
+            parts.append(part)
+            held += rows
+    return places, parts
 
 
 def _around_pivots(vectors: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
@@ -172,39 +192,51 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _groups_to_visit(pivots: np.ndarray, groups: dict):
+def _within_reach(to_cells: np.ndarray, own: np.ndarray, bound: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """Which groups can hold a row within ``bound``, per row, from the distances to their pivots and to the own one."""
+    # A group is out of reach if all its rows are too near or too far from its pivot, or if
+    # the row is so much nearer to its own pivot that the border lies beyond the bound.
+    slack = 1e-9 * (1 + to_cells)
+    bound, own = bound[:, None], own[:, None]
+    return (
+        (to_cells - bound <= outer + slack) & (to_cells + bound >= inner - slack)
+        & ((to_cells - own) / 2 <= bound + slack)
+    )
+
+
+def _parts_to_visit(pivots: np.ndarray, groups: dict, places: list[tuple[int, int]], parts: list[int]):
     cells = np.array(sorted(groups))
     inner = np.array([groups[c].inner for c in cells])
     outer = np.array([groups[c].outer for c in cells])
+    place_cell, place_block = np.array(places).T
+    starts = np.flatnonzero(np.r_[True, np.diff(parts) != 0])  # parts are numbered in the order of the blocks
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            to_all = _distances(np.stack(pdf["v"].to_numpy()), pivots)
-            bound = pdf["bound"].to_numpy()[:, None]
-            # A group is out of reach if all its rows are too near or too far from its pivot, or if
-            # the row is so much nearer to its own pivot that the border lies beyond the bound.
-            own = to_all[np.arange(len(pdf)), pdf["cell"].to_numpy()][:, None]
-            d = to_all[:, cells]
-            slack = 1e-9 * (1 + d)
-            near = (d - bound <= outer + slack) & (d + bound >= inner - slack) & ((d - own) / 2 <= bound + slack)
-            row, group = np.nonzero(near)
-            yield pd.DataFrame(
-                {
-                    "vector": pdf["vector"].to_numpy()[row], "v": pdf["v"].to_numpy()[row],
-                    "bound": bound[row, 0], "own": pdf["cell"].to_numpy()[row], "own_block": pdf["block"].to_numpy()[row], "cell": cells[group],
-                }
-            )
+            for start in range(0, len(pdf), VISIT_ROWS):
+                some = pdf.iloc[start : start + VISIT_ROWS]
+                cell, block, bound = (some[c].to_numpy() for c in ("cell", "block", "bound"))
+                to_all = _distances(np.stack(some["v"].to_numpy()), pivots)
+                near = _within_reach(to_all[:, cells], to_all[np.arange(len(some)), cell], bound, inner, outer)
+                near = near[:, np.searchsorted(cells, place_cell)]
+                near &= (place_cell != cell[:, None]) | (place_block != block[:, None])
+                # One part at a time, so that no more rows are held than came in.
+                for part, visited in enumerate(np.logical_or.reduceat(near, starts, axis=1).T):
+                    row = np.flatnonzero(visited)
+                    if len(row):
+                        yield pd.DataFrame({
+                            "vector": some["vector"].to_numpy()[row], "v": some["v"].to_numpy()[row], "bound": bound[row],
+                            "own": cell[row], "own_block": block[row], "part": part,
+                        })
 
     return visit
 
 
-def _closest(query: np.ndarray, data: np.ndarray, ids: list, skip: np.ndarray, k: int):
+def _closest(query: np.ndarray, data: np.ndarray, ids: list, skip: np.ndarray, k: int, bound: np.ndarray | None = None):
     """Per query row its ``k`` nearest ids among the data rows, nearest first, ties by id.
 
-    ``ids`` holds the ids of each data row, ``skip`` the data row each query leaves out, or -1.
-    Returns flat arrays: the query row, the distance and the id.
+    ``ids`` holds the ids of each data row, ``skip`` the data row each query leaves out, or -1. Data rows beyond
+    the ``bound`` of a query may be missing. Returns flat arrays: the query row, the distance and the id.
     """
     copies = np.array([min(len(i), k) for i in ids])
     flat = np.array([one for i in ids for one in i[:k]])
@@ -218,6 +250,8 @@ def _closest(query: np.ndarray, data: np.ndarray, ids: list, skip: np.ndarray, k
         sizes = (part**2).sum(axis=1)
         rough = norms[None, :] + sizes[:, None] - 2 * part @ data.T
         cut = np.partition(rough, kth, axis=1)[:, kth]
+        if bound is not None:
+            cut = np.minimum(cut, bound[i : i + step] ** 2)
         # The fast form rounds; keep all that rounding could hide and measure those again.
         cut = cut + 1e-12 * (1 + data.shape[1]) * (sizes + norms.max())
         row, at = np.nonzero(rough <= cut[:, None])
@@ -249,19 +283,43 @@ def _search_own_block(k: int):
     return search
 
 
-def _search_block(k: int):
-    def search(query: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(query) or not len(block):
-            return pd.DataFrame({"vector": [], "d": [], "id": []}, dtype=object)
-        place = pd.Series(np.arange(len(block)), index=block["vector"])
-        skip = place.reindex(query["vector"]).fillna(-1).to_numpy(dtype=np.int64)
-        row, d, near = _closest(
-            np.stack(query["v"].to_numpy()), np.stack(block["v"].to_numpy()), block["ids"].tolist(), skip, k
-        )
-        useful = d <= query["bound"].to_numpy()[row]
-        return pd.DataFrame(
-            {"vector": query["vector"].to_numpy()[row][useful], "d": d[useful], "id": near[useful]}
-        )
+def _search_part(k: int, pivots: np.ndarray, groups: dict):
+    def search(query: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"vector": [], "d": [], "id": []}, dtype=object)
+        if not len(query) or not len(part):
+            return nothing
+        part = part.sort_values(["cell", "block"], kind="stable")
+        data, ids = np.stack(part["v"].to_numpy()), part["ids"].tolist()
+        cell, block = part["cell"].to_numpy(), part["block"].to_numpy()
+        first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1])])
+        sizes = np.diff(np.r_[first, len(part)])
+        cell, block = cell[first], block[first]
+        inner = np.array([groups[c].inner for c in cell.tolist()])
+        outer = np.array([groups[c].outer for c in cell.tolist()])
+
+        # Rows of one block ask for the same blocks, more or less: they are searched together.
+        query = query.sort_values(["own", "own_block"], kind="stable")
+        vector, v, bound = query["vector"].to_numpy(), np.stack(query["v"].to_numpy()), query["bound"].to_numpy()
+        own, own_block = query["own"].to_numpy(), query["own_block"].to_numpy()
+        changes = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (own_block[1:] != own_block[:-1])])
+        found = []
+        for start, stop in zip(changes, np.r_[changes[1:], len(query)]):
+            for a in range(start, stop, QUERY_ROWS):
+                b = min(a + QUERY_ROWS, stop)
+                to_cells, to_own = _distances(v[a:b], pivots[cell]), _distances(v[a:b], pivots[own[a : a + 1]])[:, 0]
+                asked = _within_reach(to_cells, to_own, bound[a:b], inner, outer).any(axis=0)
+                asked &= (cell != own[a]) | (block != own_block[a])
+                at = np.flatnonzero(np.repeat(asked, sizes))
+                if not len(at):
+                    continue
+                row, d, near = _closest(
+                    v[a:b], data[at], [ids[i] for i in at.tolist()], np.full(b - a, -1), k, bound[a:b]
+                )
+                useful = d <= bound[a:b][row]
+                found.append((vector[a:b][row][useful], d[useful], near[useful]))
+        if not found:
+            return nothing
+        return pd.DataFrame(dict(zip(("vector", "d", "id"), (np.concatenate(x) for x in zip(*found)))))
 
     return search
 

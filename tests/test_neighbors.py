@@ -117,3 +117,25 @@ def test_recall_on_the_embeddings(spark):
 
     points = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist())
     assert recall(spark, points, 10, cell_rows=1024, probes=12, fan=20) >= 0.9
+
+
+def test_second_pass_sends_a_row_once_to_each_part():
+    """Where bounds rule nothing out, a row goes to every part but not to every group, in frames no longer than those that came."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from almanac.operators import neighbors
+
+    r = np.random.default_rng(5)
+    pivots = r.normal(size=(60, 8))
+    groups = {c: SimpleNamespace(n=10, inner=0.0, outer=100.0) for c in range(60)}
+    places, parts = neighbors._parts_of_blocks(groups, dict.fromkeys(groups, 1), 200)
+    assert len(places) == 60 and max(parts) + 1 == 3
+    rows = pd.DataFrame({
+        "vector": range(3000), "v": list(r.normal(size=(3000, 8))), "cell": np.arange(3000) % 60, "block": 0, "bound": math.inf,
+    })
+    out = list(neighbors._parts_to_visit(pivots, groups, places, parts)(iter([rows])))
+    assert max(map(len, out)) <= neighbors.VISIT_ROWS
+    sent = pd.concat(out)
+    assert len(sent) == 3 * 3000 and not sent.duplicated(["vector", "part"]).any()
