@@ -164,7 +164,7 @@ def backfilled_entities(t):
     facts = settle(counts(pages.join(master.where("n % 2 = 0").select("site"), "site", "left_semi")))
 
     def fetch(missing):
-        work = page_frontier(missing, "site", "first", "last", 0, "%s/%d").select("url")
+        work = page_frontier(missing, "site", "first", "last", 0, "%s/%d", pages).select("url")
         return counts(fetch_stored(work, pages))
 
     return backfill(master.select("site", "first", "last"), facts, "site", fetch)

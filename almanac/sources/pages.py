@@ -239,14 +239,22 @@ def numeric_cells(wide: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def page_frontier(
-    entities: DataFrame, entity: str, first: str, last: str, floor: int, template: str
+    entities: DataFrame, entity: str, first: str, last: str, floor: int, template: str, stored: DataFrame | None = None
 ) -> DataFrame:
     """Work list of pages: every period of every entity, none before ``floor``, with its address.
 
-    ``template`` is a format text for the entity and the period, such as ``/teams/%s/%d.html``.
+    ``template`` is a format text for the entity and the period, such as ``/teams/%s/%d.html``. With ``stored``, a
+    table with a ``url``, the list holds only addresses that stand in it: they are taken apart and meet the spans of
+    their entities, so that the work grows with the stored pages and not with the length of the spans.
     """
     start = F.greatest(F.col(first).cast("int"), F.lit(floor))
     end = F.col(last).cast("int")
+    if stored is not None:
+        spans = entities.where(start <= end).select(
+            entity, start.alias("_start"), end.alias("_end"), F.format_string("%s", F.col(entity).cast("string")).alias("_name")
+        )
+        found = spans.join(_addresses(stored, template, floor), "_name").where(F.col("period").between(F.col("_start"), F.col("_end")))
+        return found.select(entity, F.col("period").cast("int").alias("period"), "url")
     periods = F.explode(F.sequence(start, end))
     return (
         entities.where(start <= end)
@@ -255,6 +263,18 @@ def page_frontier(
     )
 
 
+def _addresses(stored: DataFrame, template: str, floor: int) -> DataFrame:
+    """The distinct addresses that ``template`` gives for a name and a period not below 0: ``_name``, ``period``, ``url``."""
+    parts = re.fullmatch(r"(?s)([^%]*)%s([^%]*[^%0-9][^%]*)%d([^%]*)", template)
+    if not parts or floor < 0:
+        raise ValueError("only a name, a text that is not all digits and a period from 0 on can be told apart again")
+    before, between, after = (re.escape(part) for part in parts.groups())
+    pattern = rf"(?s)\A{before}(.*){between}(0|[1-9][0-9]{{0,9}}){after}\z"
+    return stored.where(F.col("url").rlike(pattern)).select("url").distinct().select(
+        F.regexp_extract("url", pattern, 1).alias("_name"), F.regexp_extract("url", pattern, 2).cast("long").alias("period"), "url"
+    )
+
+
 def fetch_stored(frontier: DataFrame, pages: DataFrame, counted: Observation | None = None) -> DataFrame:
     """The stored pages of a work list; addresses with no stored page are skipped.
 

@@ -3,6 +3,7 @@
 import pytest
 
 from almanac.plans import draft, stored_pages as sp
+from almanac.sources.pages import page_frontier
 
 
 def table(name, *rows, over=True):
@@ -78,3 +79,26 @@ def test_pages_without_the_tables(spark, pages):
     nothing = pages.where("url = 'https://a/empty'")
     for read in (sp.draft_lists, sp.standings, sp.passing_tables, sp.rushing_tables, sp.first_season_values, sp.passer_values):
         assert read(nothing).count() == 0
+
+
+def test_frontier_of_stored_addresses(spark):
+    """The addresses that the whole work list shares with the stored pages, once for each entity, however long its span."""
+    teams = spark.createDataFrame(
+        [("a", 3, 5), ("a/b", 0, 12), ("a", 4, 4), ("x.y", None, 2), (None, 1, 3), ("e", 9, 1), ("", 0, 2)],
+        "team string, first int, last int",
+    )
+    names = ["a", "a/b", "x.y", "xzy", "null", "e", "", "a\n"]
+    urls = [f"/t/{n}/{p}{end}" for n in names for p in ("0", "1", "2", "4", "05", "12", "-1", "99999999999") for end in (".htm", ".htm\n", "xhtm")]
+    stored = spark.createDataFrame([(u,) for u in [*urls, *urls[:40]]] + [(None,)], "url string")
+    whole = page_frontier(teams, "team", "first", "last", 1, "/t/%s/%d.htm")
+    want = sorted(map(str, whole.join(stored.distinct(), "url").select("team", "period", "url").collect()))
+    got = page_frontier(teams, "team", "first", "last", 1, "/t/%s/%d.htm", stored)
+    assert got.dtypes == whole.dtypes
+    assert len(want) > 8 and sorted(map(str, got.collect())) == want
+    # A span of a thousand million periods is no work list in memory.
+    teams = spark.createDataFrame([("a", 0, 999_999_999)], "team string, first int, last int")
+    found = page_frontier(teams, "team", "first", "last", 0, "/t/%s/%d.htm", stored)
+    assert sorted(r.period for r in found.collect()) == [0, 1, 2, 4, 12]
+    for template, floor in (("%s%d", 0), ("%s1%d", 0), ("%s-%d", -1)):
+        with pytest.raises(ValueError):
+            page_frontier(teams, "team", "first", "last", floor, template, stored)
