@@ -172,7 +172,8 @@ def _text_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of each text, with the digest of their bytes and of those behind them that their strings reach.
 
     Cuts are where the bytes behind them say so, so copies are cut alike. Within a slice the smallest
-    document stands for all; the others are ``copied``.
+    document stands for all; the others are ``copied``, as one span wherever their pieces touch, so that a text with
+    very many copies is one row for most of them.
     """
     for part, texts in text_slices(batches, size=SLICE):
         raw, bounds = _joined(texts)
@@ -197,6 +198,12 @@ def _text_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
         copied = np.zeros(len(order), dtype=bool)
         copied[order] = doc[order] > least
+        # Pieces of a text overlap by what their strings reach; its first copied one after others stands for the run.
+        joined = np.zeros(len(begin), dtype=bool)
+        joined[1:] = copied[1:] & copied[:-1] & (text[1:] == text[:-1]) & (begin[1:] + WIDTH - 1 <= end[:-1])
+        head = np.flatnonzero(~joined)
+        end = end[np.append(head[1:], len(begin))[:len(head)] - 1]
+        one, two, copied, doc, tag, begin, text = (x[head] for x in (one, two, copied, doc, tag, begin, text))
         # Copies need no other row: they are dealt out by their place.
         one = np.where(copied, _mixed(begin.astype(np.uint64) + doc.astype(np.uint64)).view(np.int64), one)
         yield pa.RecordBatch.from_arrays([

@@ -153,3 +153,24 @@ def test_text_of_many_spans(spark):
     rows = [(1, "\n".join(lines)), (2, "\n".join(f"{s}x{k:05x}" for k, s in enumerate(lines)))]
     got = {x.doc_id: x for x in repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got[1].spans) == 0 and len(got[2].spans) == 20_000
+
+
+def test_copied_text_is_one_row_of_pieces():
+    """Whole copies within a slice come out as one span each, and their spans hold the same strings as their pieces."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh ") for _ in range(20_000))
+    other = "".join(r.choice("abcdefgh ") for _ in range(3_000))
+    texts = [text] * 30 + [other + text[5_000:9_000] + other[::-1]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "tag", "text"]
+    )
+    rows = [row for out in repeats._text_pieces(iter([batch])) for row in out.to_pylist()]
+    copied = [row for row in rows if row["copied"]]
+    whole = [row for row in copied if row["doc_id"] < 30]
+    assert sorted(row["doc_id"] for row in whole) == list(range(1, 30))
+    assert {(row["first"], row["end"]) for row in whole} == {(0, 20_000)}
+    part, = [row for row in copied if row["doc_id"] == 30]
+    assert 3_000 <= part["first"] < part["end"] <= 7_000 and part["end"] - part["first"] > 1_000
+    assert sum(not row["copied"] for row in rows) > 20
