@@ -116,3 +116,15 @@ def test_extremes_and_missing(spark):
     assert kendall_tau(df, "x", "x").first().tau == pytest.approx(1)
     row = kendall_tau(df, "x", "y").first()
     assert (row.n, row.tau) == (100, pytest.approx(-1))
+
+
+def test_strips_of_a_large_group_stay_well_below_what_is_counted_whole(spark):
+    from almanac.operators.kendall import STRIPS, _place_in_strips
+
+    cells = spark.range(6000).select(
+        F.lit("g").alias("g"), F.col("id").alias("x"), (F.col("id") * 7919 % 6007).alias("y"), F.lit(1).cast("long").alias("w")
+    )
+    large = cells.groupBy("g").agg(F.count("*").alias("n"))
+    placed = _place_in_strips(cells, large, ["g"], 4800)
+    for axis in "xy":
+        assert max(r["count"] for r in placed.groupBy(f"_{axis}_strip").count().collect()) <= 2 * 4800 // STRIPS
