@@ -31,34 +31,37 @@ def encode(values: np.ndarray) -> bytes:
     total = len(values)
     blocks = -(-total // BLOCK)
     selector = _selectors(values)
-    # Every block walks from word to word at the same time as all others.
+    # Every block walks from word to word at the same time as all others; a row holds one step of all of them.
     at = np.arange(blocks, dtype=np.int64) * BLOCK
     ends = np.minimum(at + BLOCK, total)
-    starts, owners, live = [], [], np.arange(blocks)
+    steps, live = [], np.arange(blocks)
     while len(live):
-        starts.append(at[live])
-        owners.append(live)
+        step = np.full(blocks, -1, dtype=np.int64)
+        step[live] = at[live]
+        steps.append(step)
         at[live] += _COUNTS[selector[at[live]]]
         live = live[at[live] < ends[live]]
-    start = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
-    order = np.argsort(start, kind="stable")
-    start, owner = start[order], owner[order]
+    start = np.stack(steps, axis=1).reshape(-1) if steps else np.zeros(0, dtype=np.int64)
+    start = start[start >= 0]
     chosen = selector[start]
     width = np.where(chosen == ESCAPE, 2, 1)
     place = np.concatenate(([0], np.cumsum(width)))
     words = np.zeros(int(place[-1]), dtype=np.uint64)
-    stop = ends[owner]
+    stop = ends[start // BLOCK]
+    padded = np.concatenate((values, np.zeros(int(_COUNTS.max()), dtype=np.uint64)))
     for s, (bits, count) in enumerate(CUTS):
         mine = np.flatnonzero(chosen == s)
         if not len(mine):
             continue
-        word = np.full(len(mine), s, dtype=np.uint64) << _SHIFT
-        for k in range(count):
-            index = start[mine] + k
-            inside = index < stop[mine]  # the last word of a block may have room left
-            word |= np.where(inside, values[np.minimum(index, total - 1)], 0).astype(np.uint64) << np.uint64(bits * k)
-        words[place[:-1][mine]] = word
+        first = start[mine]
+        word = padded[first]
+        for k in range(1, count):
+            word |= padded[first + k] << np.uint64(bits * k)
+        # The last word of a block may have room left: what follows is not its own.
+        room = stop[mine] - first
+        last = np.flatnonzero(room < count)
+        word[last] &= (np.uint64(1) << (bits * room[last]).astype(np.uint64)) - np.uint64(1)
+        words[place[:-1][mine]] = word | np.uint64(s) << _SHIFT
     mine = np.flatnonzero(chosen == ESCAPE)
     words[place[:-1][mine]] = np.uint64(ESCAPE) << _SHIFT
     words[place[:-1][mine] + 1] = values[start[mine]]
@@ -67,18 +70,37 @@ def encode(values: np.ndarray) -> bytes:
     return MAGIC + head + firsts.astype("<u4").tobytes() + words.astype("<u8").tobytes()
 
 
+def _widths(values: np.ndarray) -> np.ndarray:
+    """The bits of each number, as bytes."""
+    high = values >> np.uint64(32)
+    out = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.uint8)
+    if high.any():
+        above = np.flatnonzero(high)
+        out[above] = np.frexp(high[above].astype(np.float64))[1] + 32
+    return out
+
+
 def _selectors(values: np.ndarray) -> np.ndarray:
     """For a word that begins at each number, the selector that takes most numbers of its block."""
-    total = len(values)
-    place = np.arange(total)
-    block_end = np.minimum((place // BLOCK + 1) * BLOCK, total)
-    out = np.full(total, ESCAPE, dtype=np.int64)
+    total, most = len(values), int(_COUNTS.max())
+    if not total:
+        return np.zeros(0, dtype=np.int64)
+    blocks = -(-total // BLOCK)
+    # Behind each block stand numbers without bits, so that they never keep a word from taking the rest of it.
+    widths = np.zeros(blocks * BLOCK, dtype=np.uint8)
+    widths[:total] = _widths(values)
+    rows = np.zeros((blocks, BLOCK + most), dtype=np.uint8)
+    rows[:, :BLOCK] = widths.reshape(blocks, BLOCK)
+    out = np.full(rows.size, ESCAPE, dtype=np.uint8)
+    widest, n = rows.reshape(-1), 1  # the most bits of the n numbers from each place on
     for s in range(len(CUTS) - 1, -1, -1):
         bits, count = CUTS[s]
-        too_wide = np.where(values >> np.uint64(bits) != 0, place, total)
-        next_wide = np.minimum.accumulate(too_wide[::-1])[::-1]
-        out[np.minimum(next_wide, block_end) - place >= np.minimum(count, block_end - place)] = s
-    return out
+        while n < count:
+            step = min(n, count - n)
+            widest = np.maximum(widest, np.concatenate((widest[step:], np.zeros(step, dtype=np.uint8))))
+            n += step
+        np.copyto(out, np.uint8(s), where=widest <= bits)
+    return out.reshape(blocks, BLOCK + most)[:, :BLOCK].reshape(-1)[:total].astype(np.int64)
 
 
 def decode(record: bytes) -> np.ndarray:

@@ -120,3 +120,19 @@ def test_queries(spark, encoder):
     for r in pieces:
         ids = np.array(plain(encoder, texts[r.doc_id]) + [1], dtype="<u4")[r.start:r.start + r.length]
         assert (r.length, r.ids_crc32) == (len(ids), crc32(ids.tobytes()))
+
+
+def test_simple8b_widths_and_ends_of_blocks():
+    import numpy as np
+
+    from almanac.llm import simple8b
+
+    edges = [0, 1, *[v for b in range(1, 64) for v in (2**b - 1, 2**b, 2**b + 1)], 2**64 - 1]
+    assert simple8b._widths(np.array(edges, dtype=np.uint64)).tolist() == [v.bit_length() for v in edges]
+    r = np.random.default_rng(4)
+    for n in (0, 1, 511, 512, 513, 1025, 3000):
+        for bits in (1, 13, 16, 60, 64):
+            values = r.integers(0, 2**63, n, dtype=np.uint64) >> np.uint64(64 - bits) if bits < 64 else r.integers(0, 2**64 - 1, n, dtype=np.uint64)
+            record = simple8b.encode(values)
+            assert np.array_equal(simple8b.decode(record), values)
+            assert int(np.frombuffer(record, dtype="<u4", count=1, offset=4)[0]) == n
