@@ -12,10 +12,10 @@ import pyarrow.compute as pc
 TEXT_BYTES = 4_000_000
 
 
-def text_slices(
+def column_slices(
     batches: Iterator[pa.RecordBatch], text: str = "text", size: int = TEXT_BYTES
-) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Consecutive rows of the batches with their texts, about ``size`` bytes of text at a time."""
+) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Consecutive rows of the batches with their column of texts, about ``size`` bytes of text at a time."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -24,5 +24,13 @@ def text_slices(
         while start < batch.num_rows:
             end = max(start + 1, int(np.searchsorted(before, before[start] + size, side="right")) - 1)
             part = batch.slice(start, end - start)
-            yield part, column.slice(start, end - start).to_pylist()
+            yield part, column.slice(start, end - start)
             start = end
+
+
+def text_slices(
+    batches: Iterator[pa.RecordBatch], text: str = "text", size: int = TEXT_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """As ``column_slices``, with the texts as a list."""
+    for part, column in column_slices(batches, text, size):
+        yield part, column.to_pylist()

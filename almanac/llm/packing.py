@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from almanac.llm.batches import text_slices
+from almanac.llm.batches import column_slices
 from almanac.llm.tokens import encoder_of
 from almanac.session import ship_package
 
@@ -102,7 +102,7 @@ def pack_documents(
         encoder = encoder_of(shared.value)
         bins = _Bins(capacity, TaskContext.get().partitionId() * _BINS_PER_PARTITION)
         fields = None
-        for part, texts in text_slices(batches):
+        for part, texts in column_slices(batches):
             fields = fields or _fields(part.schema.field(0).type)
             rows = []
             for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):

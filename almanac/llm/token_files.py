@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from almanac.llm import simple8b
-from almanac.llm.batches import text_slices
+from almanac.llm.batches import column_slices
 from almanac.llm.packing import tokenizer_file
 from almanac.llm.tokens import encoder_of
 from almanac.operators.settle import scratch_path
@@ -42,7 +42,7 @@ def write_token_files(
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value)
         part, before = TaskContext.get().partitionId(), 0
-        for number, (rows, texts) in enumerate(text_slices(batches)):
+        for number, (rows, texts) in enumerate(column_slices(batches)):
             ids = [found + end for found in encoder.encode(texts)]
             values = np.frombuffer(b"".join(ids), dtype="<u4")
             yield pa.RecordBatch.from_arrays([

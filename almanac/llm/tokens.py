@@ -2,25 +2,27 @@
 
 The ids are those of the ``tokenizers`` library. A byte-level vocabulary cuts a text before every single space between
 two words, and between letters, digits and signs, and never joins across such a cut; the pieces repeat, so each distinct one is
-encoded once and then looked up. All cuts of a slice of texts are found at once in its bytes. Texts with other
-runs of white space are encoded whole.
+encoded once and then looked up. All cuts of a slice of texts are found at once in its bytes, and all its distinct pieces
+are looked up at once, in Arrow arrays. Texts with other runs of white space are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
+import unicodedata
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-# Distinct pieces of text remembered per worker; beyond that the older half is forgotten.
+# Distinct pieces of text remembered per worker; beyond that the half used least lately is forgotten.
 PIECES = 1_200_000
 
 # Kinds of bytes for the cuts. Between letters, digits, signs and a line end the pattern of byte-level vocabularies always
-# cuts; apostrophes, other white space and characters beyond ASCII follow rules of their own.
+# cuts; apostrophes, other white space and other characters beyond ASCII follow rules of their own.
 _SPACE, _LETTER, _DIGIT, _SIGN, _LINE_END, _OTHER = range(6)
 _KIND = np.full(256, _OTHER, dtype=np.uint8)
 _KIND[0x21:0x7F] = _SIGN
@@ -28,76 +30,109 @@ _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
 _KIND[0x30:0x3A] = _DIGIT
 _KIND[[0x20, 0x0A, 0x27]] = _SPACE, _LINE_END, _OTHER
 
-# A space that touches white space, or stands at an end of the text, does not begin a word of its own.
-_ODD_SPACE = re.compile(r"\s |^ | \s| $")
+# Characters of two bytes that are letters in the oldest and the newest Unicode known here, and so in all between.
+_LETTERS = np.array([
+    c >= 0x80 and all(u.category(chr(c))[0] == "L" for u in (unicodedata.ucd_3_2_0, unicodedata)) for c in range(0x800)
+])
 
-# Letters and marks that the pattern of byte-level vocabularies always cuts apart.
-_MARKS = '[.,!?;:()"%$#&*|<>-]+'
-_SIMPLE = re.compile(f"( ?[^\\W\\d_]+)({_MARKS})?(?:(\\n)([^\\W\\d_]+)({_MARKS})?)?")
+# White space: in ASCII, and the UTF-8 bytes of all other.
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_WIDE_BLANKS = [chr(c).encode() for c in range(0x80, 0x10000) if chr(c).isspace()]
+_BLANKS = {n: np.array([int.from_bytes(b) for b in _WIDE_BLANKS if len(b) == n]) for n in (2, 3)}
 
 
-def _parts(piece: str) -> tuple[str, ...]:
-    """What a word with letters beyond ASCII is made of that is encoded apart from each other."""
-    m = _SIMPLE.fullmatch(piece)
-    if m and m[1].lstrip(" ").isalpha() and (m[4] is None or m[4].isalpha()):
-        return tuple(g for g in m.groups() if g is not None)
-    return (piece,)
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts (none null) side by side, and where each begins (one more at the end)."""
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[bounds[0]:bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, bounds - bounds[0]
 
 
-class _Memory:
-    """What was looked up lately: at most ``most`` entries, in a newer and an older half."""
-
-    def __init__(self, most: int):
-        self._half = most // 2
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def of(self, keys: list[str]) -> list[bytes | None]:
-        new, old = self._new.get, self._old.get
-        found = [new(k) for k in keys]
-        if self._old:
-            for i, value in enumerate(found):
-                if value is None and (value := old(keys[i])) is not None:
-                    found[i] = self._new[keys[i]] = value
-        return found
-
-    def learn(self, keys: list[str], values: list[bytes]) -> None:
-        if len(self._new) + len(keys) > self._half:
-            self._old, self._new = self._new, {}
-        self._new.update(zip(keys, values))
-
-
-def _pieces(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Texts cut where a byte-level vocabulary always cuts: the place of each piece among the distinct ones, these, and
-    the first piece of each text (one more at the end).
-
-    Words of ASCII are cut before their space and where the kind of their characters changes; all others, and those with an
-    apostrophe or several line ends in a row, only before their space.
+def _odd(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which texts hold a space that touches white space or an end of the text, and so does not begin a word of its own."""
+    out = np.zeros(len(bounds) - 1, dtype=bool)
+    spaces = np.flatnonzero(raw == 0x20)
+    if not len(spaces):
+        return out
+    near = np.concatenate((np.full(3, 0x20, dtype=np.uint8), raw, np.full(3, 0x20, dtype=np.uint8)))
+    before, after = near[spaces + 2], near[spaces + 4]
+    blank = _BLANK[before] | _BLANK[after]
+    # Wider white space: its bytes as one number, big end first.
+    for side, places in ((before, (0, 1, 2)), (after, (4, 5, 6))):
+        wide = np.flatnonzero(side >= 0x80)
+        a, b, c = (near[spaces[wide] + k].astype(np.int64) for k in places)
+        two, three = (b << 8 | c if side is before else a << 8 | b), a << 16 | b << 8 | c
+        blank[wide[np.isin(two, _BLANKS[2]) | np.isin(three, _BLANKS[3])]] = True
+    filled = np.flatnonzero(np.diff(bounds))
+    first = bounds[filled]
+    out[filled] = (raw[first] == 0x20) | (raw[bounds[filled + 1] - 1] == 0x20)
+    # What stands beside a space at an end is of another text, but then the text is odd anyway.
+    out[np.searchsorted(bounds, spaces[blank], side="right") - 1] = True
+    return out
+
+
+def _pieces(raw: np.ndarray, bounds: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Texts cut where a byte-level vocabulary always cuts: the pieces of all, and the first of each text (one more at
+    the end).
+
+    Words of ASCII and of letters of two bytes are cut before their space and where the kind of their characters changes; all
+    others, and those with an apostrophe or several line ends in a row, only before their space.
     """
-    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    raw = np.frombuffer(b" ".join(encoded) + b" ", dtype=np.uint8)
-    between = np.cumsum(np.fromiter((len(e) + 1 for e in encoded), dtype=np.int64, count=len(encoded))) - 1
     kind = _KIND[raw]
-    spaces = np.flatnonzero(kind == _SPACE)  # the last byte is one
-    changes = np.concatenate(([True], (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)))
-    hard = kind == _OTHER
-    hard[1:] |= (kind[1:] == _LINE_END) & (kind[:-1] == _LINE_END)
-    whole = np.unique(np.searchsorted(spaces, np.flatnonzero(hard)))  # words that are not cut inside
-    for first, end in zip((np.concatenate(([-1], spaces))[whole] + 1).tolist(), spaces[whole].tolist()):
-        changes[first:end] = False
-    changes[spaces] = True
-    changes[0] = True
-    kept = np.ones(len(raw), dtype=bool)
-    kept[between] = False  # what stands between texts is in no piece
-    changes[between] = False
-    changes[between[:-1] + 1] = True
+    other = np.flatnonzero(kind == _OTHER)
+    lead = other[(raw[other] >= 0xC2) & (raw[other] < 0xE0)]
+    lead = lead[_LETTERS[(raw[lead] & 0x1F).astype(np.int64) << 6 | raw[lead + 1] & 0x3F]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    ends = np.flatnonzero(kind == _LINE_END)
+    hard = np.union1d(other[kind[other] == _OTHER], ends[1:][np.diff(ends) == 1])
+    changes = np.ones(len(raw), dtype=bool)
+    np.not_equal(kind[1:], kind[:-1], out=changes[1:])
+    changes[1:] &= kind[:-1] != _SPACE
+    first = bounds[:-1][np.diff(bounds) > 0]
+    changes[first] = True
     start = np.flatnonzero(changes)
-    # Places among the bytes that are kept.
-    offsets = start - np.searchsorted(between, start)
-    offsets = np.concatenate((offsets, [len(raw) - len(between)])).astype(np.int64)
-    pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(raw[kept])).dictionary_encode()
-    bounds = np.searchsorted(start, np.concatenate(([0], between + 1)))
-    return pieces.indices.to_numpy(), pieces.dictionary, bounds
+    if len(hard):
+        begins = raw[start] == 0x20  # a word
+        begins[np.searchsorted(start, first)] = True
+        word = np.cumsum(begins) - 1
+        whole = np.zeros(int(word[-1]) + 1, dtype=bool)
+        whole[word[np.searchsorted(start, hard, side="right") - 1]] = True
+        start = start[begins | ~whole[word]]
+    offsets = np.append(start, len(raw)).astype(np.int64)
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    return pieces.dictionary_encode(), np.searchsorted(start, bounds)
+
+
+class _Memory:
+    """What pieces were encoded to lately: about ``most`` of them, in the order they came."""
+
+    def __init__(self, most: int):
+        self._most, self._turn = most, 0
+        self._pieces = self._ids = pa.array([], pa.large_binary())
+        self._used = np.zeros(0, dtype=np.int64)
+
+    def ids_of(self, pieces: pa.Array, encoded: Callable[[list[str]], list[bytes]]) -> pa.Array:
+        """The ids of distinct pieces; those that are not known are ``encoded`` and learnt."""
+        place = pc.fill_null(pc.index_in(self._pieces, value_set=pieces), -1).to_numpy()
+        hit = np.flatnonzero(place >= 0)
+        number = np.full(len(pieces), -1, dtype=np.int64)
+        number[place[hit]] = hit
+        fresh = np.flatnonzero(number < 0)
+        number[fresh] = len(self._pieces) + np.arange(len(fresh))
+        new = pieces.take(pa.array(fresh))
+        found = pa.array(encoded(new.cast(pa.large_string()).to_pylist()), pa.large_binary())
+        self._pieces, self._ids = pa.concat_arrays([self._pieces, new]), pa.concat_arrays([self._ids, found])
+        self._used = np.concatenate((self._used, np.zeros(len(fresh), dtype=np.int64)))
+        self._turn += 1
+        self._used[number] = self._turn
+        ids = self._ids.take(pa.array(number))
+        if len(self._pieces) > self._most:
+            kept = pa.array(np.sort(np.argsort(-self._used, kind="stable")[:self._most // 2]))
+            self._pieces, self._ids, self._used = self._pieces.take(kept), self._ids.take(kept), self._used[kept.to_numpy()]
+        return ids
 
 
 class Encoder:
@@ -112,57 +147,31 @@ class Encoder:
         self._by_words = _cuts_before_spaces(tokenizer_json)
         self._known = _Memory(PIECES)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text has none."""
-        odd, even = [], []
-        for i, text in enumerate(texts):
-            if text:
-                (odd if not self._by_words or _ODD_SPACE.search(text) else even).append(i)
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd = _odd(*_bytes_of(texts)) if self._by_words else np.ones(len(texts), dtype=bool)
+        if not odd.any():
+            return self._by_word(texts)
         out = [b""] * len(texts)
-        for i, ids in zip(odd, self._encoded([texts[i] for i in odd])):
-            out[i] = ids
-        if even:
-            for i, ids in zip(even, self._by_word([texts[i] for i in even])):
+        for mine, found in (
+            (odd, self._encoded(texts.filter(pa.array(odd)).to_pylist())), (~odd, self._by_word(texts.filter(pa.array(~odd)))),
+        ):
+            for i, ids in zip(np.flatnonzero(mine).tolist(), found):
                 out[i] = ids
         return out
 
-    def _by_word(self, texts: list[str]) -> list[bytes]:
+    def _by_word(self, texts: pa.Array) -> list[bytes]:
         """Texts with single spaces between words: every distinct piece is looked up once, its ids are copied by place."""
-        at, pieces, bounds = _pieces(texts)
-        ids = self._ids_of(pieces.to_pylist())
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        begin = np.cumsum(sizes) - sizes
-        each = sizes[at]
-        ends = np.cumsum(each)
-        found = flat[np.repeat(begin[at] - (ends - each), each) + np.arange(int(ends[-1]))].tobytes()
-        cut = (4 * np.concatenate(([0], ends))[bounds]).tolist()
+        raw, bounds = _bytes_of(texts)
+        if not len(raw):
+            return [b""] * len(texts)
+        pieces, first = _pieces(raw, bounds)
+        ids = self._known.ids_of(pieces.dictionary, self._encoded).take(pieces.indices)
+        found, cut = _bytes_of(ids)
+        found, cut = found.tobytes(), cut[first].tolist()
         return [found[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
-    def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        ids = self._known.of(pieces)
-        fresh = [i for i, found in enumerate(ids) if found is None]
-        whole = [i for i in fresh if pieces[i].isascii()]
-        names = [pieces[i] for i in whole]
-        found = self._encoded(names)
-        self._known.learn(names, found)
-        for i, value in zip(whole, found):
-            ids[i] = value
-        # Words with letters beyond ASCII may still consist of parts that are known.
-        others = [i for i in fresh if ids[i] is None]
-        parts = [_parts(pieces[i]) for i in others]
-        wanted = list(set().union(*parts))
-        known = dict(zip(wanted, self._known.of(wanted)))
-        new = [p for p, value in known.items() if value is None]
-        found = self._encoded(new)
-        self._known.learn(new, found)
-        known.update(zip(new, found))
-        for i, made_of in zip(others, parts):
-            ids[i] = b"".join([known[p] for p in made_of])
-        several = [i for i, made_of in zip(others, parts) if len(made_of) > 1]
-        self._known.learn([pieces[i] for i in several], [ids[i] for i in several])
-        return ids
-
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [array("I", f.ids).tobytes() for f in found]

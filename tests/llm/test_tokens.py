@@ -136,3 +136,40 @@ def test_simple8b_widths_and_ends_of_blocks():
             record = simple8b.encode(values)
             assert np.array_equal(simple8b.decode(record), values)
             assert int(np.frombuffer(record, dtype="<u4", count=1, offset=4)[0]) == n
+
+
+def test_columns_are_encoded_as_they_are_and_known_pieces_only_looked_up(encoder, monkeypatch):
+    import pyarrow as pa
+
+    texts = made_texts() + ["größe größe, größe.\nÜber größe", "Ελλάδα, Жизнь. 5é×ß ÷"]
+    column = pa.array(["left out", *texts, "left out"], pa.string()).slice(1, len(texts))
+    want = [np.array(plain(encoder, t), dtype="<u4").tobytes() for t in texts]
+    assert encoder.encode(column) == want
+    asked = []
+    encoded = encoder._encoded
+    monkeypatch.setattr(encoder, "_encoded", lambda pieces: asked.extend(pieces) or encoded(pieces))
+    assert encoder.encode(column) == want
+    assert all(tokens._odd(*tokens._bytes_of(pa.array([t])))[0] for t in asked)  # whole texts, no piece
+
+
+def test_letters_of_two_bytes_are_cut_from_signs():
+    import pyarrow as pa
+
+    raw, bounds = tokens._bytes_of(pa.array(["größe größe, größe.", "é's ¿qué"]))
+    pieces, first = tokens._pieces(raw, bounds)
+    assert [p.decode() for p in pieces.to_pylist()] == ["größe", " größe", ",", " größe", ".", "é's", " ¿qué"]
+    assert first.tolist() == [0, 5, 7]
+
+
+def test_memory_forgets_what_was_used_least_lately():
+    import pyarrow as pa
+
+    memory, asked = tokens._Memory(6), []
+
+    def ids(names):
+        found = memory.ids_of(pa.array(names, pa.large_binary()), lambda p: asked.extend(p) or [x.encode() * 2 for x in p])
+        assert [x.decode() for x in found.to_pylist()] == [2 * n for n in names]
+
+    for names in (["a", "b", "c"], ["d", "a"], ["e", "a", "f"], ["a", "g", "e"], ["f", "b"]):
+        ids(names)
+    assert asked == ["a", "b", "c", "d", "e", "f", "g", "f", "b"]
