@@ -39,18 +39,42 @@ LEADERS = 8
 # Bytes of text whose seeds are computed at once: about 150 bytes of memory each.
 SLICE = 1_000_000
 
+# Places handled at once where seeds are found, so that all of them stay in a processor's cache; below 2**16.
+PLACES = 1 << 15
+
 # Rows of strings handled at once behind the exchange by seed; a seed with more is taken in chunks.
 ROWS = 50_000
 
 
 def _run_hashes(raw: bytes) -> np.ndarray:
     """A hash of the ``SEED`` bytes from each place on."""
-    with np.errstate(over="ignore"):
-        b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64)
-        two = b[:-1] | (b[1:] << np.uint64(8))
-        four = two[:-2] | (two[2:] << np.uint64(16))
-        eight = four[:-4] | (four[4:] << np.uint64(32))
-        return _mixed(eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + eight[8:])
+    out = np.empty(max(len(raw) - SEED + 1, 0), dtype=np.uint64)
+    for c in range(0, len(out), PLACES):
+        with np.errstate(over="ignore"):
+            b = np.frombuffer(raw[c:c + PLACES + SEED - 1], dtype=np.uint8).astype(np.uint64)
+            two = b[:-1] | (b[1:] << np.uint64(8))
+            four = two[:-2] | (two[2:] << np.uint64(16))
+            eight = four[:-4] | (four[4:] << np.uint64(32))
+            out[c:c + PLACES] = _mixed(eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + eight[8:])
+    return out
+
+
+def _least_places(seeds: np.ndarray, span: int) -> np.ndarray:
+    """For each place, that of the least of ``span`` seeds from there on, by their upper 48 bits; of equal ones the first.
+
+    A seed and its place within a part of the seeds are one number, so that one minimum takes both along.
+    """
+    out = np.empty(len(seeds) - span + 1, dtype=np.int64)
+    for c in range(0, len(out), PLACES):
+        least = seeds[c:c + PLACES + span - 1] & ~np.uint64(0xFFFF)
+        least |= np.arange(len(least), dtype=np.uint64)
+        width = 1
+        while width < span:
+            step = min(width, span - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        out[c:c + PLACES] = (least & np.uint64(0xFFFF)).view(np.int64) + c
+    return out
 
 
 def _joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
@@ -62,41 +86,32 @@ def _joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
 class _Seeds:
     """Stretches of the texts whose strings share a seed: ``first`` to ``last`` start, ``at`` of the seed, ``hash``.
 
-    ``gone`` are spans of bytes, as first and end over all texts, whose strings take no part.
+    Strings of the pieces that are ``gone`` from the rows of ``part`` take no part.
     """
 
-    def __init__(self, texts: list[str | None], gone: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, texts: list[str | None], part: pa.RecordBatch | None = None):
         self.raw, self.bounds = _joined(texts)
-        sizes = np.diff(self.bounds)
-        n = len(self.raw)
-        span = WIDTH - SEED + 1
-        if n < WIDTH:
+        if len(self.raw) < WIDTH:
             self.first = self.last = self.at = self.text = np.zeros(0, dtype=np.int64)
             self.hash = np.zeros(0, dtype=np.uint64)
             return
         seeds = _run_hashes(self.raw)
-        best, place, width = seeds, np.arange(len(seeds)), 1
-        while width < span:
-            step = min(width, span - width)
-            later = best[step:] < best[:-step]  # of equal ones the first
-            place = np.where(later, place[step:], place[:-step])
-            best = np.where(later, best[step:], best[:-step])
-            width += step
-        text = np.repeat(np.arange(len(sizes)), sizes)[:len(best)]
-        inside = np.arange(len(best)) + WIDTH <= self.bounds[text + 1]
-        if gone is not None and len(gone[0]):
-            change = np.zeros(len(best) + 1, dtype=np.int32)
-            np.add.at(change, gone[0], 1)
-            np.add.at(change, gone[1] - WIDTH + 1, -1)
-            inside &= np.cumsum(change[:-1]) == 0
-        new = np.ones(len(best), dtype=bool)
-        new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])
-        start = np.flatnonzero(new & inside)
+        place = _least_places(seeds, WIDTH - SEED + 1)
+        # No string begins in the last bytes of a text, so those of two texts never stand side by side.
+        inside = np.ones(len(place), dtype=bool)
+        closed = (self.bounds[1:, None] - np.arange(1, WIDTH)).reshape(-1)
+        inside[closed[(closed >= 0) & (closed < len(place))]] = False
+        for a, b in _gone(part, self.bounds) if part is not None else ():
+            inside[a:b - WIDTH + 1] = False
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = (place[1:] != place[:-1]) | (inside[1:] != inside[:-1])
+        edges = np.flatnonzero(new)
+        mine = np.flatnonzero(inside[edges])
         # Strings of one seed stand side by side and all begin in one text; the last inside ends the stretch.
-        stop = np.append(np.flatnonzero(new), len(best))
-        stop = stop[np.searchsorted(stop, start, side="right")] - 1
-        self.first, self.text, self.at, self.hash = start, text[start], place[start], best[start]
-        self.last = np.minimum(stop, self.bounds[self.text + 1] - WIDTH)
+        self.first, self.last = edges[mine], np.append(edges, len(place))[mine + 1] - 1
+        self.text = np.searchsorted(self.bounds, self.first, side="right") - 1
+        self.at = place[self.first]
+        self.hash = seeds[self.at]
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -233,21 +248,20 @@ def _copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["doc_id", "tag", "first", "end"]).filter(pa.array(goes))
 
 
-def _gone(part: pa.RecordBatch, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gone(part: pa.RecordBatch, bounds: np.ndarray) -> list[tuple[int, int]]:
     """The spans of a slice's copied pieces over all its texts; of rows with one id, each has its own ``tag``."""
-    spans = [
+    return [
         (at + p["first"], at + p["end"])
         for at, tag, pieces in zip(bounds.tolist(), part.column("tag").to_pylist(), part.column("gone").to_pylist())
         for p in pieces or () if p["tag"] == tag
     ]
-    return tuple(np.array(spans, dtype=np.int64).reshape(-1, 2).T)
 
 
 def _shared_seeds(named: DataFrame) -> DataFrame:
     """Seeds that two documents or more have, with each of those documents."""
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, size=SLICE):
-            s = _Seeds(texts, _gone(part, _joined(texts)[1]))
+            s = _Seeds(texts, part)
             order = np.lexsort((s.hash, s.text))
             text, value = s.text[order], s.hash[order]
             once = np.ones(len(text), dtype=bool)
@@ -290,9 +304,8 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one row per slice behind the exchange.
     """
     for part, texts in text_slices(batches, size=SLICE):
-        s = _Seeds(texts, _gone(part, _joined(texts)[1]))
-        wanted = np.unique(part.column("seeds").values.to_numpy().view(np.uint64)) if part.num_rows else np.zeros(0, np.uint64)
-        # ListArray.values ignores the slice's offset: more seeds than needed do no harm.
+        s = _Seeds(texts, part)
+        wanted = part.column("seeds").flatten().to_numpy().view(np.uint64)  # of this slice's rows only
         mine = np.flatnonzero(np.isin(s.hash, wanted))
         ids, tags = (part.column(k).to_numpy() for k in range(2))
         doc, tag = ids[s.text[mine]], tags[s.text[mine]]
@@ -371,12 +384,13 @@ def _final(table: pa.Table) -> pa.Table:
 
 _LEFT = WIDTH - SEED  # most bytes before a seed in its strings
 _COLUMNS = _LEFT + WIDTH
+_NOTHING = 0xFF  # no byte of UTF-8
 
 
 def _grid(runs: list[bytes], back: np.ndarray) -> np.ndarray:
-    """All stretches with their seed in the same column; -1 where there is nothing."""
+    """All stretches with their seed in the same column; ``_NOTHING`` elsewhere."""
     sizes = np.array([len(r) for r in runs], dtype=np.int64)
-    grid = np.full((len(runs), _COLUMNS), -1, dtype=np.int16)
+    grid = np.full((len(runs), _COLUMNS), _NOTHING, dtype=np.uint8)
     row = np.repeat(np.arange(len(runs)), sizes)
     column = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(_LEFT - back, sizes)
     grid[row, column] = np.frombuffer(b"".join(runs), dtype=np.uint8)
@@ -385,12 +399,12 @@ def _grid(runs: list[bytes], back: np.ndarray) -> np.ndarray:
 
 def _hashes(grid: np.ndarray, row: np.ndarray, column: np.ndarray, which: int) -> np.ndarray:
     """64-bit hashes of the strings that begin at the cells ``row``, ``column``."""
-    letters = random_words(257, which)
+    letters = random_words(256, which)
     base = int(random_words(1, which + 1)[0]) | 1
     with np.errstate(over="ignore"):
         sums = np.zeros((len(grid), _COLUMNS + 1), dtype=np.uint64)
         for k in range(_COLUMNS):
-            sums[:, k + 1] = sums[:, k] * np.uint64(base) + letters[grid[:, k] + 1]
+            sums[:, k + 1] = sums[:, k] * np.uint64(base) + letters[grid[:, k]]
         return _mixed(sums[row, column + WIDTH] - sums[row, column] * np.uint64(pow(base, WIDTH, 1 << 64)))
 
 
@@ -398,7 +412,7 @@ def _of_chunk(table: pa.Table) -> pa.RecordBatch:
     """Of rows of one seed, strings that a smaller document of the rows has, as spans, and the others with their hash."""
     back, doc, tag, start = (table.column(k).to_numpy() for k in ("back", "doc_id", "tag", "first"))
     grid = _grid(table.column("run").to_pylist(), back)
-    row, column = np.nonzero(_full(grid >= 0))
+    row, column = np.nonzero(_full(grid != _NOTHING))
     one, two = _hashes(grid, row, column, 7), _hashes(grid, row, column, 11)
     order = np.lexsort((doc[row], two, one))
     new = np.ones(len(order), dtype=bool)
@@ -421,7 +435,7 @@ def _removed(table: pa.Table) -> pa.RecordBatch:
     grid = _grid(runs, back)
     group = np.concatenate(([0], np.cumsum(seed[1:] != seed[:-1])))
     order = np.lexsort((doc, group))
-    there = grid >= 0
+    there = grid != _NOTHING
     open_ = _full(there)
     gone = np.zeros_like(open_)
     for _ in range(LEADERS):
@@ -449,9 +463,15 @@ def _removed(table: pa.Table) -> pa.RecordBatch:
 
 def _full(cells: np.ndarray) -> np.ndarray:
     """For each start column, whether all ``WIDTH`` cells from it on are true."""
-    sums = np.zeros((cells.shape[0], cells.shape[1] + 1), dtype=np.int16)
-    np.cumsum(cells, axis=1, out=sums[:, 1:])
-    return sums[:, WIDTH:] - sums[:, :-WIDTH] == WIDTH
+    # Rows stand side by side; what reaches into the next row begins in columns that are left out.
+    flat, width = np.ascontiguousarray(cells).reshape(-1), 1
+    while width < WIDTH:
+        step = min(width, WIDTH - width)
+        flat = flat[:-step] & flat[step:]
+        width += step
+    out = np.zeros(cells.shape, dtype=bool)
+    out.reshape(-1)[:len(flat)] = flat
+    return np.ascontiguousarray(out[:, :cells.shape[1] - WIDTH + 1])
 
 
 def _decide_open(grid, open_, doc, back, runs, gone) -> None:
@@ -467,17 +487,23 @@ def _decide_open(grid, open_, doc, back, runs, gone) -> None:
     again = order[np.repeat(several, last - first + 1)]
     if not len(again):
         return
-    texts = list(dict.fromkeys(runs[i] for i in r[again]))
-    number = {t: k for k, t in enumerate(texts)}
-    text, at, name = equal_runs(texts, WIDTH)
-    names = {(k, s): v for k, s, v in zip(text.tolist(), at.tolist(), name.tolist())}
-    mine = np.array([
-        names[number[runs[i]], j - (_LEFT - b)] for i, j, b in zip(r[again].tolist(), c[again].tolist(), back[r[again]].tolist())
-    ])
+    r, c = r[again], c[again]
+    # Of each stretch what its strings cover: stretches that share no more than these are one text.
+    low, high = np.full(len(grid), _COLUMNS), np.zeros(len(grid), dtype=np.int64)
+    np.minimum.at(low, r, c)
+    np.maximum.at(high, r, c)
+    which, place = np.unique(r, return_inverse=True)
+    skip = low[which] - (_LEFT - back[which])
+    covered = [runs[i][a:b] for i, a, b in zip(which, skip, skip + (high - low)[which] + WIDTH)]
+    number = {t: k for k, t in enumerate(dict.fromkeys(covered))}
+    text, at, name = equal_runs(list(number), WIDTH)
+    names = np.zeros((len(number), _COLUMNS - WIDTH + 1), dtype=np.int64)
+    names[text, at] = name
+    mine = names[np.array([number[t] for t in covered])[place], c - low[r]]
     least = np.full(mine.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, mine, doc[r[again]])
-    goes = doc[r[again]] > least[mine]
-    gone[r[again][goes], c[again][goes]] = True
+    np.minimum.at(least, mine, doc[r])
+    goes = doc[r] > least[mine]
+    gone[r[goes], c[goes]] = True
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

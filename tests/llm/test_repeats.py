@@ -174,3 +174,47 @@ def test_copied_text_is_one_row_of_pieces():
     part, = [row for row in copied if row["doc_id"] == 30]
     assert 3_000 <= part["first"] < part["end"] <= 7_000 and part["end"] - part["first"] > 1_000
     assert sum(not row["copied"] for row in rows) > 20
+
+
+def test_places_of_least_seeds_do_not_depend_on_parts(monkeypatch):
+    """Seeds found part by part, also with equal ones and across the ends of parts, against a plain search."""
+    import numpy as np
+
+    text = "".join(random.Random(9).choice("ab") for _ in range(900)) + "a" * 200
+    want = None
+    for places in (1, 7, 64, 1 << 15):
+        monkeypatch.setattr(repeats, "PLACES", places)
+        hashes = repeats._run_hashes(text.encode())
+        assert len(hashes) == len(text) - 15 and hashes[900] == hashes[950]
+        key = [(int(h) >> 16, i) for i, h in enumerate(hashes)]
+        span = repeats.WIDTH - repeats.SEED + 1
+        assert repeats._least_places(hashes, span).tolist() == [min(key[i:i + span])[1] for i in range(len(key) - span + 1)]
+        s = repeats._Seeds([None, text[:60], "", "a" * 49, text, "b"])
+        got = [x.tolist() for x in (s.first, s.last, s.at, s.text, s.hash)]
+        want = want or got
+        assert got == want
+        starts = [p for a, b in zip(s.first, s.last) for p in range(a, b + 1)]
+        assert starts == [*range(11), *range(109, 109 + len(text) - 49)]
+        assert set(s.text.tolist()) == {1, 4} and bool(np.all((s.at >= s.first) & (s.at <= s.last + span - 1)))
+
+
+def test_stretches_around_one_string_are_one_text(monkeypatch):
+    """What the smallest documents leave open is sorted without what stands around it."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    letters = "cdefghijklmnop"
+    seed, share = "A" * repeats.SEED, "".join(r.choice(letters) for _ in range(34))
+    before = ["".join(r.choice(letters) for _ in range(19)) + end for end in "qrstuvwxyzBCDEF"]
+    runs = [x + seed + "".join(r.choice(letters) for _ in range(34)) for x in before[:9]]
+    runs += [x + seed + share for x in before[9:]]
+    table = pa.RecordBatch.from_pydict({
+        "seed": [1] * 15, "back": [20] * 15, "run": [x.encode() for x in runs], "doc_id": list(range(15)), "tag": [0] * 15,
+        "first": [0] * 15, "end": [70] * 15,
+    })
+    sorted_ = []
+    equal_runs = repeats.equal_runs
+    monkeypatch.setattr(repeats, "equal_runs", lambda texts, width: sorted_.append(texts) or equal_runs(texts, width))
+    out = pa.Table.from_batches(list(repeats._compared(iter([table])))).to_pylist()
+    assert sorted((x["doc_id"], x["first"], x["end"]) for x in out) == [(k, 20, 70) for k in range(10, 15)]
+    assert sorted_ == [[(seed + share).encode()]]
