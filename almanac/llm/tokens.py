@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Distinct pieces of text remembered per worker; beyond that the half used least lately is forgotten.
+# Distinct pieces of text remembered per worker, and the bytes of them and their ids; beyond that the half used least
+# lately is forgotten.
 PIECES = 1_200_000
+PIECE_BYTES = 128_000_000
 
 # Kinds of bytes for the cuts. Between letters, digits, signs and a line end the pattern of byte-level vocabularies always
 # cuts; apostrophes, other white space and other characters beyond ASCII follow rules of their own.
@@ -129,8 +131,8 @@ class _Memory:
         self._turn += 1
         self._used[number] = self._turn
         ids = self._ids.take(pa.array(number))
-        if len(self._pieces) > self._most:
-            kept = pa.array(np.sort(np.argsort(-self._used, kind="stable")[:self._most // 2]))
+        if len(self._pieces) > self._most or self._pieces.nbytes + self._ids.nbytes > PIECE_BYTES:
+            kept = pa.array(np.sort(np.argsort(-self._used, kind="stable")[:len(self._pieces) // 2]))
             self._pieces, self._ids, self._used = self._pieces.take(kept), self._ids.take(kept), self._used[kept.to_numpy()]
         return ids
 

@@ -173,3 +173,15 @@ def test_memory_forgets_what_was_used_least_lately():
     for names in (["a", "b", "c"], ["d", "a"], ["e", "a", "f"], ["a", "g", "e"], ["f", "b"]):
         ids(names)
     assert asked == ["a", "b", "c", "d", "e", "f", "g", "f", "b"]
+
+
+def test_memory_of_long_pieces_is_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 100_000)
+    memory = tokens._Memory(1000)
+    for k in range(60):
+        names = [chr(97 + i) * (5_000 + k) for i in range(6)]
+        found = memory.ids_of(pa.array(names, pa.large_binary()), lambda p: [x.encode()[:9] for x in p])
+        assert found.to_pylist() == [x.encode()[:9] for x in names]
+        assert memory._pieces.nbytes + memory._ids.nbytes < 100_000 + 6 * 5_200
