@@ -1,8 +1,9 @@
-"""Slices of Arrow batches that hold a bounded amount of text."""
+"""Slices of Arrow batches that hold a bounded amount of text, and workers that keep none of it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,3 +35,24 @@ def text_slices(
     """As ``column_slices``, with the texts as a list."""
     for part, column in column_slices(batches, text, size):
         yield part, column.to_pylist()
+
+
+def give_back() -> None:
+    """Hand memory that was freed, but is still held for later use, back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc: its C library has no such call
+
+
+def leaving_nothing(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``step``, after which a worker gives back what it does not use.
+
+    Spark keeps workers for later tasks; what an idle one holds is lost to the stages that run meanwhile.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        give_back()
+
+    return run

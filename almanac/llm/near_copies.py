@@ -18,9 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from almanac.llm.batches import text_slices
+from almanac.llm.batches import leaving_nothing, text_slices
 from almanac.llm.components import connected_components
-from almanac.llm.wordhash import Words, distinct_by_text, signatures
+from almanac.llm.wordhash import WORD_BYTES, Words, distinct_by_text, signatures
 from almanac.operators.settle import settle
 from almanac.session import ship_package
 
@@ -109,7 +109,7 @@ def _set_id(shingles: np.ndarray) -> bytes | None:
 def _signed(rows: DataFrame, words: int, coordinates: int) -> DataFrame:
     """Per row its id, the size and 128-bit name of its set, and its signature."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, size=WORD_BYTES):
             hashes, bounds = Words(texts).shingles(words)
             sets = distinct_by_text(hashes, bounds)
             rows_of = signatures(hashes, bounds, coordinates).view(np.int32)
@@ -120,7 +120,7 @@ def _signed(rows: DataFrame, words: int, coordinates: int) -> DataFrame:
             ], names=["doc_id", "node", "n_shingles", "signature"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(sign, f"doc_id {kind}, node binary, n_shingles long, signature array<int>")
+    return rows.mapInArrow(leaving_nothing(sign), f"doc_id {kind}, node binary, n_shingles long, signature array<int>")
 
 
 def _members(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -148,7 +148,7 @@ def _members(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
 def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """The full shingle set of each node in ``wanted``, from the text of one of its rows."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_slices(batches):
+        for _, texts in text_slices(batches, size=WORD_BYTES):
             sets = distinct_by_text(*Words(texts).shingles(words))
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -157,7 +157,9 @@ def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
             ], names=["node", "set"])
 
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id"))
-    made = rows.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(make, "node binary, set array<long>")
+    made = rows.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
+        leaving_nothing(make), "node binary, set array<long>"
+    )
     # Rows may repeat an id with another text.
     return settle(made.dropDuplicates(["node"]))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from almanac.llm.batches import column_slices
+from almanac.llm.batches import column_slices, leaving_nothing
 from almanac.llm.tokens import encoder_of
 from almanac.session import ship_package
 
@@ -116,7 +116,7 @@ def pack_documents(
         if fields is not None:
             yield _batch(list(bins.rest()), fields)
 
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(pack, schema)
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(leaving_nothing(pack), schema)
 
 
 def _fields(key: pa.DataType) -> pa.Schema:
