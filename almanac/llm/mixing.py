@@ -56,14 +56,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_ep
     open_ = left.cast(_EXACT) * F.col("_weight") <= F.col("_limit").cast(_EXACT) * sharing
     # The first source that is not filled says what is shared; there is one unless all sources are full.
     first = ranked.where(open_).orderBy(*order).select(left.alias("left"), sharing.alias("sharing")).first()
-    left, sharing = (F.lit(first.left), F.lit(first.sharing)) if first else (F.lit(0), F.lit(1))
+    # A literal of a Python number is an int where it fits, which its multiples need not.
+    left, sharing = (F.lit(n).cast("long") for n in ((first.left, first.sharing) if first else (0, 1)))
     full = (
         F.lit(True) if first is None
         else F.col("_limit").cast(_EXACT) * sharing < left.cast(_EXACT) * F.col("_weight")
     )
     share = left.cast("double") * F.col("_weight") / sharing
     # Rounded half up in whole numbers.
-    shares = ranked.withColumns({"_left": (2 * left).cast(_EXACT), "_sharing": sharing.cast("long")})
+    shares = ranked.withColumns({"_left": 2 * left.cast(_EXACT), "_sharing": sharing})
     rounded = F.expr("(_left * _weight + _sharing) div (2 * _sharing)")
     return shares.select(
         "source", "source_size",

@@ -67,6 +67,15 @@ def test_few_words_and_empty_tables(spark):
     assert empty.count() == 0 and "taken" in empty.columns
 
 
+def test_targets_of_billions_of_words(spark):
+    twenty = {f"src{i}": 54_000_000 + 17 * i for i in range(1, 20)} | {"src0": 587_237_333}
+    for sizes in ({"a": 2**30}, {"a": 2**31 - 1}, {"a": 3 * 2**28, None: 2**28}, twenty, {"a": 2**52 + 1, "b": 7, "c": 2**40}):
+        got = mx.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        want = plain_targets(sizes)
+        assert {r.source: r.budget for r in got} == {s: int(t + Fraction(1, 2)) for s, t in want.items()}
+        assert all(r.source_size == sizes[r.source] and abs(r.target - want[r.source]) <= 1e-9 * want[r.source] for r in got)
+
+
 def test_texts_of_a_mix(spark):
     rows = [(1, "a b  c", 3, 7, "u"), (2, "d e", 2, 0, "v"), (3, " f\n", 1, 3, "w"), (4, None, 0, 0, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, size long, taken long, more string")
